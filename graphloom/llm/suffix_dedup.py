@@ -42,7 +42,7 @@ class Rolling:
     def __init__(self, raw: np.ndarray) -> None:
         table = mix(np.arange(1, 257, dtype=np.uint64))
         with np.errstate(over="ignore"):
-            power, self.back = (np.cumprod(np.concatenate(([1], np.full(len(raw), b, np.uint64))).astype(np.uint64), dtype=np.uint64) for b in (BASE, INVERSE))
+            power, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), b, np.uint64))), dtype=np.uint64) for b in (BASE, INVERSE))
             self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * power[:-1], dtype=np.uint64)))
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
