@@ -83,18 +83,19 @@ def fit(train: DataFrame, least_z: float = 3.0, most_tokens: int = 50_000, prior
 
         by = (Counter(), Counter())
         for t, y in zip(c["text"], c["toxic"], strict=True):
-            by[int(y > 0)].update(TOKEN.findall(t.lower()))
+            by[int(y > 0)].update(set(TOKEN.findall(t.lower())))  # once a document, so that one text cannot make a token
         words = list(by[0].keys() | by[1].keys())
         return {"word": words, "clean": [by[0][w] for w in words], "bad": [by[1][w] for w in words]}
 
     words = map_batches(train, count, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    sums = words.agg(F.sum("clean"), F.sum("bad")).first()
+    sums = words.agg(F.sum("clean"), F.sum("bad"), F.count("*")).first()
     n0, n1 = float(sums[0] or 0), float(sums[1] or 0)
     if not n0 or not n1:
         return ToxicModel({}, -0.01, bias=math.log((n1 + 0.5) / (n0 + 0.5)), slope=0.0)
-    own = (F.col("clean") + F.col("bad")) * F.lit(prior / (n0 + n1))
-    b, c = F.col("bad") + own, F.col("clean") + own
-    odds = F.log(b / (n1 + prior - b)) - F.log(c / (n0 + prior - c))
+    # The Dirichlet prior: `prior` tokens in proportion to the whole sample, and half a token each.
+    own = (F.col("clean") + F.col("bad")) * F.lit(prior / (n0 + n1)) + 0.5
+    b, c, all_own = F.col("bad") + own, F.col("clean") + own, prior + 0.5 * sums[2]
+    odds = F.log(b / (n1 + all_own - b)) - F.log(c / (n0 + all_own - c))
     z = odds / F.sqrt(1 / b + 1 / c)
     top = words.where(z >= least_z).select("word", "clean", "bad", odds.alias("odds")).orderBy(z.desc(), "word").limit(most_tokens).collect()
     p0 = (sum(r["clean"] for r in top) + 0.5) / (n0 + 1)
