@@ -47,7 +47,12 @@ def shingles(text: Column, width: int = 5) -> Column:
 
 def bands(window: Column, functions: int) -> Column:
     """Smallest and largest value of a window of shingle hashes under each hash function."""
-    each = [F.transform(F.array(F.transform(window, lambda x, p=p: F.xxhash64(x, F.lit(p)))), lambda t: F.array(F.array_min(t), F.array_max(t))) for p in range(functions)]
+
+    def ends(seed: int) -> Column:
+        # The one-element array gives the hashed window a name, so that it is computed once for both ends.
+        return F.transform(F.array(F.transform(window, lambda x: F.xxhash64(x, F.lit(seed)))), lambda t: F.array(F.array_min(t), F.array_max(t)))
+
+    each = [ends(seed) for seed in range(functions)]
     return F.array_distinct(F.flatten(F.concat(*each)))
 
 
