@@ -40,7 +40,7 @@ def fill(nodes: DataFrame, parent: list[str], budget: str, out: str) -> DataFram
     level = nodes.withColumn("_level", (F.col(budget) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     full = F.col("_level") * F.col("weight") >= F.col("cap")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = level.withColumn("_open", F.min(F.when(~full, F.col("_level"))).over(every))
+    level = level.withColumn("_open", F.max(F.when(~full, F.col("_level"))).over(every))
     share = F.when(F.col("_open").isNull(), F.col("cap")).otherwise(F.least("cap", F.greatest(F.lit(0.0), F.col("_open") * F.col("weight"))))
     return level.withColumn(out, share).drop("_level", "_open")
 
