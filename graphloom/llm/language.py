@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import bounded_sample, map_batches
 
 WINDOW = 128
 
@@ -161,7 +161,7 @@ def training_windows(docs: DataFrame, most: int = 6000) -> list[tuple[str, bytes
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold != 2) & (F.length("text") > 0))
     at = [F.substring("text", (F.length("text") * i / 3).cast("int") + 1, F.lit(WINDOW)) for i in range(3)]
-    rows = usable.select("lang", F.array(*at).alias("w"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(most).select("lang", "w").collect()
+    rows = bounded_sample(usable.select("doc_id", "lang", F.array(*at).alias("w")), "doc_id", most).select("lang", "w").collect()
     return [(r["lang"], w.encode("utf-8", "surrogatepass")[:WINDOW]) for r in rows for w in r["w"] if w]
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import bounded_sample, map_batches
 
 TOKEN = re.compile(r"\w+")
 
@@ -154,7 +154,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Dat
     labels are bounded by `most`, so they are broadcast. Of several labels of a document the largest counts."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = bounded_sample(one, "doc_id", most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
