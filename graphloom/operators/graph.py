@@ -141,3 +141,24 @@ def expand_structural(candidates: DataFrame, start: DataFrame, edges: DataFrame,
     kept = new.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "src").orderBy("node_id"))).where(F.col("_n") <= each)
     one = kept.select("query_id", "node_id").distinct()
     return one.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))).where(F.col("pos") <= most)
+
+
+def coreness(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
+    """node_id, core of every node: values start at the degree and are replaced by the h-index of the neighbours' values
+    until none changes. links holds both directions of simple edges. Every round is checkpointed."""
+    sc = nodes.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    links = links.checkpoint()
+    now = links.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("core")).checkpoint()
+    for _ in range(most):
+        seen = links.join(now.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id"), "core").agg(F.count("*").alias("c"))
+        above = F.sum("c").over(Window.partitionBy("node_id").orderBy(F.desc("core")))
+        h = seen.withColumn("_h", F.least(F.col("core"), above)).groupBy("node_id").agg(F.max("_h").alias("h"))
+        new = now.join(h, "node_id").select("node_id", F.col("core").alias("old"), F.least("core", "h").alias("core")).checkpoint()
+        now = new.drop("old")
+        if new.where("old <> core").isEmpty():
+            return nodes.select("node_id").join(now, "node_id", "left").select("node_id", F.coalesce("core", F.lit(0)).alias("core"))
+    raise RuntimeError("core numbers did not settle")
