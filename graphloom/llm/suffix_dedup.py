@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,23 @@ OUT = "bucket long, batch long, kind int, body binary"
 FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("shift", pa.int32()), ("key", pa.int64())])
 
 
-def slices(batches, most_bytes: int = 8 << 20):
+def squeeze(rows: np.ndarray) -> bytes:
+    """Records column by column, documents and starts as differences, compressed."""
+    columns = [rows["key"], rows["run"], np.diff(rows["doc"], prepend=0), np.diff(rows["start"], prepend=0), rows["many"], rows["shift"]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+
+
+def expand(body: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    rows, at = np.empty(len(raw) // RECORD.itemsize, RECORD), 0
+    for name in RECORD.names:
+        rows[name] = np.frombuffer(raw, RECORD[name], len(rows), at)
+        at += RECORD[name].itemsize * len(rows)
+    rows["doc"], rows["start"] = np.cumsum(rows["doc"]), np.cumsum(rows["start"])
+    return rows
+
+
+def slices(batches, most_bytes: int = 2 << 20):
     """(doc ids, texts) of at most about most_bytes each."""
     for batch in batches:
         docs, texts, size = [], [], 0
@@ -132,9 +149,9 @@ def send(kind: int, bucket: np.ndarray, rows: np.ndarray, batch: int) -> pa.Reco
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(rows) else np.empty(0, np.int64)
-    stop = np.concatenate((edge[1:], [len(rows)]))
+    stop = np.concatenate((edge[1:], [len(rows)]))[: len(edge)]
     n = len(edge)
-    body = [rows[a:b].tobytes() for a, b in zip(edge, stop, strict=False)]
+    body = [squeeze(rows[a:b]) for a, b in zip(edge, stop, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int64()), pa.array([batch] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(body, pa.binary())], names=["bucket", "batch", "kind", "body"])
 
 
@@ -177,8 +194,8 @@ def settle_runs(span: int):
     def bucket(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
         bodies = table.column("body").to_pylist()
-        rows = np.concatenate([np.empty(0, RECORD)] + [np.frombuffer(b, RECORD) for k, b in zip(kinds, bodies, strict=True) if k == RUNS])
-        done = np.concatenate([np.empty(0, RECORD)] + [np.frombuffer(b, RECORD) for k, b in zip(kinds, bodies, strict=True) if k == DONE])
+        rows = np.concatenate([np.empty(0, RECORD)] + [expand(b) for k, b in zip(kinds, bodies, strict=True) if k == RUNS])
+        done = np.concatenate([np.empty(0, RECORD)] + [expand(b) for k, b in zip(kinds, bodies, strict=True) if k == DONE])
         rows = rows[np.lexsort((rows["start"], rows["doc"]))]
         new = firsts(rows["key"], rows["run"])
         done = np.concatenate((done, rows[~new]))
@@ -231,45 +248,56 @@ class Levels:
 PLACE = np.dtype([("doc", "<i8"), ("start", "<i8")])
 
 
+HEAD = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
+
+
 def second_pass(span: int, buckets: int):
-    """(doc_id, text, open runs) to the bytes of each open run, by anchor."""
-    head = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
+    """(doc_id, text, open runs) to the bytes of each open run, by anchor: heads, then bytes, compressed."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            col = batch.to_pydict()
-            out: dict[int, list[bytes]] = {}
-            for doc, text, runs in zip(col["doc_id"], col["text"], col["runs"], strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for r in runs:
-                    piece = raw[r["start"] : r["stop"]]
-                    out.setdefault(int(np.uint64(r["key"] & 0xFFFFFFFFFFFFFFFF) % np.uint64(buckets)), []).append(np.array([(doc, r["start"], len(piece))], head).tobytes() + piece)
-            n = len(out)
-            first = min(col["doc_id"], default=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([first] * n, pa.int64()), pa.array([WINDOWS] * n, pa.int32()), pa.array([b"".join(v) for v in out.values()], pa.binary())], names=["bucket", "batch", "kind", "body"])
+            for at in range(0, batch.num_rows, 2048):
+                col = batch.slice(at, 2048).to_pydict()
+                heads: dict[int, list[tuple[int, int, int]]] = {}
+                parts: dict[int, list[bytes]] = {}
+                for doc, text, runs in zip(col["doc_id"], col["text"], col["runs"], strict=True):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for r in runs:
+                        bucket = (r["key"] & 0xFFFFFFFFFFFFFFFF) % buckets
+                        heads.setdefault(bucket, []).append((doc, r["start"], r["stop"] - r["start"]))
+                        parts.setdefault(bucket, []).append(raw[r["start"] : r["stop"]])
+                body = [len(h).to_bytes(8, "little") + pack.compress(np.array(h, HEAD).tobytes() + b"".join(parts[b])) for b, h in heads.items()]
+                n, first = len(heads), min(col["doc_id"], default=0)
+                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array([first] * n, pa.int64()), pa.array([WINDOWS] * n, pa.int32()), pa.array(body, pa.binary())], names=["bucket", "batch", "kind", "body"])
 
     return run
 
 
+def suffixes(body: bytes, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a batch, cut at span bytes, and their places."""
+    n = int.from_bytes(body[:8], "little")
+    raw = zstandard.ZstdDecompressor().decompress(body[8:])
+    head = np.frombuffer(raw, HEAD, n)
+    data = np.frombuffer(raw, np.uint8, offset=n * HEAD.itemsize)
+    many = head["size"] - span + 1
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(np.cumsum(head["size"]) - head["size"], many) + step
+    place = np.empty(len(at), PLACE)
+    place["doc"], place["start"] = np.repeat(head["doc"], many), np.repeat(head["start"], many) + step
+    # One byte more than the suffix: numpy's strings drop zero bytes at their end when compared.
+    text = np.ones((len(at), span + 1), np.uint8)
+    text[:, :span] = np.lib.stride_tricks.sliding_window_view(data, span)[at]
+    return text.view(f"S{span + 1}").ravel(), place
+
+
 def settle_windows(span: int):
     """Of a bucket: stretches [start, start + span) of suffixes that also start earlier."""
 
     def bucket(table: pa.Table) -> pa.Table:
         index = Levels()
         for i in np.argsort(np.array(table.column("batch").to_pylist(), np.int64), kind="stable"):
-            body, at = table.column("body")[int(i)].as_py(), 0
-            texts, places = [], []
-            while at < len(body):
-                doc, start, size = np.frombuffer(body, "<i8", 3, at).tolist()
-                raw = np.frombuffer(body, np.uint8, size, at + 24)
-                at += 24 + size
-                texts.append(np.lib.stride_tricks.sliding_window_view(raw, span))
-                place = np.empty(size - span + 1, PLACE)
-                place["doc"], place["start"] = doc, start + np.arange(size - span + 1)
-                places.append(place)
-            # One byte more than the suffix: numpy's strings drop zero bytes at their end when compared.
-            text = np.concatenate(texts)
-            index.add(np.hstack((text, np.ones((len(text), 1), np.uint8))).view(f"S{span + 1}").ravel(), np.concatenate(places))
+            index.add(*suffixes(table.column("body")[int(i)].as_py(), span))
         later = np.unique(np.concatenate([np.empty(0, PLACE), *index.later]))
         if not len(later):
             return FOUND.empty_table()
