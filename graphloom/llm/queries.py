@@ -68,7 +68,47 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_mixing, op4_suffix_dedup, op5_packing, op6_near_dedup, op7_license_scan, op8_line_dedup, op9_toxicity, op10_exact_dedup)}
 
+
+
+def _mixing_sql(share: float, weights: dict, epochs: int, seed: str) -> str:
+    def weight(level: str) -> str:
+        return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {float(v)!r}" for k, v in weights[level].items()) + " ELSE 1.0 END::DOUBLE"
+
+    def fill(name: str, source: str, parent: str, node: str, budget: str, out: str) -> str:
+        by = f"PARTITION BY {parent}"
+        return f"""{name}_w AS (SELECT *, {weight(node)} AS wt FROM {source}),
+{name}_l AS (SELECT *, ({budget} - coalesce(sum(cap) OVER ({by} ORDER BY cap / wt, {node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(wt) OVER ({by} ORDER BY cap / wt, {node} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM {name}_w),
+{name} AS (SELECT * EXCLUDE (lev, op, wt), CASE WHEN op IS NULL THEN cap ELSE least(cap, greatest(0.0, op * wt)) END AS {out} FROM (SELECT *, max(lev) FILTER (lev * wt < cap) OVER ({by}) AS op FROM {name}_l))"""
+
+    return f"""
+WITH base AS (SELECT doc_id, coalesce('domain' || (('0x' || substr(md5(source), 1, 8))::BIGINT % 4), '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, (sum(tokens) * {epochs})::DOUBLE AS cap FROM base GROUP BY ALL),
+top AS (SELECT domain, sum(cap) AS cap, (SELECT sum(tokens) * {share!r}::DOUBLE FROM leaves) AS b0 FROM leaves GROUP BY domain),
+{fill("d", "top", "b0", "domain", "b0", "b1")},
+mid AS (SELECT domain, lang, sum(cap) AS cap, any_value(b1) AS b1 FROM leaves JOIN (SELECT domain, b1 FROM d) USING (domain) GROUP BY domain, lang),
+{fill("l", "mid", "domain", "lang", "b1", "b2")},
+low AS (SELECT leaves.*, b2 FROM leaves JOIN (SELECT domain, lang, b2 FROM l) USING (domain, lang)),
+{fill("s", "low", "domain, lang", "source", "b2", "b3")},
+plan AS (SELECT domain, lang, source, tokens AS total, floor(b3 + 1e-6)::BIGINT AS leaf_budget, CASE WHEN tokens > 0 THEN least({epochs}, floor(b3 + 1e-6)::BIGINT // tokens) ELSE 0 END AS whole FROM s),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', '{seed}', whole::VARCHAR, doc_id::VARCHAR)), doc_id) AS upto FROM base JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, leaf_budget, (whole + (whole < {epochs} AND upto <= leaf_budget - whole * total)::INT)::INT AS copies FROM run"""
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES)
+    return f"""
+WITH tw AS (SELECT license, regexp_extract_all(lower(notice), '[a-z0-9]+') AS w FROM (VALUES {rows}) v(license, notice)),
+goal AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS g FROM tw, range(1, 400) t(i) WHERE i + 4 <= len(w)),
+size AS (SELECT license, count(*) AS n_shingles FROM goal GROUP BY license),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw))
+SELECT doc_id, license, n_shingles, count(*) AS n_found FROM ds JOIN goal USING (g) JOIN size USING (license) GROUP BY doc_id, license, n_shingles HAVING count(*) * 100 >= n_shingles * 80"""
+
+
 ORACLES = {
+    "op3_mixing": _mixing_sql(0.6, MIX_WEIGHTS, 2, "mix-1"),
+    "op7_license_scan": _license_sql(),
     "op8_line_dedup": r"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS host,

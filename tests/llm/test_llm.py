@@ -268,7 +268,7 @@ def brute_mix(rows, share, weights, epochs, seed):
 @pytest.mark.parametrize(("share", "epochs"), [(0.5, 1), (0.9, 2), (1.7, 2), (3.0, 2), (0.0, 1)])
 def test_mixing(spark, docs, texts, share, epochs):
     weights = {"domain": {"domain1": 5.0}, "lang": {"en": 3.0}, "source": {"s0": 2.0}}
-    rows = [(r["doc_id"], "domain" + str(zlib.crc32(r["source"].encode()) % 4) if r["source"] else "", r["lang"] or "", r["source"] or "", len(WORD.findall(r["text"] or ""))) for r in docs.collect()]
+    rows = [(r["doc_id"], "domain" + str(int(hashlib.md5(r["source"].encode()).hexdigest()[:8], 16) % 4) if r["source"] else "", r["lang"] or "", r["source"] or "", len(WORD.findall(r["text"] or ""))) for r in docs.collect()]
     got = by_id(mixing.mix(clashing(docs), share=share, weights=weights, epochs=epochs, seed="t", slice_rows=7))
     assert {i: (r["copies"], r["leaf_budget"]) for i, r in got.items()} == brute_mix(rows, share, weights, epochs, "t")
 
@@ -447,7 +447,7 @@ def test_pipeline(spark):
     rows = {i: r for i, r in rows.items() if i not in gone}
     from graphloom.llm.queries import MIX_WEIGHTS
 
-    leaf = [(i, "domain" + str(zlib.crc32(r["source"].encode()) % 4), r["lang"], r["source"], len(WORD.findall(r["text"]))) for i, r in rows.items()]
+    leaf = [(i, "domain" + str(int(hashlib.md5(r["source"].encode()).hexdigest()[:8], 16) % 4), r["lang"], r["source"], len(WORD.findall(r["text"]))) for i, r in rows.items()]
     taken = {i for i, (c, _) in brute_mix(leaf, 0.6, MIX_WEIGHTS, 1, "mix-1").items() if c}
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in got} == taken
