@@ -4,14 +4,14 @@ A document's set is its distinct five-word shingles. Under each permutation both
 are kept, so 2k signature values cost k hash evaluations a shingle; the estimate is unbiased as for MinHash. Bands of
 the signature give candidates, full sets confirm each link, and links give connected components.
 
-Within a bucket all pairs are never formed: members are first compared with the bucket's smallest member (a star); what
-a bucket still holds of different components is then compared with one representative a component and, where links may
-remain, across components only."""
+Within a bucket all pairs are never formed: members are first compared with one member (a star), the one that has most of
+its shingles in common with others. Where a bucket still holds several components, pairs across them are compared that
+can be linked at all: a link needs near sizes, and shingles that no other document has count against it."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, stash
@@ -125,6 +125,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def common_shingles(full: DataFrame) -> DataFrame:
+    """rep, c: how many of a document's shingles stand in another document of the table as well. A shingle of one document
+    only is known by its count, with partial sums before the shuffle, so frequent shingles meet nowhere."""
+    alone = full.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    return full.select("rep", F.size("shingles").alias("_n")).join(alone, "rep", "left").select("rep", (F.col("_n") - F.coalesce("u", F.lit(0))).cast("long").alias("c"))
+
+
+def possible(percent: int, na: str, nb: str, ca: str, cb: str) -> str:
+    """What holds of every link: sizes are near enough, and the common part, at most the smaller of both documents' shared
+    shingles, is large enough."""
+    return f"{percent} * greatest({na}, {nb}) <= 100 * least({na}, {nb}) and least({ca}, {cb}) * {100 + percent} >= {percent} * ({na} + {nb})"
+
+
+def across(rest: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """Pairs (a, b), na, nb of a bucket's members in different components that may be linked, each pair once.
+
+    Members are packed in blocks, so that a bucket of m members costs m * m / block rows, and the condition picks the
+    partners inside a block; a pair counts only in the first band that it shares."""
+    size = rest.groupBy("band").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    member = F.struct("rep", "n", "c", "root", "bands")
+    blocks = rest.join(size, "band").groupBy("band", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("_k")).agg(F.collect_list(member).alias("block"))
+    may = possible(percent, "n", "y.n", "c", "y.c")
+    first = "element_at(filter(zip_with(bands, y.bands, (p, q) -> if(p = q, p, null)), p -> p is not null), 1) = band"
+    fits = rest.join(blocks, "band").select(F.col("rep").alias("a"), F.col("n").alias("na"), F.expr(f"filter(block, y -> rep < y.rep and root <> y.root and {may} and {first})").alias("ys")).where("size(ys) > 0")
+    return fits.select("a", "na", F.explode(F.transform("ys", lambda y: F.struct(y["rep"].alias("b"), y["n"].alias("nb")))).alias("y")).select("a", "na", "y.b", "y.nb")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, permutations: int = 32, rows: int = 4, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -139,21 +166,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, permutations: int = 32,
     reps = able.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = cut(reps)
     banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    within = cut(banded.join(hubs.select("band", "hub"), "band").select("band", "rep", "n", "hub"))
-    full = stash(sets(texts.join(within.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "shingle-sets")
-    near = f"{percent} * greatest(na, nb) <= 100 * least(na, nb)"
-    stars = within.where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).where(near).distinct()
-    links = cut(confirm(stars, full, percent))
+    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    inside = cut(banded.join(shared, "band"))
+    full = stash(sets(texts.join(inside.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "shingle-sets")
+    within = cut(inside.join(common_shingles(full), "rep"))
+    hubs = within.groupBy("band").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("rep")).alias("low"), "rep", "n", "c")).alias("hub"))
+    stars = within.join(hubs, "band").where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.c").alias("ca"), F.col("c").alias("cb"))
+    may = possible(percent, "na", "nb", "ca", "cb")
+    links = cut(confirm(stars.where(may).distinct(), full, percent))
     label = components(links)
 
     # What is left: members of one bucket in different components. Pairs inside a component need no check.
-    known = within.select("band", "rep", "n", F.col("hub.rep").alias("hub")).join(label.select(F.col("node").alias("rep"), F.col("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = within.where(F.col("c") * 100 >= percent * F.col("n")).join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = known.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band")
-    rest = cut(known.join(mixed, "band"))
-    left, right = rest.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "hub"), rest.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = left.join(right, "band").where("a < b and ra <> rb and a <> hub").where(near).select("a", "b", "na", "nb").distinct()
-    more = cut(confirm(across, full, percent))
+    rest = cut(known.join(mixed, "band").join(reps.select("rep", "bands"), "rep"))
+    more = cut(confirm(across(rest, percent), full, percent))
     if not more.isEmpty():
         label = components(cut(links.unionByName(more)))
     rooted = reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*prints, F.coalesce("root", "rep").alias("component_id"))
