@@ -8,7 +8,7 @@ import os
 import pytest
 
 import __spark_entry__
-from graphloom.plans import queries as plans
+from graphloom.plans import feature_queries, more_queries, queries as plans  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
