@@ -97,6 +97,6 @@ def bootstrap(deltas: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
         weight = weight + (u > total).cast("int")
         term /= k
         total += term
-    means = d.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("m"))
+    means = d.withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(F.avg("m").alias("mean"), F.get(p, F.lit(0)).alias("low"), F.get(p, F.lit(1)).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("positive"))
