@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stash
 
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15
@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, span: int = 100, buckets: int | None = None)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     able = texts.where(F.octet_length("text") >= span).where("doc_id is not null")
     shape = "doc_id long, start long, stop long, shift int, key long"
-    runs = cut(able.mapInArrow(first_pass(span, buckets), OUT).groupBy("bucket").applyInArrow(settle_runs(span), shape))
+    runs = stash(able.mapInArrow(first_pass(span, buckets), OUT).groupBy("bucket").applyInArrow(settle_runs(span), shape), "suffix-runs")
     open_ = runs.where("shift >= 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "key")).alias("runs"))
     bytes_ = able.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(second_pass(span, buckets), OUT)
     windows = bytes_.groupBy("bucket").applyInArrow(settle_windows(span), shape)
