@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with checkpoint() in spark.checkpoint.dir (a temporary folder where it is unset, as in tests)."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Simple undirected edges a < b."""
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
@@ -79,18 +89,13 @@ def walk_counts(start: DataFrame, local: DataFrame, length: int) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
     """query_id, node_id, component (smallest node reachable without regard to direction), by label propagation with
     pointer jumping; every round is checkpointed, and it ends when no label changes."""
-    sc = nodes.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    pairs = links.select("query_id", "src", "dst").union(links.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    label = nodes.select("query_id", "node_id", F.col("node_id").alias("component")).checkpoint()
+    pairs = cut(links.select("query_id", "src", "dst").union(links.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = cut(nodes.select("query_id", "node_id", F.col("node_id").alias("component")))
     for _ in range(most):
         near = label.withColumnRenamed("node_id", "src").join(pairs, ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.min("component").alias("near"))
         one = label.join(near, ["query_id", "node_id"], "left").select("query_id", "node_id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("up"))
         jump = label.select("query_id", F.col("node_id").alias("up"), F.col("component").alias("over"))
-        new = one.join(jump, ["query_id", "up"]).select("query_id", "node_id", "old", F.least("up", "over").alias("component")).checkpoint()
+        new = cut(one.join(jump, ["query_id", "up"]).select("query_id", "node_id", "old", F.least("up", "over").alias("component")))
         label = new.drop("old")
         if new.where("old <> component").isEmpty():
             return label
@@ -103,17 +108,15 @@ def ppr_local(nodes: DataFrame, start: DataFrame, local: DataFrame, rounds: int
     size = start.groupBy("query_id").agg(F.count("*").alias("_s"))
     base = start.select("query_id", "node_id").join(size, "query_id").select("query_id", "node_id", (1 / F.col("_s")).alias("r"))
     out = local.groupBy("query_id", "src").agg(F.sum("mult").alias("out"))
-    moves = local.join(out, ["query_id", "src"]).select("query_id", "src", "dst", (F.col("mult") / F.col("out")).alias("p")).cache()
-    all_ = nodes.select("query_id", "node_id").join(base, ["query_id", "node_id"], "left").join(out.select("query_id", F.col("src").alias("node_id"), "out"), ["query_id", "node_id"], "left").select("query_id", "node_id", F.coalesce("r", F.lit(0.0)).alias("r"), F.col("out").isNull().alias("dangling")).cache()
-    now = all_.withColumn("x", F.col("r"))
-    for i in range(rounds):
+    moves = cut(local.join(out, ["query_id", "src"]).select("query_id", "src", "dst", (F.col("mult") / F.col("out")).alias("p")))
+    all_ = nodes.select("query_id", "node_id").join(base, ["query_id", "node_id"], "left").join(out.select("query_id", F.col("src").alias("node_id"), "out"), ["query_id", "node_id"], "left").select("query_id", "node_id", F.coalesce("r", F.lit(0.0)).alias("r"), F.col("out").isNull().alias("dangling"))
+    now = cut(all_.withColumn("x", F.col("r")))
+    for _ in range(rounds):
         flow = now.withColumnRenamed("node_id", "src").join(moves, ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("x") * F.col("p")).alias("flow"))
         lost = F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).over(Window.partitionBy("query_id"))
-        now = now.withColumn("_lost", lost).join(flow, ["query_id", "node_id"], "left").select(
+        now = cut(now.withColumn("_lost", lost).join(flow, ["query_id", "node_id"], "left").select(
             "query_id", "node_id", "r", "dangling", ((1 - damping) * F.col("r") + damping * F.col("_lost") * F.col("r") + damping * F.coalesce("flow", F.lit(0.0))).alias("x")
-        )
-        if i % 4 == 3:
-            now = now.cache()
+        ))
     top = F.max("x").over(Window.partitionBy("query_id"))
     return now.select("query_id", "node_id", F.when(top > 0, F.col("x") / top).otherwise(0.0).alias("mass"))
 
@@ -121,13 +124,13 @@ def ppr_local(nodes: DataFrame, start: DataFrame, local: DataFrame, rounds: int
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
     """node_id, rank on the simple digraph; teleport and dangling mass are uniform; the ranks add up to 1."""
     simple = edges.select("src", "dst").distinct()
-    moves = simple.join(simple.groupBy("src").agg(F.count("*").alias("out")), "src").cache()
+    moves = cut(simple.join(simple.groupBy("src").agg(F.count("*").alias("out")), "src"))
     n = nodes.agg(F.count("*").alias("n"))
-    now = nodes.select("node_id").crossJoin(F.broadcast(n)).select("node_id", "n", (1 / F.col("n")).alias("x")).join(moves.select(F.col("src").alias("node_id"), "out").distinct(), "node_id", "left").cache()
+    now = cut(nodes.select("node_id").crossJoin(F.broadcast(n)).select("node_id", "n", (1 / F.col("n")).alias("x")).join(moves.select(F.col("src").alias("node_id"), "out").distinct(), "node_id", "left"))
     for _ in range(rounds):
         flow = now.select(F.col("node_id").alias("src"), "x").join(moves, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("x") / F.col("out")).alias("flow"))
         lost = now.where("out is null").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("lost"))
-        now = now.drop("x").join(flow, "node_id", "left").crossJoin(F.broadcast(lost)).select("node_id", "n", "out", ((1 - damping) / F.col("n") + damping * F.col("lost") / F.col("n") + damping * F.coalesce("flow", F.lit(0.0))).alias("x"))
+        now = cut(now.drop("x").join(flow, "node_id", "left").crossJoin(F.broadcast(lost)).select("node_id", "n", "out", ((1 - damping) / F.col("n") + damping * F.col("lost") / F.col("n") + damping * F.coalesce("flow", F.lit(0.0))).alias("x")))
     total = now.agg(F.sum("x").alias("total"))
     return now.crossJoin(F.broadcast(total)).select("node_id", (F.col("x") / F.col("total")).alias("rank"))
 
@@ -146,18 +149,13 @@ def expand_structural(candidates: DataFrame, start: DataFrame, edges: DataFrame,
 def coreness(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
     """node_id, core of every node: values start at the degree and are replaced by the h-index of the neighbours' values
     until none changes. links holds both directions of simple edges. Every round is checkpointed."""
-    sc = nodes.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    links = links.checkpoint()
-    now = links.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("core")).checkpoint()
+    links = cut(links)
+    now = cut(links.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("core")))
     for _ in range(most):
         seen = links.join(now.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id"), "core").agg(F.count("*").alias("c"))
         above = F.sum("c").over(Window.partitionBy("node_id").orderBy(F.desc("core")))
         h = seen.withColumn("_h", F.least(F.col("core"), above)).groupBy("node_id").agg(F.max("_h").alias("h"))
-        new = now.join(h, "node_id").select("node_id", F.col("core").alias("old"), F.least("core", "h").alias("core")).checkpoint()
+        new = cut(now.join(h, "node_id").select("node_id", F.col("core").alias("old"), F.least("core", "h").alias("core")))
         now = new.drop("old")
         if new.where("old <> core").isEmpty():
             return nodes.select("node_id").join(now, "node_id", "left").select("node_id", F.coalesce("core", F.lit(0)).alias("core"))

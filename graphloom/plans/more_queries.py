@@ -156,13 +156,14 @@ def restart(w: Workload, rounds: int = 3, alpha: float = 0.5) -> DataFrame:
     """Random walk with restart at the seeds over both families; nodes without links keep their mass."""
     e = w.edges.where("src <> dst")
     m = e.select("src", "dst", "weight").union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("x"))
-    tr = m.select("src", "dst", (F.col("x") / F.sum("x").over(Window.partitionBy("src"))).alias("p")).cache()
-    r = w.seeds.select("query_id", "node_id", (alpha / F.count("*").over(Window.partitionBy("query_id"))).alias("x"))
+    tr = m.select("src", "dst", (F.col("x") / F.sum("x").over(Window.partitionBy("src"))).alias("p"))
+    tr = graph.cut(tr)
+    r = graph.cut(w.seeds.select("query_id", "node_id", (alpha / F.count("*").over(Window.partitionBy("query_id"))).alias("x")))
     now = r.withColumn("x", F.col("x") / alpha)
     for _ in range(rounds):
         moved = now.withColumnRenamed("node_id", "src").join(tr, "src").select("query_id", F.col("dst").alias("node_id"), ((1 - alpha) * F.col("x") * F.col("p")).alias("x"))
         still = now.join(tr.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_anti").select("query_id", "node_id", ((1 - alpha) * F.col("x")).alias("x"))
-        now = r.union(moved).union(still).groupBy("query_id", "node_id").agg(F.sum("x").alias("x"))
+        now = graph.cut(r.union(moved).union(still).groupBy("query_id", "node_id").agg(F.sum("x").alias("x")))
     return now
 
 
