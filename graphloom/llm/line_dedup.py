@@ -32,9 +32,11 @@ def site_lines(pages: DataFrame, id_col: str, host: Column, lines: Column, ratio
     base = pages.select(F.col(id_col).alias(id_col), host.alias("host"), lines.alias("lines"))
     hosts = base.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     each = base.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    common = each.join(hosts, "host").where(F.col("n") > F.col("pages") * ratio)
+    # By (host, salt of the line) as well: all lines of a large host would meet in one task otherwise.
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    common = each.withColumn("_salt", F.pmod(F.xxhash64("line"), F.lit(salts)).cast("int")).join(hosts.withColumn("_salt", everywhere), ["host", "_salt"]).where(F.col("n") > F.col("pages") * ratio)
     lists = cut(common.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("common")))
-    spread = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = lists.withColumn("_salt", everywhere)
     salted = base.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
     marked = salted.join(spread, ["host", "_salt"], "left")
     stay = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("common", x)))
