@@ -109,20 +109,21 @@ def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (smallest node reachable) of every node in links (a, b): each round takes the smallest label among a
-    node and its neighbours, then follows the label's own label; every round is checkpointed."""
+def components(links: DataFrame) -> DataFrame:
+    """node, root (smallest node reachable) of every node in links (a, b). In each round a node takes the smallest of its
+    label, its label's label and those of its neighbours, and so does the node that was its label: whole trees are hooked, which
+    settles a chain in about log rounds. Labels only fall, so it ends when none changes; every round is checkpointed."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        mine = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("up"))
-        jump = label.select(F.col("node").alias("up"), F.col("root").alias("over"))
-        new = cut(mine.join(jump, "up").select("node", "old", F.least("up", "over").alias("root")))
+    while True:
+        jump = label.join(label.select(F.col("node").alias("root"), F.col("root").alias("over")), "root")
+        near = both.join(jump.select(F.col("node").alias("b"), "over"), "b").groupBy(F.col("a").alias("node")).agg(F.min("over").alias("m"))
+        mine = cut(jump.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "over", "m").alias("low")))
+        lift = mine.groupBy(F.col("old").alias("node")).agg(F.min("low").alias("up"))
+        new = cut(mine.join(lift, "node", "left").select("node", "old", F.least("low", "up").alias("root")))
         label = new.select("node", "root")
         if new.where("old <> root").isEmpty():
             return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def common_shingles(full: DataFrame) -> DataFrame:

@@ -121,6 +121,15 @@ def test_near_chain(spark):
     assert [got[i]["component_id"] for i in range(len(chain))] == root
 
 
+def test_components_long_chain(spark):
+    """A path of 500 nodes in random order, and a short one apart."""
+    order = list(range(500))
+    random.Random(1).shuffle(order)
+    links = [*zip(order, order[1:], strict=False), (900, 901), (902, 901)]
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [*((i, 0) for i in range(500)), (900, 900), (901, 900), (902, 900)]
+
+
 def brute_repeats(texts, span):
     seen, out = set(), {}
     for i in sorted(texts):
