@@ -20,10 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import cut, running_total, stash
 
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15
+#: Different texts of one identifier count as stretches of one document; each begins at a multiple of 2^ROOM.
+ROOM = 31
 RECORD = np.dtype([("key", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("many", "<u2"), ("shift", "<u2")])
 
 
@@ -90,13 +92,13 @@ def spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def laid_out(docs: list, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents end to end in the order of their identifiers: identifiers, bytes, begins, ends."""
-    order = np.argsort(np.array(docs, np.int64), kind="stable")
+def laid_out(docs: list, texts: list, bases: list) -> tuple[np.ndarray, ...]:
+    """Documents end to end in the order of their identifiers and bases: identifiers, bases, bytes, begins, ends."""
+    order = np.lexsort((np.array(bases, np.int64), np.array(docs, np.int64)))
     raws = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order]
     size = np.array([len(r) for r in raws], np.int64)
     end = np.cumsum(size)
-    return np.array(docs, np.int64)[order], np.frombuffer(b"".join(raws), np.uint8), end - size, end
+    return np.array(docs, np.int64)[order], np.array(bases, np.int64)[order], np.frombuffer(b"".join(raws), np.uint8), end - size, end
 
 
 def firsts(*keys: np.ndarray) -> np.ndarray:
@@ -131,18 +133,19 @@ def expand(body: bytes) -> np.ndarray:
 
 
 def slices(batches, most_bytes: int = 2 << 20):
-    """(doc ids, texts) of at most about most_bytes each."""
+    """(doc ids, texts, bases) of at most about most_bytes each."""
     for batch in batches:
-        docs, texts, size = [], [], 0
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        docs, texts, bases, size = [], [], [], 0
+        for d, t, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             docs.append(d)
             texts.append(t)
+            bases.append(b)
             size += len(t or "")
             if size >= most_bytes:
-                yield docs, texts
-                docs, texts, size = [], [], 0
+                yield docs, texts, bases
+                docs, texts, bases, size = [], [], [], 0
         if docs:
-            yield docs, texts
+            yield docs, texts, bases
 
 
 def send(kind: int, bucket: np.ndarray, rows: np.ndarray, batch: int) -> pa.RecordBatch:
@@ -162,8 +165,8 @@ def first_pass(span: int, buckets: int):
     """Batches of documents to records: RUNS by anchor, DONE (already settled, passed through) by document."""
 
     def run(batches):
-        for docs, texts in slices(batches):
-            ids, raw, begin, end = laid_out(docs, texts)
+        for docs, texts, bases in slices(batches):
+            ids, base, raw, begin, end = laid_out(docs, texts, bases)
             rolling = Rolling(raw)
             a, first, last = anchors(rolling, raw, begin, end, span)
             if not len(a):
@@ -173,13 +176,13 @@ def first_pass(span: int, buckets: int):
             rows["key"] = rolling.of(a, a + GRAM)
             with np.errstate(over="ignore"):
                 rows["run"] = mix(rolling.of(first, last + span) + (a - first).astype(np.uint64) * np.uint64(1000) + (last - first).astype(np.uint64))
-            rows["doc"], rows["start"], rows["many"], rows["shift"] = ids[owner], first - begin[owner], last - first + 1, a - first
+            rows["doc"], rows["start"], rows["many"], rows["shift"] = ids[owner], first - begin[owner] + base[owner], last - first + 1, a - first
             new = firsts(rows["key"], rows["run"])
             batch = int(ids[0])
             yield send(RUNS, (rows["key"][new] % np.uint64(buckets)).astype(np.int64), rows[new], batch)
             if not new.all():
                 old = rows[~new]
-                yield send(DONE, (mix(old["doc"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), old, batch)
+                yield send(DONE, (mix((old["doc"] ^ (old["start"] >> ROOM)).view(np.uint64)) % np.uint64(buckets)).astype(np.int64), old, batch)
 
     return run
 
@@ -252,7 +255,7 @@ HEAD = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
 
 
 def second_pass(span: int, buckets: int):
-    """(doc_id, text, open runs) to the bytes of each open run, by anchor: heads, then bytes, compressed."""
+    """(doc_id, text, base, open runs) to the bytes of each open run, by anchor: heads, then bytes, compressed."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
@@ -261,12 +264,12 @@ def second_pass(span: int, buckets: int):
                 col = batch.slice(at, 2048).to_pydict()
                 heads: dict[int, list[tuple[int, int, int]]] = {}
                 parts: dict[int, list[bytes]] = {}
-                for doc, text, runs in zip(col["doc_id"], col["text"], col["runs"], strict=True):
+                for doc, text, base, runs in zip(col["doc_id"], col["text"], col["base"], col["runs"], strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     for r in runs:
                         bucket = (r["key"] & 0xFFFFFFFFFFFFFFFF) % buckets
                         heads.setdefault(bucket, []).append((doc, r["start"], r["stop"] - r["start"]))
-                        parts.setdefault(bucket, []).append(raw[r["start"] : r["stop"]])
+                        parts.setdefault(bucket, []).append(raw[r["start"] - base : r["stop"] - base])
                 body = [len(h).to_bytes(8, "little") + pack.compress(np.array(h, HEAD).tobytes() + b"".join(parts[b])) for b, h in heads.items()]
                 n, first = len(heads), min(col["doc_id"], default=0)
                 yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array([first] * n, pa.int64()), pa.array([WINDOWS] * n, pa.int32()), pa.array(body, pa.binary())], names=["bucket", "batch", "kind", "body"])
@@ -308,39 +311,66 @@ def settle_windows(span: int):
     return bucket
 
 
+def pieces(texts: DataFrame) -> DataFrame:
+    """doc_id, text, base, copies: one row for each different text of an identifier, which begins at `base` in its document
+    and is given `copies` times. Only identifiers that stand in several rows are grouped; the others are rows as they are.
+    The texts of one identifier follow each other in the order of their 64-bit hashes."""
+    again = cut(texts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    plain = {"base": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")}
+    if again.isEmpty():
+        return texts.withColumns(plain)
+    several = texts.join(again, "doc_id").withColumn("salt", F.xxhash64("text")).groupBy("doc_id", "salt").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    place = running_total(several.select("doc_id", "salt", F.lit(1).alias("one")), ["doc_id", "salt"], "one", "rank")
+    based = several.join(place.select("doc_id", "salt", F.shiftleft("rank", ROOM).alias("base")), ["doc_id", "salt"])
+    return texts.join(again, "doc_id", "left_anti").withColumns(plain).unionByName(stash(based.select("doc_id", "text", "base", "copies"), "repeated-ids"))
+
+
 def remove_repeats(docs: DataFrame, span: int = 100, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed stretches), kept (remaining bytes), kept_sha256 of every row.
 
     A byte goes if a span-byte string that covers it also starts earlier (smaller doc_id, or same document and earlier
     start). Null text is empty; texts shorter than span keep all. doc_id is the identity of a document: rows without one
-    are returned whole, and of rows that repeat one the texts count as one document given twice, the second after the first."""
+    are returned whole, and rows that repeat one count as stretches of one document, one after the other (no string spans two):
+    of equal rows the first stays as it is, different texts follow each other in the order of their 64-bit hashes."""
     spark = docs.sparkSession
     buckets = buckets or max(96, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    able = texts.where(F.octet_length("text") >= span).where("doc_id is not null")
+    texts = pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    able = texts.where(F.octet_length("text") >= span).where("doc_id is not null").select("doc_id", "text", "base")
     shape = "doc_id long, start long, stop long, shift int, key long"
     runs = stash(able.mapInArrow(first_pass(span, buckets), OUT).groupBy("bucket").applyInArrow(settle_runs(span), shape), "suffix-runs")
-    open_ = runs.where("shift >= 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "key")).alias("runs"))
-    bytes_ = able.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(second_pass(span, buckets), OUT)
+    base = F.shiftleft(F.shiftright("start", ROOM), ROOM).alias("base")
+    open_ = runs.where("shift >= 0").groupBy("doc_id", base).agg(F.collect_list(F.struct("start", "stop", "key")).alias("runs"))
+    bytes_ = able.join(open_, ["doc_id", "base"]).select("doc_id", "text", "base", "runs").mapInArrow(second_pass(span, buckets), OUT)
     windows = bytes_.groupBy("bucket").applyInArrow(settle_windows(span), shape)
-    gone = runs.where("shift < 0").unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    gone = runs.where("shift < 0").unionByName(windows).groupBy("doc_id", base).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+
+    names = ("doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256")
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+
+    def row(doc: int, raw: bytes, cuts: list[tuple[int, int]]) -> tuple:
+        parts, at = [], 0
+        for a, b in cuts:
+            parts.append(raw[at:a])
+            at = b
+        kept = b"".join([*parts, raw[at:]])
+        return doc, len(raw), len(raw) - len(kept), [{"start": a, "stop": b} for a, b in cuts], kept, hashlib.sha256(kept).hexdigest()
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(names)}, schema=arrow)
 
     def finish(batches):
         for batch in batches:
             col = batch.to_pydict()
-            out: dict = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256")}
-            for doc, text, gone in zip(col["doc_id"], col["text"], col["gone"], strict=True):
+            rows = []
+            for doc, text, base, copies, gone in zip(*(col[k] for k in ("doc_id", "text", "base", "copies", "gone")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                cuts = spans(np.array([g["start"] for g in gone], np.int64), np.array([g["stop"] for g in gone], np.int64)) if gone else []
-                parts, at = [], 0
-                for a, b in cuts:
-                    parts.append(raw[at:a])
-                    at = b
-                kept = b"".join([*parts, raw[at:]])
-                row = (doc, len(raw), len(raw) - len(kept), [{"start": a, "stop": b} for a, b in cuts], kept, hashlib.sha256(kept).hexdigest())
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
+                cuts = spans(np.array([g["start"] for g in gone], np.int64) - base, np.array([g["stop"] for g in gone], np.int64) - base) if gone else []
+                rows.append(row(doc, raw, cuts))
+                # Of a further copy every string starts earlier.
+                later = row(doc, raw, [(0, len(raw))] if len(raw) >= span else []) if copies > 1 else None
+                for at in range(0, copies - 1, 1024):
+                    yield table([later] * min(1024, copies - 1 - at))
+            yield table(rows)
 
     shape = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary, kept_sha256 string"
-    return texts.join(gone, "doc_id", "left").mapInArrow(finish, shape)
+    return texts.join(gone, ["doc_id", "base"], "left").select("doc_id", "text", "base", "copies", "gone").mapInArrow(finish, shape)

@@ -150,6 +150,21 @@ def test_suffix(spark, docs, texts):
     assert {i: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for i, r in got.items()} == brute_repeats(texts, 100)
 
 
+def test_suffix_repeated_rows(spark):
+    """Rows given twice and three times, different texts under one identifier, a short and an empty repeat."""
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b + c), (2, d + b), (2, d + b), (2, None), (3, c), (3, c), (3, c), (4, a + d), (5, "short"), (5, "short"), (6, a), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted((r for r in rows if r[0]), key=lambda r: (r[0], order[r[1]]))
+    want = Counter((ordered[i][0], *v) for i, v in brute_repeats(dict(enumerate(t for _, t in ordered)), 100).items())
+    want[None, len(a), 0, 0, hashlib.sha256(a.encode()).hexdigest()] = 2
+    got = suffix_dedup.remove_repeats(df, buckets=3).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got) == want
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 1) == [0, len(a)]
+
+
 def test_suffix_zero_bytes(spark):
     texts = {1: "a\0" * 120, 2: "\0" * 99, 3: "\0" * 250, 4: "b" + "\0" * 150 + "c"}
     got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), buckets=2))
