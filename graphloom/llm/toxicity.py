@@ -75,7 +75,8 @@ def document(text: str | None, m: ToxicModel, most_expected: float = 0.05) -> tu
 
 def fit(train: DataFrame, least_z: float = 3.0, most_tokens: int = 50_000, prior: float = 500.0) -> ToxicModel:
     """Fits on (text, toxic) rows, a bounded sample. Tokens are counted on the executors; the driver gets at most
-    most_tokens of them (those of largest z) and two numbers for each row of the sample. Rows without a label don't count."""
+    most_tokens of them (those of largest z) and two numbers for each row of the sample. Rows without a label don't count.
+    Without words of both classes nothing can be learned, and the model predicts clean for every text."""
     train = train.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
     def count(c: dict) -> dict:
@@ -91,7 +92,7 @@ def fit(train: DataFrame, least_z: float = 3.0, most_tokens: int = 50_000, prior
     sums = words.agg(F.sum("clean"), F.sum("bad"), F.count("*")).first()
     n0, n1 = float(sums[0] or 0), float(sums[1] or 0)
     if not n0 or not n1:
-        return ToxicModel({}, -0.01, bias=math.log((n1 + 0.5) / (n0 + 0.5)), slope=0.0)
+        return ToxicModel({}, -0.01, bias=-1.0, slope=0.0)
     # The Dirichlet prior: `prior` tokens in proportion to the whole sample, and half a token each.
     own = (F.col("clean") + F.col("bad")) * F.lit(prior / (n0 + n1)) + 0.5
     b, c, all_own = F.col("bad") + own, F.col("clean") + own, prior + 0.5 * sums[2]

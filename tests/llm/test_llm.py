@@ -384,6 +384,14 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.score_toxicity(docs, m).where("score between 0 and 1").count() == docs.count()
 
 
+@pytest.mark.parametrize("toxic", [None, 1, 0])
+def test_drop_toxic_without_both_classes(spark, docs, toxic):
+    labels = spark.createDataFrame([(i, 1, toxic) for i in range(30)] if toxic is not None else [], "doc_id long, quality int, toxic int")
+    m = toxicity.fit(toxicity.training_rows(docs, labels))
+    assert toxicity.drop_toxic(docs, m).count() == docs.count()
+    assert toxicity.score_toxicity(docs, m).where("predicted = 1").isEmpty()
+
+
 def brute_licenses(texts):
     out = set()
     grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(re.findall("[a-z0-9]+", (t or "").lower()))
