@@ -272,6 +272,20 @@ def _(w: Workload) -> DataFrame:
     return lines.join(items, "line").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
+@query("map_passages_whole", r"SELECT item_id, min(doc_id) AS doc_id, count(DISTINCT doc_id) AS copies FROM (SELECT doc_id, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) d JOIN (SELECT item_id, trim(string_split(text, chr(10))[1], ' ') AS line, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS whole FROM benchmark) b USING (line) WHERE line <> '' AND contains(bare, whole) GROUP BY item_id")
+def _(w: Workload) -> DataFrame:
+    """As map_passages, but the whole item without white space must stand in the document without white space; the first
+    line only is the join key. Texts are joined again to the pairs that it leaves."""
+    bare = F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")
+    docs, items = w.table("documents"), w.table("benchmark")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).distinct()
+    keys = items.select("item_id", bare.alias("whole"), F.trim(F.get(F.split("text", "\n"), F.lit(0))).alias("line")).where("line <> ''")
+    pairs = lines.join(keys, "line").select("doc_id", "item_id", "line", "whole")
+    texts = docs.select("doc_id", bare.alias("bare"), F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("lines"))
+    both = pairs.join(texts, "doc_id").where(F.contains("bare", "whole") & F.expr("array_contains(lines, line)"))
+    return both.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
 # Traversal
 
 BFS = """hop0 AS (SELECT DISTINCT query_id, node_id FROM seeds),

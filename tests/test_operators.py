@@ -126,3 +126,13 @@ def test_sources(spark, tmp_path):
     runs = spark.createDataFrame([("k", "c1", 1), ("k", "c1", 2)], "key string, commit string, run int")
     with pytest.raises(Exception, match="ambiguous"):
         tables.select_run(runs, ["key"], "c1").collect()
+
+
+def test_map_passages_whole(spark, tmp_path):
+    """A document that shares an item's heading only does not hold it; white space may differ."""
+    from graphloom.plans.queries import QUERIES
+
+    docs = [(1, "Heading\nother words"), (2, "x\n Heading \nthe  whole\n item\ny"), (3, "Heading\nthe whole item"), (4, "the whole item")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Heading\nthe whole item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in QUERIES["map_passages_whole"](spark, str(tmp_path)).select("item_id", "doc_id", "copies").collect()] == [(7, 2, 2)]
