@@ -65,6 +65,25 @@ def _(w: Workload) -> DataFrame:
     return rows.select("logical", F.sha2(F.array_join(F.transform("k", lambda x: F.concat_ws(":", x["l_orderkey"].cast("string"), x["l_linenumber"].cast("string"))), ","), 256).alias("digest"))
 
 
+@query("artifact_digest", """SELECT logical, sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM (
+  SELECT logical, block, sha256(string_agg(digest, ',' ORDER BY slice)) AS digest FROM (
+    SELECT l_returnflag || '/' || l_linestatus AS logical, floor(l_orderkey / 1000)::BIGINT AS slice, floor(l_orderkey / 1000000)::BIGINT AS block, sha256(string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber)) AS digest FROM lineitem GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""")
+def _(w: Workload) -> DataFrame:
+    """A digest of the sorted keys of all lines of each logical group: of slices of 1,000 orders, then of blocks of 1,000
+    slices' digests, then of the blocks' digests, so that no task collects a group."""
+
+    def digest(df: DataFrame, by: list, order: str, value) -> DataFrame:
+        k = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order.split(), value.alias("v")))).alias("k"))
+        return k.withColumn("digest", F.sha2(F.array_join(F.transform("k", lambda x: x["v"]), ","), 256)).drop("k")
+
+    logical = F.concat_ws("/", "l_returnflag", "l_linestatus").alias("logical")
+    slice_, block = ((F.floor(F.col("l_orderkey") / n)).alias(a) for n, a in ((1000, "slice"), (1000000, "block")))
+    lines = w.table("lineitem").select(logical, slice_, block, "l_orderkey", "l_linenumber")
+    slices = digest(lines, ["logical", "block", "slice"], "l_orderkey l_linenumber", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    blocks = digest(slices, ["logical", "block"], "slice", F.col("digest"))
+    return digest(blocks, ["logical"], "block", F.col("digest"))
+
+
 @query("project_columns", "SELECT query_id, node_id, coalesce(rd, 0) AS rd, coalesce(rs, 0) AS rs FROM dsr", DS)
 def _(w: Workload) -> DataFrame:
     return dense_sparse(w).select(*KEY, F.coalesce("rd", F.lit(0)).alias("rd"), F.coalesce("rs", F.lit(0)).alias("rs"))

@@ -136,3 +136,15 @@ def test_map_passages_whole(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "Heading\nthe whole item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in QUERIES["map_passages_whole"](spark, str(tmp_path)).select("item_id", "doc_id", "copies").collect()] == [(7, 2, 2)]
+
+
+def test_artifact_digest_sees_every_line(spark, tmp_path):
+    from graphloom.plans import feature_queries  # noqa: F401
+    from graphloom.plans.queries import QUERIES
+
+    seen = []
+    for i, last in enumerate((1, 2)):
+        rows = [("A", "F", k, n, 10.0) for k in (1, 1500, 2500000) for n in (1, last + 1)]
+        spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        seen += [r["digest"] for r in QUERIES["artifact_digest"](spark, f"{tmp_path}/{i}").collect()]
+    assert len(set(seen)) == 2
