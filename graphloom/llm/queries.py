@@ -96,7 +96,7 @@ SELECT doc_id, domain, lang, source, tokens, leaf_budget, (whole + (whole < {epo
 
 
 def _license_sql() -> str:
-    rows = ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES)
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES)
     return f"""
 WITH tw AS (SELECT license, regexp_extract_all(lower(notice), '[a-z0-9]+') AS w FROM (VALUES {rows}) v(license, notice)),
 goal AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS g FROM tw, range(1, 400) t(i) WHERE i + 4 <= len(w)),

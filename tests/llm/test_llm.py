@@ -414,6 +414,37 @@ def test_licenses(spark):
     assert license_scan.scan(df.unionByName(df)).count() == len(got)
 
 
+def test_license_edits(spark):
+    """Every template with words changed, left out and put in at any places: no match of exact containment is missed."""
+    rng = random.Random(16)
+    texts = {}
+    for n, (_, notice) in enumerate(license_scan.TEMPLATES):
+        for turn in range(12):
+            w = notice.split()
+            for _ in range(turn % 4):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = ["edited"] * rng.randint(0, 1)
+            texts[n * 100 + turn] = words(rng, rng.randint(0, 9)) + " " + " ".join(w) + " " + words(rng, rng.randint(0, 9))
+    got = {tuple(r) for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_licenses(texts)
+
+
+def test_license_bounds():
+    """The run that a text must hold, by laying out runs of at most `longest` with gaps of four, and the share of windows
+    that collide."""
+    for n in range(1, 60):
+        least = -(-n * 80 // 100)
+        most = lambda longest: max(min(longest * (gaps + 1), n - 4 * gaps) for gaps in range(n // 4 + 1))  # noqa: E731, B023
+        assert license_scan.guaranteed_run(n, 80) == next(x for x in range(1, n + 1) if most(x) >= least)
+    assert all(license_scan.guaranteed_run(n, 80) >= 8 for n in range(9, 500))
+    rng = np.random.default_rng(3)
+    hit, turns = 0, 4000
+    for _ in range(turns):
+        h = rng.random((3, 6))  # five shingles each, four in common
+        hit += any(x[:5].min() == x[1:].min() and x[:5].max() == x[1:].max() for x in h)
+    assert abs(hit / turns - license_scan.collision_probability(4 / 6)) < 0.05
+
+
 def test_lines(spark):
     rng = random.Random(1)
     rows = []
