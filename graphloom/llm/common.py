@@ -1,43 +1,19 @@
-"""What the training-data operators share: shared storage, Arrow mapping and distributed running totals."""
+"""What the training-data operators share: Arrow mapping, distributed running totals and joins on skewed keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import cut, shared_folder, stash
+
 #: ASCII white space; whatever lies between two of these characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    set_here = sc._jsc.sc().getCheckpointDir()
-    if set_here.isDefined():
-        return set_here.get()
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a small or middling table with checkpoint() in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder as Parquet and reads it again: columns are pruned and its size is known."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, each: Callable[..., dict], schema: str, rows: int = 512, setup: Callable | None = None) -> DataFrame:
     """mapInArrow in slices of at most `rows` rows. each(columns: dict of lists) returns columns as lists or arrays;
     with setup, each(columns, setup()) and setup runs once a task."""
@@ -83,5 +59,23 @@ def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return near.orderBy(place, id_col).limit(most)
 
 
+def hot_keys(counts: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """(key, pieces) of the keys of counts (key, n) that hold more than the `parts`-th share of all rows, so at most `parts`
+    of them: a table of bounded size. pieces is in how many of that share a key's rows are to be dealt."""
+    parts = parts or 8 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    shared = counts.crossJoin(F.broadcast(total)).where(F.col("n") * parts > F.col("_total"))  # total: one row
+    return cut(shared.select(key, F.ceil(F.col("n") * parts / F.col("_total")).cast("int").alias("pieces")))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """many join one (a row a key) on key. The rows of a hot key are dealt over its pieces by the hash of `by`, and its row
+    of `one` is repeated for each piece; other keys are joined as they are. hot is of bounded size and broadcast."""
+    pieces = F.coalesce("pieces", F.lit(1))
+    left = many.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("pieces")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    return left.join(right, [key, "_piece"], how).drop("_piece")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
