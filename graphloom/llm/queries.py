@@ -114,7 +114,7 @@ WITH base AS (
   SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS host,
          list_filter(list_transform(string_split(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
   FROM pages),
-hosts AS (SELECT host, count(*) AS pages FROM base GROUP BY host HAVING count(*) >= 5),
+hosts AS (SELECT host, count(*) AS pages FROM base GROUP BY host),
 each AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM base) GROUP BY host, line),
 common AS (SELECT each.host, line FROM each JOIN hosts USING (host) WHERE n > pages * 0.3),
 pos AS (SELECT rid, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM base),
