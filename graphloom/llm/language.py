@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Two GRUs with soft-sign gates read a window of bytes, one from each end; every position gets language probabilities from
-both states, and a document's are the mean over all its positions. Training is backpropagation through time in numpy on
-a bounded sample of windows; prediction reads every byte of every text."""
+both states, and a document's are the mean over all its positions. A state is zero until the window's own first byte (from
+that end), so padding is never read. Training is backpropagation through time in numpy on a bounded sample of windows;
+prediction labels every byte of every text, in windows that overlap by MARGIN bytes on both sides."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, map_batches
 
 WINDOW = 128
+#: Bytes at a window's ends that are read for the states but labelled in the neighbouring window.
+MARGIN = 16
 
 
 def soft(x: np.ndarray) -> np.ndarray:
@@ -44,8 +47,9 @@ def fresh(langs: list[str], hidden: int, rng: np.random.Generator) -> Net:
     return Net(langs, p)
 
 
-def states(p: dict, d: int, x: np.ndarray, keep: bool = False):
-    """States (T, H, N) of direction d over bytes x (T, N); with keep, what backpropagation needs as well."""
+def states(p: dict, d: int, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+    """States (T, H, N) of direction d over bytes x (T, N), zero where mask (T, N) is 0; with keep, what backpropagation
+    needs as well."""
     hidden = len(p[f"cand{d}"])
     steps, n = x.shape
     h = np.zeros((hidden, n), np.float32)
@@ -59,7 +63,7 @@ def states(p: dict, d: int, x: np.ndarray, keep: bool = False):
         z, r = g[:hidden], g[hidden:]
         q = a[2 * hidden :] + cand @ (r * h)
         c = soft(q)
-        new = h + z * (c - h)
+        new = (h + z * (c - h)) * mask[t]
         if keep:
             tape.append((t, h, pre, z, r, q, c))
         out[t] = h = new
@@ -77,7 +81,7 @@ def probabilities(p: dict, forward: np.ndarray, backward: np.ndarray) -> np.ndar
 def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
     """Mean weighted cross-entropy over positions, and its gradients by backpropagation through time."""
     hidden = len(p["cand0"])
-    (hf, tf), (hb, tb) = states(p, 0, x, True), states(p, 1, x, True)
+    (hf, tf), (hb, tb) = states(p, 0, x, mask, True), states(p, 1, x, mask, True)
     g = {k: np.zeros_like(v) for k, v in p.items()}
     dh = [np.zeros_like(hf), np.zeros_like(hb)]
     scale = weight / max(float((mask * weight).sum()), 1e-9)
@@ -97,7 +101,7 @@ def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: n
         zr, cand = p[f"zr{k}"], p[f"cand{k}"]
         rows = np.empty((len(x), 3 * hidden, x.shape[1]), np.float32)
         for t, h, pre, z, r, q, c in reversed(tape):
-            up = carry + dh[k][t]
+            up = (carry + dh[k][t]) * mask[t]
             dq = up * z / (1 + np.abs(q)) ** 2
             drh = cand.T @ dq
             dg = np.concatenate((up * (c - h), drh * h)) * (0.5 / (1 + np.abs(pre)) ** 2)
@@ -144,17 +148,29 @@ def as_matrix(windows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]
     return np.ascontiguousarray(x.T), length
 
 
-def window_sums(net: Net, windows: list[bytes]) -> np.ndarray:
-    """(windows, languages): position probabilities summed over each window."""
+def window_sums(net: Net, windows: list[bytes], first: list[int], last: list[int]) -> np.ndarray:
+    """(windows, languages): position probabilities summed over the places first <= t < last of each window."""
     x, length = as_matrix(windows, WINDOW)
-    back = states(net.p, 1, x)
-    front = states(net.p, 0, x)
+    mask = (np.arange(WINDOW)[:, None] < length).astype(np.float32)
+    back, front = states(net.p, 1, x, mask), states(net.p, 0, x, mask)
+    lo, hi = np.array(first), np.array(last)
     total = np.zeros((len(net.langs), len(windows)), np.float32)
     for t in range(len(x)):
-        total += probabilities(net.p, front[t], back[t]) * (t < length)
+        total += probabilities(net.p, front[t], back[t]) * ((lo <= t) & (t < hi))
     return total.T
 
 
+def cut_up(size: int) -> list[tuple[int, int, int, int]]:
+    """(start, stop, first, last) of the windows of a text of so many bytes: window [start, stop) labels its places first to
+    last, and every byte is labelled once."""
+    step = WINDOW - 2 * MARGIN
+    out = []
+    for at in range(0, size, step):
+        start = max(at - MARGIN, 0)
+        out.append((start, min(at + step + MARGIN, size), at - start, min(at + step, size) - start))
+    return out
+
+
 def training_windows(docs: DataFrame, most: int = 6000) -> list[tuple[str, bytes]]:
     """(lang, bytes) windows of at most `most` documents with a language outside fold 2, chosen by hash of doc_id: three
     windows of WINDOW characters from each, at its start, a third and two thirds in. The bound is this parameter."""
@@ -167,8 +183,8 @@ def training_windows(docs: DataFrame, most: int = 6000) -> list[tuple[str, bytes
 
 def identify(docs: DataFrame, net: Net, group: int = 2048) -> DataFrame:
     """doc_id, lang_pred, score of every row, over its whole text. `und` with score 0 where the text is null or has no
-    letter, or nothing was learned. Repeated rows come out each; further columns are not carried. No shuffle. Windows of
-    128 bytes start afresh, so the longest text needs no more memory than `group` windows."""
+    letter, or nothing was learned. Repeated rows come out each, a null doc_id is kept, no rows give none; further columns
+    are not carried. No shuffle. The longest text needs no more memory than `group` windows."""
 
     def each(c: dict) -> dict:
         texts = c["text"]
@@ -176,21 +192,25 @@ def identify(docs: DataFrame, net: Net, group: int = 2048) -> DataFrame:
         size = np.zeros(len(texts))
         waiting: list[bytes] = []
         owner: list[int] = []
+        first: list[int] = []
+        last: list[int] = []
 
         def flush() -> None:
             if waiting:
-                np.add.at(totals, np.array(owner), window_sums(net, waiting))
-                waiting.clear()
-                owner.clear()
+                np.add.at(totals, np.array(owner), window_sums(net, waiting, first, last))
+                for kept in (waiting, owner, first, last):
+                    kept.clear()
 
         clear = [bool(net.langs and t and any(ch.isalpha() for ch in t)) for t in texts]
         for i, t in enumerate(texts):
             if clear[i]:
                 raw = t.encode("utf-8", "surrogatepass")
                 size[i] = len(raw)
-                for at in range(0, len(raw), WINDOW):
-                    waiting.append(raw[at : at + WINDOW])
+                for start, stop, a, b in cut_up(len(raw)):
+                    waiting.append(raw[start:stop])
                     owner.append(i)
+                    first.append(a)
+                    last.append(b)
                     if len(waiting) == group:
                         flush()
         flush()

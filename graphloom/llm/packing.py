@@ -106,10 +106,11 @@ def pack(docs: DataFrame, length: int = 2048, encoder=None, dims: int = 3, bits:
     """Pieces of documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null text counts as empty, and an empty document is its end id alone. Every row is packed, repeated ones too (row_id
-    tells them apart). Documents of equal key stand in the order of row_id. No rows give no pieces. Tokens are written
-    once to the shared folder; order and running totals use only identifiers, keys and counts."""
+    tells them apart). Documents of equal key stand in the order of doc_id, then of a hash of their tokens, so that the
+    order doesn't depend on files or partitions; only equal rows are told apart by row_id. A null doc_id comes first among
+    equal keys. No rows give no pieces. Tokens are written once to the shared folder; order and running totals use only identifiers, keys and counts."""
     tokens = stash(tokenized(docs, encoder or public_encoder(), dims, bits, features, seed), "tokens")
-    place = running_total(tokens.select("row_id", "curve", "n"), ["curve", "row_id"], "n", "_at").select("row_id", "_at")
+    place = running_total(tokens.select("row_id", "curve", "n", "doc_id", F.xxhash64("ids").alias("digest")), ["curve", "doc_id", "digest", "row_id"], "n", "_at").select("row_id", "_at")
 
     def each(c: dict) -> dict:
         out: dict = {k: [] for k in ("row_id", "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}

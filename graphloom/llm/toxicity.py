@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments.
 
-Token scores are log-odds under an informative Dirichlet prior. A linear-time scan finds all maximal scoring segments of
+Token scores are log-odds under a Dirichlet prior. A linear-time scan finds all maximal scoring segments of
 a document. Extreme-value statistics (E = K n exp(-lambda S)) turn a segment's score into an expected number of such
 segments in clean text of that length, and a two-parameter logistic fit turns a document's evidence into a probability."""
 
@@ -13,17 +13,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_batches
+from .common import bounded_sample, cut, map_batches, stash
 
 TOKEN = re.compile(r"\w+")
 
 
 @dataclass
 class ToxicModel:
-    """lexicon: token -> positive log-odds; rest: the (negative) score of any other token; scale, k: of the extreme-value
-    law; bias, slope: of the calibration."""
+    """odds: token -> shrunk log-odds of the toxic against the clean class, plus rest; rest: the (negative) score of a token
+    that the sample doesn't hold; scale, k: of the extreme-value law; bias, slope: of the calibration."""
 
-    lexicon: dict[str, float]
+    odds: dict[str, float]
     rest: float
     scale: float = 1.0
     k: float = 0.1
@@ -31,31 +31,33 @@ class ToxicModel:
     slope: float = 1.0
 
 
-def hits(text: str | None, lexicon: dict[str, float]) -> tuple[list[tuple[int, float]], int]:
-    """(position, score) of the lexicon's tokens in a text, and the number of its tokens."""
-    words = TOKEN.findall(text.lower()) if text else []
-    return [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon], len(words)
+def scores(text: str | None, m: ToxicModel) -> list[float]:
+    """The score of each token of a text, in order."""
+    return [m.odds.get(w, m.rest) for w in TOKEN.findall(text.lower())] if text else []
 
 
-def segments(found: list[tuple[int, float]], rest: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first token, last token, score), by one pass over the positive tokens with a stack:
-    each entry keeps the running sum before and after it, and merges with the nearest earlier one that starts lower."""
-    stack: list[list[float]] = []  # [first, last, sum before, sum after]
-    total, at = 0.0, 0
-    for i, score in found:
-        total += (i - at) * rest
-        piece = [i, i, total, total + score]
-        total, at = total + score, i + 1
+def segments(found: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first token, last token, score), by one pass over the tokens with a stack of the
+    positive ones: each entry keeps the running sum before and after it, and merges with the nearest earlier one that
+    starts lower."""
+    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    total = 0.0
+    for i, score in enumerate(found):
+        if score <= 0:
+            total += score
+            continue
+        piece = (i, i, total, total + score)
+        total += score
         while stack:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= piece[2]:
                 j -= 1
             if j < 0 or stack[j][3] >= piece[3]:
                 break
-            piece = [stack[j][0], piece[1], stack[j][2], piece[3]]
+            piece = (stack[j][0], i, stack[j][2], piece[3])
             del stack[j:]
         stack.append(piece)
-    return [(int(a), int(b), after - before) for a, b, before, after in stack]
+    return [(a, b, after - before) for a, b, before, after in stack]
 
 
 def evidence(score: float, n: int, m: ToxicModel) -> float:
@@ -66,18 +68,25 @@ def evidence(score: float, n: int, m: ToxicModel) -> float:
 def document(text: str | None, m: ToxicModel, most_expected: float = 0.05) -> tuple[float, int, list[tuple[int, int, float]]]:
     """Evidence of a document: its best segment's, plus what further significant ones add (the sum of the -ln E of all
     significant segments); with the significant segments and the number of tokens."""
-    found, n = hits(text, m.lexicon)
-    parts = [(a, b, evidence(s, n, m)) for a, b, s in segments(found, m.rest)]
+    found = scores(text, m)
+    n = len(found)
+    parts = [(a, b, evidence(s, n, m)) for a, b, s in segments(found)]
     sig = [p for p in parts if p[2] >= -math.log(most_expected)]
     x = sum(p[2] for p in sig) if sig else max((p[2] for p in parts), default=evidence(0.0, n, m))
     return min(max(x, -20.0), 60.0), n, sig
 
 
-def fit(train: DataFrame, least_z: float = 3.0, most_tokens: int = 50_000, prior: float = 500.0) -> ToxicModel:
-    """Fits on (text, toxic) rows, a bounded sample. Tokens are counted on the executors; the driver gets at most
-    most_tokens of them (those of largest z) and two numbers for each row of the sample. Rows without a label don't count.
-    Without words of both classes nothing can be learned, and the model predicts clean for every text."""
-    train = train.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+def fit(train: DataFrame, most_tokens: int = 500_000, prior: float = 500.0, z: float = 2.5) -> ToxicModel:
+    """Fits on (text, toxic) rows, a bounded sample, which is written once. Tokens are counted on the executors; the driver
+    gets their counts and two numbers for each row of the sample. Rows without a label don't count.
+
+    Every token of the sample has its own log-odds under a Dirichlet prior of `prior` tokens in proportion to the whole
+    sample and half a token each, shrunk as by James and Stein: by the factor 1 - (z * standard error / log-odds) ** 2, to 0
+    where that is negative. Added to each is the log-odds of all tokens that are not toxic, which is below 0, so
+    that clean text scores below 0 on average. Beyond most_tokens tokens, those of the
+    smallest log-odds over their errors score as unseen ones do. Without words of both classes nothing can be learned, and
+    the model predicts clean for every text."""
+    train = stash(train.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxicity-training")
 
     def count(c: dict) -> dict:
         from collections import Counter
@@ -88,45 +97,48 @@ def fit(train: DataFrame, least_z: float = 3.0, most_tokens: int = 50_000, prior
         words = list(by[0].keys() | by[1].keys())
         return {"word": words, "clean": [by[0][w] for w in words], "bad": [by[1][w] for w in words]}
 
-    words = map_batches(train, count, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
+    words = cut(map_batches(train, count, "word string, clean long, bad long", rows=2048).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")))
     sums = words.agg(F.sum("clean"), F.sum("bad"), F.count("*")).first()
     n0, n1 = float(sums[0] or 0), float(sums[1] or 0)
     if not n0 or not n1:
         return ToxicModel({}, -0.01, bias=-1.0, slope=0.0)
-    # The Dirichlet prior: `prior` tokens in proportion to the whole sample, and half a token each.
     own = (F.col("clean") + F.col("bad")) * F.lit(prior / (n0 + n1)) + 0.5
     b, c, all_own = F.col("bad") + own, F.col("clean") + own, prior + 0.5 * sums[2]
-    odds = F.log(b / (n1 + all_own - b)) - F.log(c / (n0 + all_own - c))
-    z = odds / F.sqrt(1 / b + 1 / c)
-    top = words.where(z >= least_z).select("word", "clean", "bad", odds.alias("odds")).orderBy(z.desc(), "word").limit(most_tokens).collect()
-    p0 = (sum(r["clean"] for r in top) + 0.5) / (n0 + 1)
-    p1 = (sum(r["bad"] for r in top) + 0.5) / (n1 + 1)
-    m = ToxicModel({r["word"]: r["odds"] for r in top}, min(math.log(max(1 - p1, 1e-9) / (1 - p0)), -1e-3))
-    _extremes(m, top, n0)
-
-    def measure(c: dict) -> dict:
-        return {"x": [document(t, m)[0] for t in c["text"]], "y": c["toxic"]}
+    odds = F.nullif(F.log(b / (n1 + all_own - b)) - F.log(c / (n0 + all_own - c)), F.lit(0.0))
+    error = F.sqrt(1 / b + 1 / c)
+    shrunk = odds * F.greatest(1 - F.pow(z * error / odds, 2), F.lit(0.0))
+    top = words.select("word", "clean", "bad", F.coalesce(shrunk, F.lit(0.0)).alias("odds")).orderBy((F.abs(odds) / error).desc_nulls_last(), "word").limit(most_tokens).collect()
+    # What toxic text gives to its own words it takes from all others; their common log-odds is the drift of clean text.
+    p0, p1 = ((sum(r[k] for r in top if r["odds"] > 0) + 0.5) / (n + 1) for k, n in (("clean", n0), ("bad", n1)))
+    rest = min(math.log(max(1 - p1, 1e-9) / (1 - p0)), -1e-3)
+    m = ToxicModel({r["word"]: r["odds"] + rest for r in top}, rest)
+    m.scale = _scale([((r["clean"] + 0.5) / (n0 + 0.5 * sums[2]), r["odds"] + rest) for r in top], rest)
+    # K: how many segments clean text of the sample has above a score, over what the law without K expects.
+    level = 2 / m.scale
 
     def clean_segments(c: dict) -> dict:
-        least = min(m.lexicon.values(), default=0.0)
-        return {"n": [sum(s >= least for _, _, s in segments(hits(t, m.lexicon)[0], m.rest)) for t, y in zip(c["text"], c["toxic"], strict=True) if not y]}
+        found = [scores(t, m) for t, y in zip(c["text"], c["toxic"], strict=True) if not y]
+        return {"n": [sum(s >= level for _, _, s in segments(f)) for f in found], "tokens": [len(f) for f in found]}
+
+    seen = map_batches(train, clean_segments, "n long, tokens long").agg(F.sum("n"), F.sum("tokens")).first()
+    m.k = ((seen[0] or 0) + 0.5) / (max(seen[1] or 0, 1) * math.exp(-m.scale * level))
+
+    def measure(c: dict) -> dict:
+        return {"x": [document(t, m)[0] for t in c["text"]], "y": [int(y > 0) for y in c["toxic"]]}
 
-    seen = map_batches(train, clean_segments, "n long").agg(F.sum("n")).first()[0] or 0
-    m.k = (seen + 0.5) / (n0 * math.exp(-m.scale * min(m.lexicon.values(), default=0.0)))
     _calibrate(m, [(r["x"], r["y"]) for r in map_batches(train, measure, "x double, y int").collect()])
     return m
 
 
-def _extremes(m: ToxicModel, top: list, n0: float) -> None:
-    """scale: the positive root of E[exp(scale * score)] = 1 under the clean token frequencies."""
-    freq = [((r["clean"] + 0.5) / (n0 + 0.5 * len(top) + 1), r["odds"]) for r in top]
-    other = max(1 - sum(p for p, _ in freq), 1e-9)
+def _scale(freq: list[tuple[float, float]], rest: float) -> float:
+    """The positive root of E[exp(scale * score)] = 1 under the clean token frequencies (share, score)."""
+    other = max(1 - sum(p for p, _ in freq), 0.0)
     low, high = 1e-3, 10.0
     for _ in range(60):
         mid = (low + high) / 2
-        value = other * math.exp(mid * m.rest) + sum(p * math.exp(min(mid * s, 700)) for p, s in freq)
+        value = other * math.exp(mid * rest) + sum(p * math.exp(min(mid * s, 700)) for p, s in freq)
         low, high = (mid, high) if value < 1 else (low, mid)
-    m.scale = low
+    return low
 
 
 def _calibrate(m: ToxicModel, seen: list[tuple[float, int]]) -> None:
@@ -162,7 +174,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Dat
 def score_toxicity(docs: DataFrame, m: ToxicModel) -> DataFrame:
     """doc_id, score (0 to 1, higher is likelier toxic), predicted, n_tokens, passages (first and last token and evidence
     of every significant segment). Every row and whole text is scored; null and empty texts get the score of no evidence.
-    Repeated rows are scored each; further columns are not carried. No shuffle."""
+    Repeated rows are scored each, a null doc_id is kept, no rows give none; further columns are not carried. No shuffle."""
 
     def each(c: dict) -> dict:
         out = {"doc_id": c["doc_id"], "score": [], "n_tokens": [], "passages": []}
@@ -178,7 +190,8 @@ def score_toxicity(docs: DataFrame, m: ToxicModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, m: ToxicModel) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns; a map without shuffle."""
+    """The rows of docs that are not predicted toxic, with their columns; a map without shuffle. A null or empty text has no
+    evidence, so it goes only if such texts are predicted toxic; repeated rows share their fate, no rows give none."""
 
     def judge(batches):
         import pyarrow as pa

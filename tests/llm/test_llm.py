@@ -233,6 +233,15 @@ def test_encoder_special_token():
         assert packing.public_encoder()()(t).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_packing_order(spark, docs):
+    """Along the curve sequences follow the key, ties the identifier, whatever the partitions."""
+    pytest.importorskip("public_tokenizers")
+    some = docs.where("doc_id < 310 or doc_id in (401, 402)")
+    key = {r["doc_id"]: r["curve"] for r in packing.tokenized(some, packing.public_encoder(), 3, 12, 256, 17).collect()}
+    place = lambda df: [r["doc_id"] for r in sorted(packing.pack(df, length=256).where("start = 0").collect(), key=lambda r: (r["sequence_id"], r["offset"]))]
+    assert place(some.repartition(3)) == place(some.repartition(7)) == sorted(key, key=lambda i: (key[i], i))
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3)])
 def test_hilbert(dims, bits):
     """A bijection whose successive points are neighbours."""
@@ -329,6 +338,37 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_plain(spark):
+    """identify against loops over windows, positions and units; no window reads its padding."""
+    net = language.fresh(["a", "b", "c"], 3, np.random.default_rng(2))
+    p, H = net.p, 3
+    soft = lambda v: v / (1 + np.abs(v))
+
+    def run(raw, d):
+        h, out = np.zeros(H), []
+        for byte in raw if d == 0 else raw[::-1]:
+            a = p[f"embed{d}"][:, byte]
+            g = 0.5 + 0.5 * soft(a[: 2 * H] + p[f"zr{d}"] @ h)
+            c = soft(a[2 * H :] + p[f"cand{d}"] @ (g[H:] * h))
+            h = h + g[:H] * (c - h)
+            out.append(h)
+        return out if d == 0 else out[::-1]
+
+    rng = random.Random(3)
+    texts = {i: "".join(rng.choice("abc é\n") for _ in range(n)) + "x" for i, n in enumerate((0, 1, 18, 95, 96, 97, 127, 128, 129, 500))}
+    got = by_id(language.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), net))
+    for i, t in texts.items():
+        raw, total = t.encode(), np.zeros(3)
+        for at in range(0, len(raw), 96):
+            lo = max(at - 16, 0)
+            window = raw[lo : at + 112]
+            for k, (f, b) in enumerate(zip(run(window, 0), run(window, 1), strict=True)):
+                if at <= lo + k < at + 96:
+                    e = np.exp(p["out"] @ np.concatenate((f, b)) + p["bias"][:, 0])
+                    total += e / e.sum()
+        assert got[i]["lang_pred"] == net.langs[int(total.argmax())] and got[i]["score"] == pytest.approx(total.max() / len(raw), abs=1e-4)
+
+
 def test_language_gradient():
     """Backpropagation through time against finite differences."""
     rng = np.random.default_rng(0)
@@ -363,7 +403,7 @@ def test_segments():
             _, _, _, i, j = best
             return [*brute(a, i), (i, j - 1, sum(flat[i:j])), *brute(j, b)]
 
-        got = toxicity.segments([(i, s) for i, s in enumerate(score) if s is not None], -1.0)
+        got = toxicity.segments(flat)
         assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in brute(0, n)))
         assert max((s for *_, s in got), default=0) == max((s for *_, s in brute(0, n)), default=0)
 
@@ -391,6 +431,47 @@ def test_toxicity(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, r in got.items() if not r["predicted"]) and left.columns == docs.columns
 
 
+def test_toxicity_scores(spark):
+    """Log-odds, drift, the law's scale and K, and scores, against plain loops over the same sample."""
+    import math
+
+    rng = random.Random(18)
+    rows = []
+    for i in range(120):
+        w = words(rng, rng.randint(5, 40)).split()
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = "vile"
+        rows.append((" ".join(w), int(i % 3 == 0)))
+    m = toxicity.fit(spark.createDataFrame([*rows, (None, 0), ("no label", None)], "text string, toxic int"))
+    rows.append(("", 0))
+    count = {0: Counter(), 1: Counter()}
+    for t, y in rows:
+        count[y].update(set(re.findall(r"\w+", t.lower())))
+    vocabulary = count[0].keys() | count[1].keys()
+    n0, n1 = sum(count[0].values()), sum(count[1].values())
+    odds = {}
+    for w in vocabulary:
+        own = (count[0][w] + count[1][w]) * 500 / (n0 + n1) + 0.5
+        b, c, every = count[1][w] + own, count[0][w] + own, 500 + 0.5 * len(vocabulary)
+        x = math.log(b / (n1 + every - b)) - math.log(c / (n0 + every - c))
+        odds[w] = x * max(1 - (2.5 * math.sqrt(1 / b + 1 / c) / x) ** 2, 0) if x else 0.0
+    p0, p1 = ((sum(count[y][w] for w in vocabulary if odds[w] > 0) + 0.5) / (n + 1) for y, n in ((0, n0), (1, n1)))
+    rest = min(math.log((1 - p1) / (1 - p0)), -1e-3)
+    assert m.rest == pytest.approx(rest) and m.odds == pytest.approx({w: x + rest for w, x in odds.items()})
+    expected = sum((count[0][w] + 0.5) / (n0 + 0.5 * len(vocabulary)) * math.exp(m.scale * (odds[w] + rest)) for w in vocabulary)
+    assert expected == pytest.approx(1, abs=1e-6) or m.scale > 9.99
+    pieces = [s for t, y in rows if not y for *_, s in toxicity.segments(toxicity.scores(t, m))]
+    tokens = sum(len(re.findall(r"\w+", t)) for t, y in rows if not y)
+    assert m.k == pytest.approx((sum(s >= 2 / m.scale for s in pieces) + 0.5) / (tokens * math.exp(-2)))
+    got = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(t for t, _ in rows)), "doc_id long, text string"), m)
+    for r in got.collect():
+        flat = [odds.get(w, 0.0) + rest for w in re.findall(r"\w+", rows[r["doc_id"]][0].lower())]
+        found = [m.scale * s - math.log(m.k * max(len(flat), 1)) for *_, s in toxicity.segments(flat)]
+        sure = [e for e in found if e >= -math.log(0.05)]
+        x = sum(sure) if sure else max(found, default=-math.log(m.k * max(len(flat), 1)))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(min(m.bias + m.slope * min(max(x, -20), 60), 30), -30))))
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     m = toxicity.fit(toxicity.training_rows(docs, none))
@@ -481,18 +562,54 @@ def test_lines(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
-    assert exact_dedup.exact_dedup(none).count() == 0
-    assert near_dedup.near_duplicates(none).count() == 0
+    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_exact(none).count() == 0
+    assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.keep_one(none).count() == 0
     assert suffix_dedup.remove_repeats(none, buckets=2).count() == 0
-    assert mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mix_rows(none).count() == 0
     assert quality.quality(none).count() == 0
     assert license_scan.scan(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert line_dedup.site_lines(pages, "page_id", line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))).count() == 0
+    m = toxicity.fit(toxicity.training_rows(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert toxicity.score_toxicity(none, m).count() == 0 and toxicity.drop_toxic(none, m).count() == 0
     pytest.importorskip("public_tokenizers")
     assert packing.pack(none).count() == 0
     net = language.train(language.training_windows(none))
     assert language.identify(none, net).count() == 0
 
 
+def test_repeated_rows_and_null_ids(spark):
+    """Rows without identifier and rows given twice come out each."""
+    rng = random.Random(20)
+    rows = [(1, words(rng, 60)), (None, words(rng, 40)), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    df = df.unionByName(df)
+    m = toxicity.ToxicModel({"a": 1.0}, -0.1)
+    net = language.fresh(["en", "fr"], 2, np.random.default_rng(0))
+    for out in (quality.quality(df), near_dedup.near_duplicates(df), toxicity.score_toxicity(df, m), language.identify(df, net), mixing.mix(df), exact_dedup.exact_dedup(df), suffix_dedup.remove_repeats(df, buckets=2)):
+        assert Counter(r["doc_id"] for r in out.collect()) == {1: 2, None: 4, 3: 2}
+    notice = spark.createDataFrame([(None, license_scan.TEMPLATES[6][1])] * 2, "doc_id long, text string")
+    assert [r["doc_id"] for r in license_scan.scan(notice).collect()] == [None]
+    pages = spark.createDataFrame([(None, "http://a.b/", "<p>x</p>")] * 2, "page_id long, url string, html string")
+    assert line_dedup.site_lines(pages, "page_id", line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))).count() == 2
+    pytest.importorskip("public_tokenizers")
+    assert sum(r["length"] for r in packing.pack(df).collect()) == sum(r["doc_tokens"] for r in packing.pack(df).where("start = 0").collect())
+
+
+def test_quality_verdict(spark, docs, texts):
+    """The verdict from ratios computed here."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    band = lambda n, size, bands: next(a <= size / n <= b for most, a, b in bands if n <= most)
+    for i, r in by_id(quality.quality(docs)).items():
+        raw = (texts[i] or "").encode()
+        parts = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
+        bad = sum(not band(len(p), len(z.compress(p)), quality.CHUNK_BANDS) for p in parts)
+        good = bool(raw) and band(len(raw), len(z.compress(raw)), quality.WHOLE_BANDS) and 2 * bad <= len(parts)
+        assert r["kept"] == (good and not r["base_failed"])
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "some words that make a text here"), (None, None), (1, "some words that make a text here")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
     assert near_dedup.near_duplicates(df).count() == 3
