@@ -59,22 +59,24 @@ def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return near.orderBy(place, id_col).limit(most)
 
 
-def hot_keys(counts: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str | list[str], parts: int | None = None) -> DataFrame:
     """(key, pieces) of the keys of counts (key, n) that hold more than the `parts`-th share of all rows, so at most `parts`
     of them: a table of bounded size. pieces is in how many of that share a key's rows are to be dealt."""
+    keys = [key] if isinstance(key, str) else key
     parts = parts or 8 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = counts.agg(F.sum("n").alias("_total"))
     shared = counts.crossJoin(F.broadcast(total)).where(F.col("n") * parts > F.col("_total"))  # total: one row
-    return cut(shared.select(key, F.ceil(F.col("n") * parts / F.col("_total")).cast("int").alias("pieces")))
+    return cut(shared.select(*keys, F.ceil(F.col("n") * parts / F.col("_total")).cast("int").alias("pieces")))
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
     """many join one (a row a key) on key. The rows of a hot key are dealt over its pieces by the hash of `by`, and its row
     of `one` is repeated for each piece; other keys are joined as they are. hot is of bounded size and broadcast."""
+    keys = [key] if isinstance(key, str) else key
     pieces = F.coalesce("pieces", F.lit(1))
-    left = many.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("pieces")
-    right = one.join(F.broadcast(hot), key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
-    return left.join(right, [key, "_piece"], how).drop("_piece")
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("pieces")
+    right = one.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    return left.join(right, [*keys, "_piece"], how).drop("_piece")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

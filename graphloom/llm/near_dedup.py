@@ -10,11 +10,13 @@ can be linked at all: a link needs near sizes, and shingles that no other docume
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, stash
+from .common import cut, hot_keys, map_batches, spread_join, stash
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPACE = np.zeros(256, bool)
@@ -101,10 +103,12 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), na, nb those whose full sets reach the similarity. The joins are by single identifiers; a hub with
-    many partners is a skewed key of a plain sort-merge join, which adaptive execution splits."""
+    """Of pairs (a, b), na, nb those whose full sets reach the similarity. A document is b in few pairs; a hub that is a in
+    many has them dealt over several tasks."""
+    pairs = cut(pairs)
+    hubs = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
     one = pairs.join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = one.join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = spread_join(one, full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a", hubs, "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.where(common * 100 >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -142,14 +146,24 @@ def possible(percent: int, na: str, nb: str, ca: str, cb: str) -> str:
 def across(rest: DataFrame, percent: int, block: int = 128) -> DataFrame:
     """Pairs (a, b), na, nb of a bucket's members in different components that may be linked, each pair once.
 
-    Members are packed in blocks, so that a bucket of m members costs m * m / block rows, and the condition picks the
-    partners inside a block; a pair counts only in the first band that it shares."""
-    size = rest.groupBy("band").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    member = F.struct("rep", "n", "c", "root", "bands")
-    blocks = rest.join(size, "band").groupBy("band", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("_k")).agg(F.collect_list(member).alias("block"))
+    A bucket is cut into classes of size, so wide that linked documents lie in the same or in neighbouring ones, and a class
+    into blocks of about `block` members. A member visits the blocks of its class and of the next; blocks are dealt by
+    (band, class, block), and the condition picks the partners inside one. A pair counts only in the first band that it
+    shares."""
+    width = -math.log(percent / 100) * 1.001
+    rest = rest.withColumn("cls", F.floor(F.log("n") / width))
+    cell = ["band", "cls"]
+    counts = cut(rest.groupBy(*cell).agg(F.count("*").alias("n")))
+    hot = hot_keys(counts, cell)
+    blocks_of = counts.select(*cell, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    member = F.struct("rep", "n", "c", "root", "bands", F.col("cls").alias("at"))
+    blocks = spread_join(rest, blocks_of, cell, hot, "rep").groupBy(*cell, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("_k")).agg(F.collect_list(member).alias("block"))
+    look = rest.withColumn("own", F.col("cls")).withColumn("cls", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
+    visits = spread_join(look, blocks_of, cell, hot, "rep").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     may = possible(percent, "n", "y.n", "c", "y.c")
     first = "element_at(filter(zip_with(bands, y.bands, (p, q) -> if(p = q, p, null)), p -> p is not null), 1) = band"
-    fits = rest.join(blocks, "band").select(F.col("rep").alias("a"), F.col("n").alias("na"), F.expr(f"filter(block, y -> rep < y.rep and root <> y.root and {may} and {first})").alias("ys")).where("size(ys) > 0")
+    partner = f"filter(block, y -> (own < y.at or rep < y.rep) and root <> y.root and {may} and {first})"
+    fits = visits.join(blocks, [*cell, "_k"]).select(F.col("rep").alias("a"), F.col("n").alias("na"), F.expr(partner).alias("ys")).where("size(ys) > 0")
     return fits.select("a", "na", F.explode(F.transform("ys", lambda y: F.struct(y["rep"].alias("b"), y["n"].alias("nb")))).alias("y")).select("a", "na", "y.b", "y.nb")
 
 
@@ -159,20 +173,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, permutations: int = 32,
     Documents are linked where 100 * |A and B| >= percent * |A or B|; bands miss a pair at 0.85 with probability under
     1e-5 at 16 bands of 4. Texts without words have an empty set and are linked with nothing; documents with equal sets are
     one node, so large groups of copies cost one row a copy. Repeated rows come out each, with the same values; rows
-    without identifier are linked with nothing and have a null component. Further columns are not carried."""
+    without identifier are linked with nothing and have a null component. Further columns are not carried.
+
+    Buckets, hubs and groups of equal sets with a large share of all rows are dealt over several tasks."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(profiles(texts, permutations, rows, width))
     able = seen.where("doc_id is not null and print_a is not null")
     prints = ["print_a", "print_b", "n_shingles"]
-    reps = able.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = cut(reps)
+    reps = cut(able.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    copies = hot_keys(reps.select(*prints, "n"), prints)
     banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    inside = cut(banded.join(shared, "band"))
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(shared, "band")
+    inside = cut(spread_join(banded, shared.select("band"), "band", hot, "rep"))
     full = stash(sets(texts.join(inside.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "shingle-sets")
     within = cut(inside.join(common_shingles(full), "rep"))
     hubs = within.groupBy("band").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("rep")).alias("low"), "rep", "n", "c")).alias("hub"))
-    stars = within.join(hubs, "band").where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.c").alias("ca"), F.col("c").alias("cb"))
+    stars = spread_join(within, hubs, "band", hot, "rep").where("rep <> hub.rep").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.c").alias("ca"), F.col("c").alias("cb"))
     may = possible(percent, "na", "nb", "ca", "cb")
     links = cut(confirm(stars.where(may).distinct(), full, percent))
     label = components(links)
@@ -180,16 +197,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, permutations: int = 32,
     # What is left: members of one bucket in different components. Pairs inside a component need no check.
     known = within.where(F.col("c") * 100 >= percent * F.col("n")).join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = known.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band")
-    rest = cut(known.join(mixed, "band").join(reps.select("rep", "bands"), "rep"))
+    rest = cut(spread_join(known, mixed, "band", hot, "rep").join(reps.select("rep", "bands"), "rep"))
     more = cut(confirm(across(rest, percent), full, percent))
     if not more.isEmpty():
         label = components(cut(links.unionByName(more)))
     rooted = reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*prints, F.coalesce("root", "rep").alias("component_id"))
-    out = seen.join(rooted, prints, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = spread_join(seen, rooted, prints, copies, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs that stay: one document of each group (and rows without identifier), with their columns."""
+    """The rows of docs that stay: one document of each group (and rows without identifier), with their columns. Null and
+    empty texts stay, each by itself; repeated rows of a document that stays stay all; no rows give none."""
     gone = near_duplicates(docs, **params).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
