@@ -92,13 +92,12 @@ def spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def laid_out(docs: list, texts: list, bases: list) -> tuple[np.ndarray, ...]:
-    """Documents end to end in the order of their identifiers and bases: identifiers, bases, bytes, begins, ends."""
+def laid_out(docs: list, raws: list[bytes], bases: list) -> tuple[np.ndarray, ...]:
+    """Stretches end to end in the order of their identifiers and bases: identifiers, bases, bytes, begins, ends."""
     order = np.lexsort((np.array(bases, np.int64), np.array(docs, np.int64)))
-    raws = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order]
-    size = np.array([len(r) for r in raws], np.int64)
+    size = np.array([len(raws[i]) for i in order], np.int64)
     end = np.cumsum(size)
-    return np.array(docs, np.int64)[order], np.array(bases, np.int64)[order], np.frombuffer(b"".join(raws), np.uint8), end - size, end
+    return np.array(docs, np.int64)[order], np.array(bases, np.int64)[order], np.frombuffer(b"".join(raws[i] for i in order), np.uint8), end - size, end
 
 
 def firsts(*keys: np.ndarray) -> np.ndarray:
@@ -132,20 +131,25 @@ def expand(body: bytes) -> np.ndarray:
     return rows
 
 
-def slices(batches, most_bytes: int = 2 << 20):
-    """(doc ids, texts, bases) of at most about most_bytes each."""
+def slices(batches, span: int, most_bytes: int = 2 << 20):
+    """(doc ids, bytes, bases) of at most about most_bytes each. A longer text comes in stretches that overlap by span - 1
+    bytes: each span-byte string lies in one of them. A run that a border cuts differs as a whole from an uncut one, so its
+    anchor is looked into by bytes."""
     for batch in batches:
-        docs, texts, bases, size = [], [], [], 0
+        docs, raws, bases, size = [], [], [], 0
         for d, t, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            docs.append(d)
-            texts.append(t)
-            bases.append(b)
-            size += len(t or "")
-            if size >= most_bytes:
-                yield docs, texts, bases
-                docs, texts, bases, size = [], [], [], 0
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            for at in range(0, max(len(raw) - span + 1, 1), most_bytes):
+                piece = raw[at : at + most_bytes + span - 1]
+                docs.append(d)
+                raws.append(piece)
+                bases.append(b + at)
+                size += len(piece)
+                if size >= most_bytes:
+                    yield docs, raws, bases
+                    docs, raws, bases, size = [], [], [], 0
         if docs:
-            yield docs, texts, bases
+            yield docs, raws, bases
 
 
 def send(kind: int, bucket: np.ndarray, rows: np.ndarray, batch: int) -> pa.RecordBatch:
@@ -161,12 +165,12 @@ def send(kind: int, bucket: np.ndarray, rows: np.ndarray, batch: int) -> pa.Reco
 RUNS, DONE, WINDOWS = 0, 1, 2
 
 
-def first_pass(span: int, buckets: int):
+def first_pass(span: int, buckets: int, most_bytes: int = 2 << 20):
     """Batches of documents to records: RUNS by anchor, DONE (already settled, passed through) by document."""
 
     def run(batches):
-        for docs, texts, bases in slices(batches):
-            ids, base, raw, begin, end = laid_out(docs, texts, bases)
+        for part in slices(batches, span, most_bytes):
+            ids, base, raw, begin, end = laid_out(*part)
             rolling = Rolling(raw)
             a, first, last = anchors(rolling, raw, begin, end, span)
             if not len(a):
@@ -325,23 +329,27 @@ def pieces(texts: DataFrame) -> DataFrame:
     return texts.join(again, "doc_id", "left_anti").withColumns(plain).unionByName(stash(based.select("doc_id", "text", "base", "copies"), "repeated-ids"))
 
 
-def remove_repeats(docs: DataFrame, span: int = 100, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 100, buckets: int | None = None, bucket_bytes: int = 64 << 20, stretch: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed stretches), kept (remaining bytes), kept_sha256 of every row.
 
     A byte goes if a span-byte string that covers it also starts earlier (smaller doc_id, or same document and earlier
     start). Null text is empty; texts shorter than span keep all. doc_id is the identity of a document: rows without one
     are returned whole, and rows that repeat one count as stretches of one document, one after the other (no string spans two):
-    of equal rows the first stays as it is, different texts follow each other in the order of their 64-bit hashes."""
-    spark = docs.sparkSession
-    buckets = buckets or max(96, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    of equal rows the first stays as it is, different texts follow each other in the order of their 64-bit hashes.
+
+    There is a task for each bucket_bytes of text and four buckets a task, so what a bucket holds does not grow with the
+    table. Texts are read in stretches of `stretch` bytes, which bounds the memory of a long one."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     able = texts.where(F.octet_length("text") >= span).where("doc_id is not null").select("doc_id", "text", "base")
+    tasks = max(partitions, (able.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes)
+    buckets = buckets or max(96, 4 * tasks)
     shape = "doc_id long, start long, stop long, shift int, key long"
-    runs = stash(able.mapInArrow(first_pass(span, buckets), OUT).groupBy("bucket").applyInArrow(settle_runs(span), shape), "suffix-runs")
+    runs = stash(able.mapInArrow(first_pass(span, buckets, stretch), OUT).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(settle_runs(span), shape), "suffix-runs")
     base = F.shiftleft(F.shiftright("start", ROOM), ROOM).alias("base")
     open_ = runs.where("shift >= 0").groupBy("doc_id", base).agg(F.collect_list(F.struct("start", "stop", "key")).alias("runs"))
     bytes_ = able.join(open_, ["doc_id", "base"]).select("doc_id", "text", "base", "runs").mapInArrow(second_pass(span, buckets), OUT)
-    windows = bytes_.groupBy("bucket").applyInArrow(settle_windows(span), shape)
+    windows = bytes_.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(settle_windows(span), shape)
     gone = runs.where("shift < 0").unionByName(windows).groupBy("doc_id", base).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
 
     names = ("doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256")

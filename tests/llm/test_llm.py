@@ -134,6 +134,17 @@ def test_near_chain(spark):
     assert [got[i]["component_id"] for i in range(len(chain))] == root
 
 
+def test_near_across(spark):
+    """Many documents of one bucket in different components, of mixed sizes: blocks and classes find each pair once."""
+    rng = random.Random(30)
+    rows = [(i, rng.randint(20, 60), 1, i % 7, [1, rng.randint(2, 4)]) for i in range(300)]
+    rest = spark.createDataFrame([(1, i, n, n, root, b) for i, n, _, root, b in rows], "band long, rep long, n long, c long, root long, bands array<long>")
+    got = [frozenset((r["a"], r["b"])) for r in near_dedup.across(rest, 85, block=8).collect()]
+    near = lambda a, b: 85 * max(a, b) <= 100 * min(a, b) and min(a, b) * 185 >= 85 * (a + b)
+    want = {frozenset((x[0], y[0])) for x in rows for y in rows if x[0] < y[0] and x[3] != y[3] and near(x[1], y[1])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_long_chain(spark):
     """A path of 500 nodes in random order, and a short one apart."""
     order = list(range(500))
@@ -163,6 +174,24 @@ def test_suffix(spark, docs, texts):
     assert {i: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for i, r in got.items()} == brute_repeats(texts, 100)
 
 
+def test_suffix_stretches(spark, docs, texts):
+    """Texts in stretches far shorter than they are, whose borders cut runs."""
+    some = {i: t for i, t in texts.items() if i not in (408,)}
+    got = by_id(suffix_dedup.remove_repeats(docs.where("doc_id <> 408"), buckets=3, stretch=150))
+    assert {i: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for i, r in got.items()} == brute_repeats(some, 100)
+
+
+def test_suffix_long_text(spark):
+    """A text of 20 MB that holds one passage twice, beside a short copy of it."""
+    rng = np.random.default_rng(5)
+    raw = bytearray(rng.integers(97, 123, 20_000_000).astype(np.uint8).tobytes())
+    raw[15_000_000:15_000_300] = raw[1000:1300]
+    texts = [(7, raw.decode()), (8, "x" * 50 + raw[1100:1300].decode())]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")))
+    spans = [(s["start"], s["stop"]) for s in got[7]["spans"]]
+    assert len(spans) == 1 and spans[0][0] <= 15_000_000 and spans[0][1] >= 15_000_300 and got[7]["n_removed"] < 310 and got[8]["n_removed"] in range(200, 205)
+
+
 def test_suffix_repeated_rows(spark):
     """Rows given twice and three times, different texts under one identifier, a short and an empty repeat."""
     rng = random.Random(12)
