@@ -20,9 +20,14 @@ def weight_column(weights: dict[str, float]) -> Column:
     return out
 
 
+def once(value: Column) -> Column:
+    """An aggregate over the sources of a node; raises when read if a source names the node twice."""
+    return F.when(F.size(F.collect_set("source")) == F.count("*"), value).otherwise(F.raise_error(F.lit("a list names a node twice")).cast("double"))
+
+
 def rrf(ranked: DataFrame, weights: dict[str, float], c: int = C) -> DataFrame:
     """query_id, node_id, score, rn by weighted reciprocal ranks; nodes whose sources all weigh 0 still appear."""
-    score = F.round(F.sum(weight_column(weights) / (F.col("rank") + c)), 9)
+    score = once(F.round(F.sum(weight_column(weights) / (F.col("rank") + c)), 9))
     fused = ranked.groupBy("query_id", "node_id").agg(score.alias("score"))
     return fused.withColumn("rn", F.row_number().over(by_query(F.desc("score"), "node_id")))
 
@@ -31,7 +36,7 @@ def rrf_weights(ranked: DataFrame, dense: list[float], c: int = C) -> DataFrame:
     """Several dense weights in one pass over the lists: query_id, w, node_id, score, rn."""
     each = F.explode(F.array(*[F.lit(float(w)) for w in dense])).alias("w")
     share = F.when(F.col("source") == "dense", F.col("w")).otherwise(1 - F.col("w"))
-    fused = ranked.select("*", each).groupBy("query_id", "w", "node_id").agg(F.round(F.sum(share / (F.col("rank") + c)), 9).alias("score"))
+    fused = ranked.select("*", each).groupBy("query_id", "w", "node_id").agg(once(F.round(F.sum(share / (F.col("rank") + c)), 9)).alias("score"))
     return fused.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "w").orderBy(F.desc("score"), "node_id")))
 
 
@@ -40,12 +45,17 @@ def duplicates(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id", "source", "node_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def turn(order: tuple[str, ...]) -> Column:
+    """A source's place in the given order; others come last."""
+    out = F.lit(len(order))
+    for i, source in enumerate(order):
+        out = F.when(F.col("source") == source, F.lit(i)).otherwise(out)
+    return out
+
+
 def stable_union(ranked: DataFrame, order: tuple[str, ...] = ("dense", "sparse"), name: str = "pos") -> DataFrame:
     """Nodes in order of their first appearance, list after list."""
-    place = F.lit(len(order) * 1_000_000)
-    for i, source in enumerate(order):
-        place = F.when(F.col("source") == source, F.lit(i * 1_000_000)).otherwise(place)
-    first = ranked.groupBy("query_id", "node_id").agg(F.min(place + F.col("rank")).alias("_at"))
+    first = ranked.groupBy("query_id", "node_id").agg(F.min(F.struct(turn(order), F.col("rank"))).alias("_at"))
     return first.withColumn(name, F.row_number().over(by_query("_at"))).drop("_at")
 
 
@@ -59,10 +69,7 @@ def anchor(ranked: DataFrame) -> DataFrame:
 
 def round_robin(ranked: DataFrame, order: tuple[str, ...] = ("dense", "sparse")) -> DataFrame:
     """Nodes rank by rank, sources in order within a rank; first occurrence."""
-    turn = F.lit(len(order))
-    for i, source in enumerate(order):
-        turn = F.when(F.col("source") == source, F.lit(i)).otherwise(turn)
-    first = ranked.where("node_id >= 0").groupBy("query_id", "node_id").agg(F.min(F.col("rank") * 100 + turn).alias("_at"))
+    first = ranked.where("node_id >= 0").groupBy("query_id", "node_id").agg(F.min(F.struct(F.col("rank"), turn(order))).alias("_at"))
     return first.withColumn("pos", F.row_number().over(by_query("_at"))).drop("_at")
 
 

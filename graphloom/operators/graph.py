@@ -57,13 +57,18 @@ def step(frontier: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def bfs(start: DataFrame, links: DataFrame, hops: int) -> DataFrame:
-    """query_id, node_id, hop (0 to hops) of the nodes reached; the number of hops is small, so the plan is unrolled."""
+    """query_id, node_id, hop (0 to hops) of the nodes reached; from the third hop on the reached set is checkpointed each
+    time, so that plans don't grow with the hops."""
     links = links.distinct()
     seen = start.select("query_id", "node_id").distinct().withColumn("hop", F.lit(0))
     front = seen.drop("hop")
     for h in range(1, hops + 1):
         front = step(front, links).join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+        if h > 2:
+            front = cut(front)
         seen = seen.unionByName(front.withColumn("hop", F.lit(h)))
+        if h > 2 and h < hops:
+            seen = cut(seen)
     return seen
 
 

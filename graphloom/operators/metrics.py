@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import discounted_gain
 
-KS = (1, 5, 10, 20)
+KS = (1, 5, 10, 20, 50, 100)
 
 
 def hits(ranking: DataFrame, golds: DataFrame, pool: DataFrame | None = None) -> DataFrame:

@@ -1,11 +1,13 @@
 """Perturbations of edges and features. What is random is a hash of the edge's place and a seed, so results do not depend
-on partitions; rates are therefore met in expectation, and exactly the same rows change at a larger rate and more."""
+on partitions. drop_edges meets its rate exactly, the others in expectation; the rows that change at a rate change at a larger one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import numbered
+
 
 def chance(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the first eight hexadecimal digits of an MD5."""
@@ -14,26 +16,49 @@ def chance(key: Column, seed: str) -> Column:
 
 
 def drop_edges(edges: DataFrame, rate: float, seed: str) -> DataFrame:
-    return edges.where(chance(F.col("edge_pos"), seed) >= rate)
+    """All edges but the round(rate * edges) of smallest chance (half to even)."""
+    placed = numbered(edges.withColumn("_c", chance(F.col("edge_pos"), seed)), ["_c", "edge_pos"], "_p")
+    gone = edges.agg(F.rint(F.count("*") * rate).alias("_gone"))
+    return placed.crossJoin(F.broadcast(gone)).where(F.col("_p") >= F.col("_gone")).drop("_c", "_p", "_gone")
 
 
-def rewire(edges: DataFrame, rate: float, seed: str, by: str) -> DataFrame:
-    """Destinations of the chosen edges move on by one place within a group; every in- and out-degree stays."""
+def move_on(edges: DataFrame, column: str, rate: float, seed: str, by: list[str], stretch: int) -> DataFrame:
+    """The chosen edges pass their values of a column on by one place, in circles inside stretches of `stretch` places, so
+    that no task orders all edges and the column's counts stay."""
     chosen = edges.where(chance(F.col("edge_pos"), seed) < rate)
-    w = Window.partitionBy(by).orderBy("edge_pos")
-    first = F.first("dst").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    moved = chosen.withColumn("dst", F.coalesce(F.lead("dst").over(w), first))
+    w = Window.partitionBy(*by, F.floor(F.col("edge_pos") / stretch)).orderBy("edge_pos")
+    first = F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moved = chosen.withColumn(column, F.coalesce(F.lead(column).over(w), first))
     return edges.where(chance(F.col("edge_pos"), seed) >= rate).unionByName(moved)
 
 
+def rewire(edges: DataFrame, rate: float, seed: str, by: str, stretch: int = 1000) -> DataFrame:
+    """Destinations of the chosen edges move on by one place within a group; every in- and out-degree stays."""
+    return move_on(edges, "dst", rate, seed, [by], stretch)
+
+
 def inject_hubs(edges: DataFrame, rate: float, seed: str) -> DataFrame:
     """Chosen edges point to the node that most edges enter (the smallest such)."""
     hub = edges.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("_hub"))
     return edges.crossJoin(F.broadcast(hub)).withColumn("dst", F.when(chance(F.col("edge_pos"), seed) < rate, F.col("_hub")).otherwise(F.col("dst"))).drop("_hub")
 
 
-def corrupt_types(edges: DataFrame, rate: float, seed: str, kinds: int) -> DataFrame:
-    return edges.withColumn("rel", F.when(chance(F.col("edge_pos"), seed) < rate, (F.col("rel") + 1) % kinds).otherwise(F.col("rel")))
+def corrupt_types(edges: DataFrame, rate: float, seed: str, stretch: int = 1000) -> DataFrame:
+    """Labels of the chosen edges are permuted among them; every label is as frequent as before."""
+    return move_on(edges, "rel", rate, seed, [], stretch)
+
+
+def add_random_edges(edges: DataFrame, nodes: DataFrame, rate: float, seed: str) -> DataFrame:
+    """src, dst of round(rate * edges) edges at least that are new, distinct and no loops: edge number i of twice as many joins
+    the nodes at two hashed places; of those that stand the test, the first by number are taken."""
+    wanted = edges.agg(F.rint(F.count("*") * rate).cast("long").alias("want")).crossJoin(nodes.agg(F.count("*").alias("n")))
+    tries = wanted.select("want", "n", F.explode(F.sequence(F.lit(1), F.greatest(2 * F.col("want"), F.lit(1)))).alias("i"))
+    place = lambda s: F.floor(chance(F.col("i"), seed + s) * F.col("n")).cast("long")
+    ids = numbered(nodes.select("node_id"), ["node_id"], "at")
+    pairs = tries.select("want", "i", place("a").alias("p"), place("b").alias("q"))
+    pairs = pairs.join(ids.select(F.col("at").alias("p"), F.col("node_id").alias("src")), "p").join(ids.select(F.col("at").alias("q"), F.col("node_id").alias("dst")), "q").where("src <> dst")
+    new = pairs.groupBy("src", "dst").agg(F.min("i").alias("i"), F.first("want").alias("want")).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    return numbered(new, ["i"], "p").where("p < want").select("src", "dst")
 
 
 def mask_features(vectors: DataFrame, rate: float, seed: str) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import quantiles
+
 
 def distribution(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Mean, five percentiles with linear interpolation and the largest value, rounded to six places."""
-    p = F.percentile(x, F.array(*[F.lit(v) for v in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)]))
-    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), p.alias("_p"), F.max(x).cast("double").alias("max"))
-    return g.select(*by, "n", "mean", *[F.round(F.get("_p", F.lit(i)), 6).alias(k) for i, k in enumerate(("p10", "p25", "p50", "p75", "p90", "p95"))], "max")
+    """Mean, six percentiles with linear interpolation and the largest value, rounded to six places."""
+    names = {0.1: "p10", 0.25: "p25", 0.5: "p50", 0.75: "p75", 0.9: "p90", 0.95: "p95"}
+    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.max(x).cast("double").alias("max"))
+    p = quantiles(df, by, x, list(names)).groupBy(*by).agg(*[F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 6).alias(k) for q, k in names.items()])
+    return g.join(p, by, "left").select(*by, "n", "mean", *names.values(), "max")
 
 
 def gini(df: DataFrame, by: list[str], x: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
 from graphloom.operators import fusion, graph, metrics, stats
+from graphloom.operators.order import numbered
 from graphloom.plans.more_queries import LOCAL_BFS, local_reach
 from graphloom.plans.queries import BFS, EXPAND, FOUND, expansion, found, query, reach
 from graphloom.plans.workload import Workload
@@ -48,9 +49,9 @@ def _(w: Workload) -> DataFrame:
     return w.table("customer").select("c_name", F.col("c_custkey").alias("node_id"), F.expr(r"try_cast(regexp_extract(c_name, '(\\d+)$', 1) as bigint)").alias("suffix"))
 
 
-@query("gather_by_id", "SELECT query_id, node_id, round(list_sum(embedding[1:4]::DOUBLE[]), 6) + 0.0 AS head FROM seeds JOIN embeddings ON vec_id = node_id")
+@query("gather_by_id", "SELECT query_id, node_id, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM seeds JOIN embeddings ON vec_id = node_id")
 def _(w: Workload) -> DataFrame:
-    return w.seeds.join(w.vectors, "node_id").select(*KEY, (F.round(F.aggregate(F.slice("vec", 1, 4), F.lit(0.0), lambda s, x: s + x.cast("double")), 6) + 0.0).alias("head"))
+    return w.seeds.join(w.vectors, "node_id").select(*KEY, (F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 6) + 0.0).alias("total"))
 
 
 @query("export_global", "SELECT doc_id, lang, source, sha256(coalesce(text, '')) AS digest, length(text) AS chars FROM documents")
@@ -58,11 +59,12 @@ def _(w: Workload) -> DataFrame:
     return w.table("documents").select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.length("text").cast("long").alias("chars"))
 
 
-@query("artifact_path", "SELECT l_returnflag || '/' || l_linestatus AS logical, sha256(string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber)) AS digest FROM (SELECT * FROM lineitem WHERE l_quantity = 50) GROUP BY 1")
+@query("artifact_path", "SELECT l_returnflag || '/' || l_linestatus || '/part=' || (l_orderkey // 1000) AS path, sha256(string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber)) AS digest FROM lineitem GROUP BY 1")
 def _(w: Workload) -> DataFrame:
-    """A digest of the sorted keys of each logical group of full lines."""
-    rows = w.table("lineitem").where("l_quantity = 50").groupBy(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("logical")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("k"))
-    return rows.select("logical", F.sha2(F.array_join(F.transform("k", lambda x: F.concat_ws(":", x["l_orderkey"].cast("string"), x["l_linenumber"].cast("string"))), ","), 256).alias("digest"))
+    """The path of each part of a logical group (1,000 orders) and a digest of its lines' sorted keys, which names the part."""
+    path = F.concat_ws("/", "l_returnflag", "l_linestatus", F.concat(F.lit("part="), F.floor(F.col("l_orderkey") / 1000).cast("string")))
+    rows = w.table("lineitem").groupBy(path.alias("path")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("k"))
+    return rows.select("path", F.sha2(F.array_join(F.transform("k", lambda x: F.concat_ws(":", x["l_orderkey"].cast("string"), x["l_linenumber"].cast("string"))), ","), 256).alias("digest"))
 
 
 @query("artifact_digest", """SELECT logical, sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM (
@@ -96,24 +98,26 @@ def _(w: Workload) -> DataFrame:
 
 @query("sample_even", "SELECT query_id FROM (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS i, count(*) OVER () AS n FROM queries) WHERE i IN (SELECT floor(k * (n - 1) / 4.0)::BIGINT FROM range(0, 5) t(k))")
 def _(w: Workload) -> DataFrame:
-    """Five queries at even steps (a sampling operator); a query's place is its id over 50."""
+    """Five queries at even steps (a sampling operator)."""
     n = w.queries.agg(F.count("*").alias("n"))
-    place = F.floor(F.col("query_id") / 50)
     picks = n.select(F.explode(F.expr("transform(sequence(0, 4), k -> floor(k * (n - 1) / 4.0D))")).alias("i")).distinct()
-    return w.queries.withColumn("i", place).join(F.broadcast(picks), "i").select("query_id")
+    return numbered(w.queries.select("query_id"), ["query_id"], "i").join(F.broadcast(picks), "i").select("query_id")
 
 
 @query("holdout_tail", "SELECT query_id, row_number() OVER (ORDER BY query_id) > count(*) OVER () - greatest(1, round_even(count(*) OVER () * 0.2, 0)) AS held FROM queries WHERE split = 'train'")
 def _(w: Workload) -> DataFrame:
     """The last fifth of the training queries (at least one), rounded half to even."""
-    t = w.queries.where("split = 'train'").select("query_id")
-    one = Window.partitionBy()
-    return t.select("query_id", (F.row_number().over(Window.orderBy("query_id")) > F.count("*").over(one) - F.greatest(F.lit(1.0), F.rint(F.count("*").over(one) * 0.2))).alias("held"))
+    t = numbered(w.queries.where("split = 'train'").select("query_id"), ["query_id"])
+    first = t.agg((F.count("*") - F.greatest(F.lit(1.0), F.rint(F.count("*") * 0.2))).alias("first"))
+    return t.crossJoin(F.broadcast(first)).select("query_id", (F.col("place") >= F.col("first")).alias("held"))
 
 
-@query("carve_stride", "SELECT query_id, (row_number() OVER (ORDER BY query_id) - 1) % 2 = 0 AS selected FROM queries")
+@query("carve_stride", "SELECT query_id, p % s = 0 AS selected, p % s <> 0 AS fit FROM (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS p, greatest(1, count(*) OVER () // 4) AS s FROM queries)")
 def _(w: Workload) -> DataFrame:
-    return w.queries.select("query_id", (F.floor(F.col("query_id") / 50) % 2 == 0).alias("selected"))
+    """Four queries or so at an even stride are set apart; the others are the part to fit on."""
+    stride = w.queries.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 4)).alias("s"))
+    t = numbered(w.queries.select("query_id"), ["query_id"]).crossJoin(F.broadcast(stride)).select("query_id", (F.col("place") % F.col("s") == 0).alias("selected"))
+    return t.withColumn("fit", ~F.col("selected"))
 
 
 # Edges
@@ -305,10 +309,12 @@ def _(w: Workload) -> DataFrame:
     return expansion(w).join(reach(w, 2).select(*KEY, F.lit(1).alias("r")), KEY, "left").groupBy("query_id").agg(F.count("*").alias("admitted"), F.count("r").alias("inside"))
 
 
-@query("paired_rows", "SELECT query_id, node_id, d.score AS dense, s.score AS sparse FROM (SELECT * FROM ranked WHERE source = 'dense') d JOIN (SELECT * FROM ranked WHERE source = 'sparse') s USING (query_id, node_id)")
+@query("paired_rows", "SELECT query_id, rank, d.score AS dense, s.score AS sparse FROM (SELECT * FROM ranked WHERE source = 'dense') d JOIN (SELECT * FROM ranked WHERE source = 'sparse') s USING (query_id, rank)")
 def _(w: Workload) -> DataFrame:
-    d, s = (w.ranked.where(F.col("source") == x).select(*KEY, F.col("score").alias(x)) for x in ("dense", "sparse"))
-    return d.join(s, KEY)
+    """Both lists row by row; a row that only one of them has is an error when read."""
+    d, s = (w.ranked.where(F.col("source") == x).select("query_id", "rank", F.col("score").alias(x)) for x in ("dense", "sparse"))
+    both = F.col("dense").isNotNull() & F.col("sparse").isNotNull()
+    return d.join(s, ["query_id", "rank"], "full").select("query_id", "rank", F.when(both, F.col("dense")).otherwise(F.raise_error(F.lit("lists differ")).cast("double")).alias("dense"), "sparse")
 
 
 @query("restart_a1", "SELECT query_id, node_id, round(sum(m), 9) AS mass FROM (SELECT query_id, node_id, 0.5 / count(*) OVER (PARTITION BY query_id) AS m FROM seeds UNION ALL SELECT query_id, node_id, 0.5 * score / sum(score) OVER (PARTITION BY query_id) FROM rrf) GROUP BY ALL")
@@ -396,10 +402,13 @@ def _(w: Workload) -> DataFrame:
     return found(w).select("query_id", F.when(h == F.col("g"), "full").when(h > 0, "partial").when(F.col("a") > 0, "ranked_low").otherwise("absent").alias("verdict"))
 
 
-@query("evidence_strata", "SELECT query_id, min(deg) AS hardest FROM golds JOIN candidates USING (query_id, node_id) JOIN degree USING (node_id) GROUP BY query_id")
+@query("evidence_strata", "SELECT query_id, min(coalesce(deg, 0)) AS hardest, CASE WHEN min(coalesce(deg, 0)) = 0 THEN 'isolated' WHEN min(deg) < 3 THEN 'sparse' ELSE 'connected' END AS stratum FROM golds JOIN candidates USING (query_id, node_id) LEFT JOIN (SELECT query_id, a AS node_id, count(*) AS deg FROM (SELECT query_id, src AS a, dst AS b FROM local_edges WHERE src <> dst UNION SELECT query_id, dst, src FROM local_edges WHERE src <> dst) GROUP BY ALL) USING (query_id, node_id) GROUP BY query_id")
 def _(w: Workload) -> DataFrame:
-    d = stats.degree_table(graph.both_ways(graph.canonical_edges(w.structural)), w.vectors).select("node_id", F.col("out_deg").alias("deg"))
-    return w.golds.join(w.candidates, KEY).join(d, "node_id").groupBy("query_id").agg(F.min("deg").alias("hardest"))
+    """Queries by the smallest degree, inside the pool's induced graph, of a gold that the pool holds."""
+    le = w.local_edges.where("src <> dst").select("query_id", "src", "dst")
+    d = le.union(le.select("query_id", "dst", "src")).distinct().groupBy("query_id", F.col("src").alias("node_id")).agg(F.count("*").alias("deg"))
+    h = w.golds.join(w.candidates, KEY).join(d, KEY, "left").groupBy("query_id").agg(F.min(F.coalesce("deg", F.lit(0))).alias("hardest"))
+    return h.select("query_id", "hardest", F.when(F.col("hardest") == 0, "isolated").when(F.col("hardest") < 3, "sparse").otherwise("connected").alias("stratum"))
 
 
 @query("gold_ragged", "SELECT query_id, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS golds FROM golds GROUP BY query_id")
@@ -419,7 +428,8 @@ def _(w: Workload) -> DataFrame:
     return w.table("part").select(F.explode(forms).alias("surface")).where(F.length("surface") >= 4).groupBy("surface").agg(F.count("*").alias("owners"))
 
 
-@query("word_occurrences", "SELECT doc_id, len(regexp_extract_all(lower(text), '\\bthe\\b')) AS hits, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS capitals FROM documents WHERE lang = 'en'")
+@query("word_occurrences", "SELECT doc_id, len(regexp_extract_all(lower(text), '\\bthe\\b')) AS hits, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS capitals, len(regexp_extract_all(text, '[.!?]\\s+[A-Z]')) AS starts FROM documents")
 def _(w: Workload) -> DataFrame:
-    d = w.table("documents").where("lang = 'en'")
-    return d.select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"\bthe\b")).cast("long").alias("hits"), F.regexp_count("text", F.lit("[A-Z][a-z]+")).cast("long").alias("capitals"))
+    """Of every document: hits of a bounded word, capitalised words, and capitals that only start a sentence."""
+    n = lambda c, p: F.regexp_count(c, F.lit(p)).cast("long")
+    return w.table("documents").select("doc_id", n(F.lower("text"), r"\bthe\b").alias("hits"), n("text", "[A-Z][a-z]+").alias("capitals"), n("text", r"[.!?]\s+[A-Z]").alias("starts"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
 from graphloom.operators import fusion, graph, metrics, perturb, stats
+from graphloom.operators.order import quantiles
 from graphloom.plans.queries import BFS, EXPAND, FOUND, expansion, found, query, reach
 from graphloom.plans.workload import Workload
 from graphloom.streaming import online
@@ -22,12 +25,12 @@ def chance_sql(key: str, seed: str) -> str:
 E_POS = chance_sql("edge_pos", "p1")
 
 
-@query("drop_edges", f"SELECT src, dst, edge_pos FROM structural WHERE {E_POS} >= 0.2")
+@query("drop_edges", f"SELECT src, dst, edge_pos FROM (SELECT *, row_number() OVER (ORDER BY {E_POS}, edge_pos) - 1 AS p, round_even(count(*) OVER () * 0.2, 0) AS gone FROM structural) WHERE p >= gone")
 def _(w: Workload) -> DataFrame:
     return perturb.drop_edges(w.structural, 0.2, "p1").select("src", "dst", "edge_pos")
 
 
-@query("degree_rewire", f"SELECT src, dst, edge_pos FROM structural WHERE {E_POS} >= 0.3 UNION ALL SELECT src, coalesce(lead(dst) OVER v, first_value(dst) OVER v), edge_pos FROM structural WHERE {E_POS} < 0.3 WINDOW v AS (PARTITION BY rel ORDER BY edge_pos)")
+@query("degree_rewire", f"SELECT src, dst, edge_pos FROM structural WHERE {E_POS} >= 0.3 UNION ALL SELECT src, coalesce(lead(dst) OVER v, first_value(dst) OVER v), edge_pos FROM structural WHERE {E_POS} < 0.3 WINDOW v AS (PARTITION BY rel, edge_pos // 1000 ORDER BY edge_pos)")
 def _(w: Workload) -> DataFrame:
     return perturb.rewire(w.structural, 0.3, "p1", "rel").select("src", "dst", "edge_pos")
 
@@ -37,9 +40,9 @@ def _(w: Workload) -> DataFrame:
     return perturb.inject_hubs(w.structural, 0.1, "p1").select("src", "dst", "edge_pos")
 
 
-@query("corrupt_edge_types", f"SELECT src, dst, CASE WHEN {E_POS} < 0.25 THEN (rel + 1) % 6 ELSE rel END::INT AS rel, edge_pos FROM structural")
+@query("corrupt_edge_types", f"SELECT src, dst, rel, edge_pos FROM structural WHERE {E_POS} >= 0.25 UNION ALL SELECT src, dst, coalesce(lead(rel) OVER v, first_value(rel) OVER v), edge_pos FROM structural WHERE {E_POS} < 0.25 WINDOW v AS (PARTITION BY edge_pos // 1000 ORDER BY edge_pos)")
 def _(w: Workload) -> DataFrame:
-    return perturb.corrupt_types(w.structural, 0.25, "p1", 6).select("src", "dst", F.col("rel").cast("int").alias("rel"), "edge_pos")
+    return perturb.corrupt_types(w.structural, 0.25, "p1").select("src", "dst", F.col("rel").cast("int").alias("rel"), "edge_pos")
 
 
 @query("degrade_features", f"SELECT vec_id AS node_id, round(sum(CASE WHEN {chance_sql('vec_id || chr(58) || (i - 1)', 'p1')} < 0.2 THEN 0 ELSE embedding[i]::DOUBLE END), 6) + 0.0 AS total FROM embeddings, range(1, 65) t(i) GROUP BY vec_id")
@@ -147,32 +150,34 @@ def _(w: Workload) -> DataFrame:
 
 def _restart_sql() -> str:
     parts = ["tr AS (SELECT src, dst, x / sum(x) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, sum(weight) AS x FROM (SELECT src, dst, weight FROM edges WHERE src <> dst UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst) GROUP BY ALL))", "rs AS (SELECT query_id, node_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS r FROM seeds)", "y0 AS (SELECT query_id, node_id, r AS x FROM rs)"]
-    for i in range(1, 4):
-        parts.append(f"y{i} AS (SELECT query_id, node_id, sum(x) AS x FROM (SELECT query_id, node_id, 0.5 * r AS x FROM rs UNION ALL SELECT query_id, dst, 0.5 * x * p FROM y{i - 1} JOIN tr ON src = node_id UNION ALL SELECT query_id, node_id, 0.5 * x FROM y{i - 1} ANTI JOIN tr ON src = node_id) GROUP BY ALL)")
+    for i in range(1, 41):
+        parts.append(f"y{i} AS MATERIALIZED (SELECT query_id, node_id, sum(x) AS x FROM (SELECT query_id, node_id, 0.5 * r AS x FROM rs UNION ALL SELECT query_id, dst, 0.5 * x * p FROM y{i - 1} JOIN tr ON src = node_id UNION ALL SELECT query_id, node_id, 0.5 * x FROM y{i - 1} ANTI JOIN tr ON src = node_id) GROUP BY ALL)")
     return ", ".join(parts)
 
 
-def restart(w: Workload, rounds: int = 3, alpha: float = 0.5) -> DataFrame:
-    """Random walk with restart at the seeds over both families; nodes without links keep their mass."""
+def restart(w: Workload, rounds: int = 50, alpha: float = 0.5, tolerance: float = 1e-9) -> DataFrame:
+    """Random walk with restart at the seeds over both families; nodes without links keep their mass. At most `rounds`
+    rounds, until what is left of the first mass is below the tolerance; every fourth is checkpointed."""
     e = w.edges.where("src <> dst")
     m = e.select("src", "dst", "weight").union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("x"))
     tr = m.select("src", "dst", (F.col("x") / F.sum("x").over(Window.partitionBy("src"))).alias("p"))
-    tr = graph.cut(tr)
+    alone = w.seeds.select(F.col("node_id").alias("src")).distinct().join(tr.select("src"), "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(1.0).alias("p"))
+    tr = graph.cut(tr.union(alone))
     r = graph.cut(w.seeds.select("query_id", "node_id", (alpha / F.count("*").over(Window.partitionBy("query_id"))).alias("x")))
     now = r.withColumn("x", F.col("x") / alpha)
-    for _ in range(rounds):
+    for i in range(1, min(rounds, math.ceil(math.log(tolerance) / math.log(1 - alpha))) + 1):
         moved = now.withColumnRenamed("node_id", "src").join(tr, "src").select("query_id", F.col("dst").alias("node_id"), ((1 - alpha) * F.col("x") * F.col("p")).alias("x"))
-        still = now.join(tr.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_anti").select("query_id", "node_id", ((1 - alpha) * F.col("x")).alias("x"))
-        now = graph.cut(r.union(moved).union(still).groupBy("query_id", "node_id").agg(F.sum("x").alias("x")))
-    return now
+        now = r.union(moved).groupBy("query_id", "node_id").agg(F.sum("x").alias("x"))
+        now = graph.cut(now) if i % 4 == 0 else now
+    return graph.cut(now)
 
 
-@query("ppr_restart", "SELECT query_id, node_id, round(x, 7) AS mass FROM y3", _restart_sql())
+@query("ppr_restart", "SELECT query_id, node_id, round(x, 7) AS mass FROM y40", _restart_sql())
 def _(w: Workload) -> DataFrame:
     return restart(w).select("query_id", "node_id", F.round("x", 7).alias("mass"))
 
 
-@query("mix_order", "SELECT query_id, node_id, mass, row_number() OVER (PARTITION BY query_id ORDER BY mass DESC, node_id) AS rn FROM (SELECT query_id, node_id, round(sum(m), 6) AS mass FROM (SELECT query_id, node_id, 0.7 * x AS m FROM y3 UNION ALL SELECT query_id, node_id, 0.3 * score / sum(score) OVER (PARTITION BY query_id) FROM rrf) GROUP BY ALL)", _restart_sql())
+@query("mix_order", "SELECT query_id, node_id, mass, row_number() OVER (PARTITION BY query_id ORDER BY mass DESC, node_id) AS rn FROM (SELECT query_id, node_id, round(sum(m), 6) AS mass FROM (SELECT query_id, node_id, 0.7 * x AS m FROM y40 UNION ALL SELECT query_id, node_id, 0.3 * score / sum(score) OVER (PARTITION BY query_id) FROM rrf) GROUP BY ALL)", _restart_sql())
 def _(w: Workload) -> DataFrame:
     """Weighted mixture of the walk and the fused scores, heaviest first."""
     a = restart(w).select("query_id", "node_id", (0.7 * F.col("x")).alias("m"))
@@ -242,7 +247,7 @@ def _(w: Workload) -> DataFrame:
 # Pools from walks and bridges
 
 
-@query("union_expansion", "SELECT query_id, node_id FROM expansion UNION SELECT query_id, node_id FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 7) DESC, node_id) AS k FROM y3) WHERE k <= 40", EXPAND + ", " + _restart_sql())
+@query("union_expansion", "SELECT query_id, node_id FROM expansion UNION SELECT query_id, node_id FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 7) DESC, node_id) AS k FROM y40) WHERE k <= 40", EXPAND + ", " + _restart_sql())
 def _(w: Workload) -> DataFrame:
     """The structural expansion, and of the first 40 nodes of the walk those it lacks."""
     k = restart(w).withColumn("_k", F.row_number().over(fusion.by_query(F.desc(F.round("x", 7)), "node_id"))).where("_k <= 40")
@@ -322,9 +327,12 @@ def _(w: Workload) -> DataFrame:
     return c.withColumn("r", r).select("split", F.round(F.col("r") / F.avg("r").over(Window.partitionBy()), 6).alias("weight"))
 
 
-@query("nearest_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
+@query("nearest_rank", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, min(value) AS least, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def _(w: Workload) -> DataFrame:
-    return w.table("events").where("value is not null").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+    """Count, mean, ends and nearest-rank percentiles."""
+    e = w.table("events").where("value is not null")
+    p = quantiles(e, ["event_type"], "value", [0.5, 0.95, 0.99], nearest=True).groupBy("event_type").agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most")).join(p, "event_type")
 
 
 @query("spearman", "SELECT query_id, round(corr(ra, rb), 6) AS rho FROM (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY ds) + (count(*) OVER (PARTITION BY query_id, ds) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY query_id ORDER BY ss) + (count(*) OVER (PARTITION BY query_id, ss) - 1) / 2.0 AS rb FROM candidates JOIN pairs USING (query_id, node_id)) GROUP BY query_id")
@@ -360,22 +368,30 @@ def _(w: Workload) -> DataFrame:
 # Text
 
 
-@query("ngrams", "SELECT gram, count(*) AS items FROM (SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' ') AS w FROM benchmark), range(1, 4) a(n), range(1, 400) b(i) WHERE i + n - 1 <= len(w)) GROUP BY gram")
+@query("ngrams", "SELECT gram, count(*) AS items FROM (SELECT DISTINCT item_id, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' ') AS w FROM benchmark), range(1, 9) a(n), range(1, 2000) b(i) WHERE i + n - 1 <= len(w)) GROUP BY gram")
 def _(w: Workload) -> DataFrame:
-    """How many benchmark items hold each run of one to three words."""
+    """How many benchmark items hold each run of one to eight words."""
     words = F.split(T.norm_text("text"), " ")
-    return w.table("benchmark").select("item_id", F.explode(F.array_distinct(T.ngrams(words, 3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("items"))
+    return w.table("benchmark").select("item_id", F.explode(F.array_distinct(T.ngrams(words, 8))).alias("gram")).groupBy("gram").agg(F.count("*").alias("items"))
 
 
-@query("title_mention_join", """SELECT b.item_id, count(*) AS documents FROM (SELECT item_id, array_to_string(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' ')[1:6], ' ') AS title FROM benchmark) b
+@query("title_mention_join", """SELECT b.item_id, count(*) AS documents FROM (SELECT item_id, trim(regexp_replace(lower(string_split(text, '. ')[1]), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS title FROM benchmark) b
   JOIN (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') || ' ' AS body FROM documents) d ON contains(body, ' ' || title || ' ') GROUP BY b.item_id""")
 def _(w: Workload) -> DataFrame:
-    """Documents that mention an item's title (its first six words) as a run of words: by equality of six-word runs."""
+    """Documents that mention an item's title (its first sentence) as a run of words. Runs of up to four words are the join
+    key, and the whole title must then stand in the document's text."""
+    width = lambda c: F.least(F.size(c), F.lit(4))
     words = F.split(T.norm_text("text"), " ")
-    titles = w.table("benchmark").select("item_id", F.array_join(F.slice(words, 1, 6), " ").alias("run"))
-    runs = F.when(F.size(words) >= 6, F.transform(F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.array_join(F.slice(words, i, 6), " ")))
-    found_ = w.table("documents").select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(titles, "run")
-    return found_.groupBy("item_id").agg(F.count("*").alias("documents"))
+    title = T.norm_text(F.get(F.split("text", "\\. "), F.lit(0)))
+    titles = w.table("benchmark").select("item_id", title.alias("title")).where("title <> ''").withColumn("t", F.split("title", " ")).select("item_id", "title", width("t").alias("n"), F.array_join(F.slice("t", 1, 4), " ").alias("run"))
+    runs = lambda n: F.when(F.size("d") >= n, F.transform(F.sequence(F.lit(1), F.size("d") - n + 1), lambda i: F.array_join(F.slice("d", i, n), " ")))
+    lengths = sorted(r["n"] for r in titles.select("n").distinct().collect())  # numbers from 1 to 4
+    docs = w.table("documents").select("doc_id", words.alias("d"), F.concat(F.lit(" "), T.norm_text("text"), F.lit(" ")).alias("body"))
+    named = lambda n: F.transform(F.array_distinct(F.coalesce(runs(n), F.array().cast("array<string>"))), lambda r: F.struct(F.lit(n).alias("n"), r.alias("run")))
+    keys = F.flatten(F.array(*map(named, lengths)))
+    hit = docs.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.n", "k.run").join(titles, ["n", "run"]).select("doc_id", "item_id", "title")
+    both = hit.join(docs.select("doc_id", "body"), "doc_id").where(F.contains("body", F.concat(F.lit(" "), F.col("title"), F.lit(" "))))
+    return both.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 @query("cooccurrence_join", """SELECT a, b, round(sum(1.0 / df), 6) AS weight FROM (SELECT x.item_id AS a, y.item_id AS b, df FROM tok x JOIN tok y USING (word) JOIN dfs USING (word) WHERE x.item_id < y.item_id AND df BETWEEN 2 AND 50) GROUP BY a, b""",

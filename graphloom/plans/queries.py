@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
 from graphloom.operators import fusion, graph, metrics, stats
+from graphloom.operators.order import numbered
 from graphloom.plans.workload import SQL, Workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,7 +256,7 @@ def _(w: Workload) -> DataFrame:
 def _(w: Workload) -> DataFrame:
     from graphloom.plans.workload import nearest
 
-    return nearest(w.queries, w.vectors, 5, "dot")
+    return nearest(w.queries, w.vectors, {"all": ("dot", 0, 64, 5)}).select("query_id", "node_id", "score", "rank")
 
 
 @query("cosine_rows", "SELECT query_id, node_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) + 0.0 AS cos, round(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS norm FROM candidates JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.vec_id = node_id")
@@ -264,12 +265,16 @@ def _(w: Workload) -> DataFrame:
     return j.select("query_id", "node_id", (F.round(V.cosine("q", "vec"), 6) + 0.0).alias("cos"), F.round(V.norm("vec"), 6).alias("norm"))
 
 
-@query("map_passages", "SELECT item_id, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) d JOIN (SELECT item_id, trim(string_split(text, chr(10))[1], ' ') AS line FROM benchmark) b USING (line) WHERE line <> '' GROUP BY item_id")
+@query("map_passages", "SELECT item_id, count(DISTINCT line) AS lines, count(DISTINCT line) FILTER (doc_id IS NOT NULL) AS found, coalesce(min(doc_id), -1) AS doc_id, count(DISTINCT doc_id) AS documents FROM (SELECT DISTINCT item_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM benchmark) b LEFT JOIN (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) d USING (line) WHERE line <> '' GROUP BY item_id")
 def _(w: Workload) -> DataFrame:
-    """Benchmark items whose first line stands as a line of a document: the smallest document, and how many have it."""
-    lines = w.table("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).distinct()
-    items = w.table("benchmark").select("item_id", F.trim(F.get(F.split("text", "\n"), F.lit(0))).alias("line")).where("line <> ''")
-    return lines.join(items, "line").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Every benchmark item: its distinct lines, how many of them stand as a line of a document, the smallest such document
+    (-1: none) and how many there are."""
+    each = lambda t, key: w.table(t).select(key, F.explode(F.split("text", "\n")).alias("line")).select(key, F.trim("line").alias("line")).where("line <> ''").distinct()
+    j = each("benchmark", "item_id").join(each("documents", "doc_id"), "line", "left")
+    by_line = j.groupBy("item_id", "line").agg(F.min("doc_id").alias("doc_id"))
+    documents = j.where("doc_id is not null").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("documents"))
+    lines = by_line.groupBy("item_id").agg(F.count("*").alias("lines"), F.count("doc_id").alias("found"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id"))
+    return lines.join(documents, "item_id", "left").select("item_id", "lines", "found", "doc_id", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 @query("map_passages_whole", r"SELECT item_id, min(doc_id) AS doc_id, count(DISTINCT doc_id) AS copies FROM (SELECT doc_id, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) d JOIN (SELECT item_id, trim(string_split(text, chr(10))[1], ' ') AS line, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS whole FROM benchmark) b USING (line) WHERE line <> '' AND contains(bare, whole) GROUP BY item_id")
@@ -353,9 +358,10 @@ def _(w: Workload) -> DataFrame:
 
 
 @query("walk_counts", """SELECT query_id, dst AS node_id, 1 AS length, sum(mult)::BIGINT AS walks FROM seeds JOIN local_edges l USING (query_id) WHERE src = node_id GROUP BY query_id, dst
-  UNION ALL SELECT a.query_id, b.dst, 2, sum(a.mult * b.mult)::BIGINT FROM seeds s JOIN local_edges a ON a.query_id = s.query_id AND a.src = s.node_id JOIN local_edges b ON b.query_id = a.query_id AND b.src = a.dst GROUP BY a.query_id, b.dst""")
+  UNION ALL SELECT a.query_id, b.dst, 2, sum(a.mult * b.mult)::BIGINT FROM seeds s JOIN local_edges a ON a.query_id = s.query_id AND a.src = s.node_id JOIN local_edges b ON b.query_id = a.query_id AND b.src = a.dst GROUP BY a.query_id, b.dst
+  UNION ALL SELECT a.query_id, c.dst, 3, sum(a.mult * b.mult * c.mult)::BIGINT FROM seeds s JOIN local_edges a ON a.query_id = s.query_id AND a.src = s.node_id JOIN local_edges b ON b.query_id = a.query_id AND b.src = a.dst JOIN local_edges c ON c.query_id = a.query_id AND c.src = b.dst GROUP BY a.query_id, c.dst""")
 def _(w: Workload) -> DataFrame:
-    return graph.walk_counts(w.seeds, w.local_edges, 2)
+    return graph.walk_counts(w.seeds, w.local_edges, 3)
 
 
 @query("components", """SELECT query_id, node_id, least(node_id, min(coalesce(other, node_id))) AS component FROM candidates LEFT JOIN (
@@ -367,26 +373,26 @@ def _(w: Workload) -> DataFrame:
 
 def _ppr_sql() -> str:
     parts = ["outd AS (SELECT query_id, src, sum(mult) AS o FROM local_edges GROUP BY ALL)", "r0 AS (SELECT query_id, node_id, CASE WHEN s.node_id IS NULL THEN 0.0 ELSE 1.0 / n END::DOUBLE AS r, (o IS NULL) AS dangling FROM candidates c LEFT JOIN seeds s USING (query_id, node_id) JOIN (SELECT query_id, count(*) AS n FROM seeds GROUP BY query_id) USING (query_id) LEFT JOIN outd ON outd.query_id = c.query_id AND outd.src = c.node_id)", "x0 AS (SELECT *, r AS x FROM r0)"]
-    for i in range(1, 5):
-        parts.append(f"x{i} AS (SELECT query_id, node_id, r, dangling, 0.15 * r + 0.85 * (sum(CASE WHEN dangling THEN x ELSE 0 END) OVER (PARTITION BY query_id)) * r + 0.85 * coalesce(f, 0) AS x FROM x{i - 1} LEFT JOIN (SELECT l.query_id, l.dst AS node_id, sum(x * mult / o) AS f FROM x{i - 1} JOIN local_edges l ON l.query_id = x{i - 1}.query_id AND l.src = x{i - 1}.node_id JOIN outd ON outd.query_id = l.query_id AND outd.src = l.src GROUP BY ALL) USING (query_id, node_id))")
+    for i in range(1, 9):
+        parts.append(f"x{i} AS MATERIALIZED (SELECT query_id, node_id, r, dangling, 0.15 * r + 0.85 * (sum(CASE WHEN dangling THEN x ELSE 0 END) OVER (PARTITION BY query_id)) * r + 0.85 * coalesce(f, 0) AS x FROM x{i - 1} LEFT JOIN (SELECT l.query_id, l.dst AS node_id, sum(x * mult / o) AS f FROM x{i - 1} JOIN local_edges l ON l.query_id = x{i - 1}.query_id AND l.src = x{i - 1}.node_id JOIN outd ON outd.query_id = l.query_id AND outd.src = l.src GROUP BY ALL) USING (query_id, node_id))")
     return ", ".join(parts)
 
 
-@query("ppr_power_local", "SELECT query_id, node_id, round(x / max(x) OVER (PARTITION BY query_id), 6) AS mass FROM x4", _ppr_sql())
+@query("ppr_power_local", "SELECT query_id, node_id, round(x / max(x) OVER (PARTITION BY query_id), 6) AS mass FROM x8", _ppr_sql())
 def _(w: Workload) -> DataFrame:
-    return graph.ppr_local(w.candidates, w.seeds, w.local_edges, rounds=4).withColumn("mass", F.round("mass", 6))
+    return graph.ppr_local(w.candidates, w.seeds, w.local_edges).withColumn("mass", F.round("mass", 6))
 
 
 def _pagerank_sql() -> str:
     parts = ["simple AS (SELECT DISTINCT src, dst FROM structural)", "od AS (SELECT src, count(*) AS o FROM simple GROUP BY src)", "p0 AS (SELECT vec_id AS node_id, n, o, 1.0::DOUBLE / n AS x FROM embeddings CROSS JOIN nn LEFT JOIN od ON src = vec_id)"]
-    for i in range(1, 4):
-        parts.append(f"p{i} AS (SELECT node_id, n, o, 0.15 / n + 0.85 * (SELECT coalesce(sum(x), 0) FROM p{i - 1} WHERE o IS NULL) / n + 0.85 * coalesce(f, 0) AS x FROM p{i - 1} LEFT JOIN (SELECT dst AS node_id, sum(x / o) AS f FROM p{i - 1} JOIN simple ON src = node_id GROUP BY dst) USING (node_id))")
+    for i in range(1, 6):
+        parts.append(f"p{i} AS MATERIALIZED (SELECT node_id, n, o, 0.15 / n + 0.85 * (SELECT coalesce(sum(x), 0) FROM p{i - 1} WHERE o IS NULL) / n + 0.85 * coalesce(f, 0) AS x FROM p{i - 1} LEFT JOIN (SELECT dst AS node_id, sum(x / o) AS f FROM p{i - 1} JOIN simple ON src = node_id GROUP BY dst) USING (node_id))")
     return ", ".join(parts)
 
 
-@query("pagerank_global", "SELECT node_id, round(x / (SELECT sum(x) FROM p3), 9) AS rank FROM p3", _pagerank_sql())
+@query("pagerank_global", "SELECT node_id, round(x / (SELECT sum(x) FROM p5), 9) AS rank FROM p5", _pagerank_sql())
 def _(w: Workload) -> DataFrame:
-    return graph.pagerank(w.vectors, w.structural, rounds=3).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(w.vectors, w.structural).withColumn("rank", F.round("rank", 9))
 
 
 @query("expand_directional", """SELECT query_id, node_id, score FROM (SELECT query_id, dst AS node_id, max(score) AS score FROM (
@@ -450,10 +456,12 @@ def _(w: Workload) -> DataFrame:
     return stats.pair_analysis(typed_kb(w))
 
 
-@query("two_hop_walk_count", "SELECT sum(i * coalesce(o, 0))::BIGINT AS walks, max(i * coalesce(o, 0)) AS most FROM (SELECT dst AS v, count(*) AS i FROM structural GROUP BY dst) LEFT JOIN (SELECT src AS v, count(*) AS o FROM structural GROUP BY src) USING (v)")
+@query("two_hop_walk_count", "SELECT sum(deg * deg)::BIGINT AS walks, max(deg * deg)::BIGINT AS most, arg_max(node_id, (deg, -node_id)) AS worst FROM degree")
 def _(w: Workload) -> DataFrame:
-    d = stats.degree_table(w.structural, w.vectors).where("in_deg > 0").withColumn("x", F.col("in_deg") * F.col("out_deg"))
-    return d.agg(F.sum("x").alias("walks"), F.max("x").alias("most"))
+    """Two-step walks of the undirected graph: the sum of squared degrees, the largest and its (smallest) node."""
+    d = stats.degree_table(graph.both_ways(graph.canonical_edges(w.structural)), w.vectors).select("node_id", F.col("out_deg").alias("deg"))
+    square = F.col("deg") * F.col("deg")
+    return d.agg(F.sum(square).alias("walks"), F.max(square).alias("most"), F.max_by("node_id", F.struct("deg", -F.col("node_id"))).alias("worst"))
 
 
 @query("gini", "SELECT family, count(*) AS n, round(sum(2.0 * i * d) / (count(*) * sum(d)) - (count(*) + 1.0) / count(*), 6) AS gini FROM (SELECT family, d, row_number() OVER (PARTITION BY family ORDER BY d) AS i FROM (SELECT family, src, count(*) AS d FROM edges GROUP BY ALL)) GROUP BY family")
@@ -485,11 +493,11 @@ def _(w: Workload) -> DataFrame:
     return j.groupBy("family").agg((F.round(F.avg(V.cosine("x", "y")), 6) + 0.0).alias("cos"), F.round(F.avg(V.squared_distance("x", "y")), 6).alias("energy"))
 
 
-@query("hub_amplification", "SELECT round(corr(deg, norm), 6) AS corr, round(covar_pop(deg, norm) / var_pop(deg), 9) AS slope FROM (SELECT deg::DOUBLE AS deg, list_sum(embedding::DOUBLE[]) AS norm FROM degree JOIN embeddings ON vec_id = node_id)")
+@query("hub_amplification", "SELECT round(corr(deg, norm), 6) AS corr, round(covar_pop(deg, norm) / var_pop(deg), 9) AS slope FROM (SELECT deg::DOUBLE AS deg, sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[])) AS norm FROM degree JOIN embeddings ON vec_id = node_id)")
 def _(w: Workload) -> DataFrame:
-    """Degree against the sum of a node's vector (the vectors have unit norm)."""
+    """Degree against the norm of a node's dense vector (the first half; whole vectors have unit norm)."""
     d = stats.degree_table(graph.both_ways(graph.canonical_edges(w.structural)), w.vectors).select("node_id", F.col("out_deg").cast("double").alias("deg"))
-    j = d.join(w.vectors, "node_id").select("deg", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("norm"))
+    j = d.join(w.vectors, "node_id").select("deg", V.norm(F.slice("vec", 1, 32)).alias("norm"))
     return j.agg(F.round(F.corr("deg", "norm"), 6).alias("corr"), F.round(F.covar_pop("deg", "norm") / F.var_pop("deg"), 9).alias("slope"))
 
 
@@ -663,8 +671,8 @@ def _(w: Workload) -> DataFrame:
 
 @query("parity_split", "SELECT query_id, CASE WHEN (row_number() OVER (ORDER BY query_id) - 1) % 2 = 0 THEN 'even' ELSE 'odd' END AS half FROM queries")
 def _(w: Workload) -> DataFrame:
-    """By place among the queries, whose ids are the multiples of 50."""
-    return w.queries.select("query_id", F.when(F.floor(F.col("query_id") / 50) % 2 == 0, "even").otherwise("odd").alias("half"))
+    """By place among the queries."""
+    return numbered(w.queries.select("query_id"), ["query_id"]).select("query_id", F.when(F.col("place") % 2 == 0, "even").otherwise("odd").alias("half"))
 
 
 @query("norm_text", "SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS norm FROM benchmark")
@@ -677,10 +685,10 @@ def _(w: Workload) -> DataFrame:
     return w.table("part").select("p_partkey", "p_name", T.without_parenthetical(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("form"))
 
 
-@query("json_path", "SELECT event_id, json_extract_string(props, '$.' || (json_keys(props)[1])) AS first_value FROM events WHERE props IS NOT NULL")
+@query("json_path", """SELECT event_id, path, json_extract_string(props, '$."' || path || '"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS path FROM events WHERE props IS NOT NULL)""")
 def _(w: Workload) -> DataFrame:
-    key = F.get(F.json_object_keys("props"), F.lit(0))
-    return w.table("events").where("props is not null").select("event_id", F.element_at(F.from_json("props", "map<string,string>"), key).alias("first_value"))
+    """Every top-level path of each object and its value."""
+    return w.table("events").where("props is not null").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
 
 
 @query("pool_digest", "SELECT query_id, sha256(string_agg(node_id::VARCHAR, ',' ORDER BY node_id)) AS digest FROM candidates GROUP BY query_id")

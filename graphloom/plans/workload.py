@@ -42,36 +42,63 @@ degree AS (SELECT vec_id AS node_id, coalesce(d, 0) AS deg FROM embeddings LEFT
 """
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, measure: str, block: int = 2048, query_block: int = 256) -> DataFrame:
-    """query_id, node_id, score, rank: the k best rows of base (node_id, vec) for each query (query_id, vec), itself excluded.
-
-    measure: "dot" (larger is better) or "l1" (mean absolute difference, smaller is better); scores are rounded to six
-    places before ranking and ties go to the smaller id. Rows of both sides are packed in blocks; a pair of blocks is one
-    matrix product that keeps k rows a query, so what is shuffled is k rows for each query and block."""
-    packed = base.groupBy(F.floor(F.col("node_id") / block).alias("_b")).agg(F.collect_list("node_id").alias("ids"), F.collect_list("vec").alias("vecs"))
-    asked = queries.groupBy(F.floor(F.col("query_id") / (query_block * 50)).alias("_q")).agg(F.collect_list("query_id").alias("qids"), F.collect_list("vec").alias("qvecs"))
-
-    def product(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, qids = np.array(row["ids"]), np.array(row["qids"])
-                x, q = np.array(row["vecs"], np.float64), np.array(row["qvecs"], np.float64)
-                score = q @ x.T if measure == "dot" else -np.array([np.abs(x - one).mean(axis=1) for one in q])
-                score = np.round(score, 6)
-                out = {"query_id": [], "node_id": [], "score": []}
-                for i, one in enumerate(qids):
-                    order = np.lexsort((ids, -score[i]))
-                    best = order[ids[order] != one][:k]
-                    out["query_id"] += [int(one)] * len(best)
-                    out["node_id"] += ids[best].tolist()
-                    out["score"] += np.abs(score[i][best]).tolist() if measure == "l1" else score[i][best].tolist()
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("node_id", pa.int64()), ("score", pa.float64())]))
-
-    found = packed.crossJoin(asked).select("ids", "vecs", "qids", "qvecs").repartition("ids").mapInArrow(product, "query_id long, node_id long, score double")
-    order = F.col("score").desc() if measure == "dot" else F.col("score").asc()
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "node_id"))).where(F.col("rank") <= k)
+#: name -> (measure, first dimension, dimension after the last, rows kept)
+LISTS = {"dense": ("dot", 0, 32, DEPTH), "sparse": ("dot", 32, 64, DEPTH), "gold": ("l1", 0, 64, GOLDS)}
+
+
+def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and place (from 1) of each row's k largest scores; ties go to the smaller id."""
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    order = np.lexsort((ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    keep = place <= k
+    return row[keep], col[keep], place[keep]
+
+
+def nearest(queries: DataFrame, base: DataFrame, lists: dict[str, tuple[str, int, int, int]], group: int = 65_536, query_group: int = 8_192) -> DataFrame:
+    """source, query_id, node_id, score, rank: for each list the best rows of base (node_id, vec) for each query (query_id,
+    vec), itself excluded.
+
+    Measures are "dot" (larger is better) and "l1" (mean absolute difference, smaller is better); scores are rounded to six
+    places before ranking and ties go to the smaller id. Base rows are dealt into groups of about `group` rows and queries
+    into groups of about query_group; each pair of groups meets in one task, under an integer key, for all lists at once,
+    and keeps as many rows a query as the list is long."""
+    import pyarrow as pa
+
+    down, across = (max(1, -(-df.count() // n)) for df, n in ((base, group), (queries, query_group)))
+    shape = pa.schema([("source", pa.string()), ("query_id", pa.int64()), ("node_id", pa.int64()), ("score", pa.float64())])
+
+    def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            ids, qids = left.column("node_id").to_numpy(), right.column("query_id").to_numpy()
+            x, q = matrix(left.column("vec"), len(ids)), matrix(right.column("asked"), len(qids))
+            for name, (measure, first, stop, k) in lists.items():
+                xs = np.ascontiguousarray(x[:, first:stop])
+                for at in range(0, len(qids), 64):
+                    some = q[at : at + 64, first:stop]
+                    score = some @ xs.T if measure == "dot" else -np.stack([np.abs(xs - one).mean(axis=1) for one in some])
+                    score = np.round(score, 6) + 0.0
+                    score[ids[None, :] == qids[at : at + 64, None]] = -np.inf
+                    row, col, _ = best_rows(score, ids, k)
+                    value = score[row, col] if measure == "dot" else np.abs(score[row, col])
+                    out.append(pa.Table.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(qids[at + row]), pa.array(ids[col]), pa.array(value)], schema=shape))
+        return pa.concat_tables(out) if out else shape.empty_table()
+
+    grouped = lambda df, key, n, other, m: df.select("*", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_b")).select(*df.columns, F.when(F.lit(other), F.col("_b")).otherwise(F.col("_a")).alias("_g"), F.when(F.lit(other), F.col("_a")).otherwise(F.col("_b")).alias("_h"))
+    b = grouped(base.select("node_id", "vec"), "node_id", down, False, across)
+    # Another name, as both sides may come from one table.
+    q = grouped(queries.select("query_id", F.col("vec").alias("asked")), "query_id", across, True, down)
+    found = b.groupBy("_g", "_h").cogroup(q.groupBy("_g", "_h")).applyInArrow(meet, "source string, query_id long, node_id long, score double")
+    better = F.when(F.col("source").isin(*[n for n, v in lists.items() if v[0] == "dot"]), -F.col("score")).otherwise(F.col("score"))
+    depth = F.element_at(F.create_map(*[F.lit(x) for n, v in lists.items() for x in (n, v[3])]), F.col("source"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("source", "query_id").orderBy(better, "node_id"))).where(F.col("rank") <= depth)
 
 
 class Workload:
@@ -91,18 +118,17 @@ class Workload:
         split = F.when(turn < 3, "train").when(turn == 3, "validation").otherwise("test")
         return self.vectors.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), split.alias("split"), "vec")
 
-    def _list(self, source: str, at: int) -> DataFrame:
-        half = F.slice("vec", at, 32)
-        found = nearest(self.queries.select("query_id", half.alias("vec")), self.vectors.select("node_id", half.alias("vec")), DEPTH, "dot")
-        return found.select("query_id", F.lit(source).alias("source"), "node_id", "rank", "score")
+    @cached_property
+    def lists(self) -> DataFrame:
+        return nearest(self.queries.select("query_id", "vec"), self.vectors.select("node_id", "vec"), LISTS).cache()
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return self._list("dense", 1).unionByName(self._list("sparse", 33)).cache()
+        return self.lists.where("source in ('dense', 'sparse')").select("query_id", "source", "node_id", "rank", "score")
 
     @cached_property
     def golds(self) -> DataFrame:
-        return nearest(self.queries, self.vectors, GOLDS, "l1").select("query_id", "node_id").cache()
+        return self.lists.where("source = 'gold'").select("query_id", "node_id")
 
     @cached_property
     def candidates(self) -> DataFrame:
