@@ -1,14 +1,15 @@
-"""What the training-data operators share: Arrow mapping, distributed running totals and joins on skewed keys."""
+"""What the training-data operators share: Arrow mapping, samples and joins on skewed keys."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import cut, shared_folder, stash
+from graphloom.operators.order import running_total  # noqa: F401
+from graphloom.sources.shared import cut, shared_folder, stash  # noqa: F401
 
 #: ASCII white space; whatever lies between two of these characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,22 +35,6 @@ def map_batches(df: DataFrame, each: Callable[..., dict], schema: str, rows: int
     return df.mapInArrow(run, shape)
 
 
-def running_total(df: DataFrame, order: list[str], value: str, before: str) -> DataFrame:
-    """Adds `before`: the sum of `value` over all rows that come earlier in `order` (which must be total).
-
-    Range partitions, then a sum for each partition (as many rows as partitions), then a window inside each:
-    no task sees more than one range. The result is checkpointed, as the two passes must see the same partitions."""
-    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    earlier = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.join(F.broadcast(earlier.select("_range", "_base")), "_range")
-        .withColumn(before, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
-        .drop("_range", "_base")
-    )
-
-
 def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     """At most `most` rows, those of smallest hash of their identifier. A first pass counts rows, so that the hash bound
     leaves about a fifth more than are wanted; only those reach the driver's final ordering, however many tasks there are."""
