@@ -132,6 +132,67 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 5, damping: float
     return now.crossJoin(F.broadcast(total)).select("node_id", (F.col("x") / F.col("total")).alias("rank"))
 
 
+def expand_frontier(start: DataFrame, order: DataFrame, first: int, each: int, frontier: int, hops: int) -> DataFrame:
+    """query_id, node_id, hop, place: nodes found from start (query_id, node_id, place) hop by hop in order of first
+    appearance (place of the parent, structural family first, rank). Of a start node the `first` neighbours of each family
+    are taken, later `each` of every one of the `frontier` first nodes; nodes already visited don't appear again."""
+    seen = start.select("query_id", "node_id")
+    front, out, most = start, None, first
+    for h in range(1, hops + 1):
+        step_ = front.select("query_id", F.col("node_id").alias("node"), "place").join(order.where(F.col("rank") <= most), "node")
+        at = F.min(F.struct("place", (F.col("family") != "structural").alias("f"), "rank")).alias("at")
+        new = step_.groupBy("query_id", F.col("nbr").alias("node_id")).agg(at).join(seen, ["query_id", "node_id"], "left_anti")
+        new = cut(new.select("query_id", "node_id", F.lit(h).alias("hop"), F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("place")))
+        out = new if out is None else out.unionByName(new)
+        seen = seen.union(new.select("query_id", "node_id"))
+        front, most = new.where(F.col("place") <= frontier), each
+    return out
+
+
+def mass_walks(start: DataFrame, links: DataFrame, length: int) -> DataFrame:
+    """query_id, node_id, hop, x: mass of start (query_id, node_id, x) after each number of steps; a step shares a node's mass
+    among its links (src, dst, m) in proportion to m."""
+    share = links.select("src", "dst", (F.col("m") / F.sum("m").over(Window.partitionBy("src"))).alias("p"))
+    now, out = start, None
+    for h in range(1, length + 1):
+        now = now.withColumnRenamed("node_id", "src").join(share, "src").groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("x") * F.col("p")).alias("x"))
+        part = now.withColumn("hop", F.lit(h))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rings(local: DataFrame) -> DataFrame:
+    """query_id, src, dst, distance: pairs at exactly one, two and three undirected links of each query's graph."""
+    le = local.where("src <> dst").select("query_id", "src", "dst")
+    one = le.union(le.select("query_id", "dst", "src")).distinct()
+    seen, front = one.withColumn("distance", F.lit(1)), one
+    for d in (2, 3):
+        far = front.withColumnRenamed("dst", "mid").join(one.withColumnRenamed("src", "mid"), ["query_id", "mid"]).where("src <> dst").select("query_id", "src", "dst").distinct()
+        front = far.join(seen.select("query_id", "src", "dst"), ["query_id", "src", "dst"], "left_anti")
+        seen = seen.unionByName(front.withColumn("distance", F.lit(d)))
+    return seen
+
+
+def ppr_push(start: DataFrame, moves: DataFrame, alpha: float, eps: float) -> DataFrame:
+    """query_id, node_id, x: personalised PageRank by push. Every node whose residue is eps times its number of links or more
+    keeps alpha of it and passes the rest on (moves src, dst, p); all such nodes push in the same round. Nodes without
+    links keep the whole. When none is left, no estimate is short by more than the residues that remain, of which each is
+    below eps times the links of its node. Each round takes alpha of what it pushes out of the total, so rounds end; each
+    is checkpointed."""
+    moves = cut(moves)
+    degree = cut(moves.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("deg")))
+    now = cut(start.join(degree, "node_id", "left").select("query_id", "node_id", F.col("x").alias("r"), F.lit(0.0).alias("x"), F.coalesce("deg", F.lit(0)).alias("deg")))
+    while True:
+        ready = F.col("r") >= eps * F.greatest(F.col("deg"), F.lit(1))
+        if now.where(ready & (F.col("r") > 0)).isEmpty():
+            return now.where("x > 0").select("query_id", "node_id", "x")
+        keep = F.when(F.col("deg") == 0, F.col("r")).otherwise(alpha * F.col("r"))
+        stay = now.select("query_id", "node_id", F.when(ready, 0.0).otherwise(F.col("r")).alias("r"), (F.col("x") + F.when(ready, keep).otherwise(0.0)).alias("x"))
+        sent = now.where(ready & (F.col("deg") > 0)).select("query_id", F.col("node_id").alias("src"), "r").join(moves, "src").select("query_id", F.col("dst").alias("node_id"), ((1 - alpha) * F.col("r") * F.col("p")).alias("r"), F.lit(0.0).alias("x"))
+        both = stay.unionByName(sent).groupBy("query_id", "node_id").agg(F.sum("r").alias("r"), F.sum("x").alias("x"))
+        now = cut(both.join(degree, "node_id", "left").select("query_id", "node_id", "r", "x", F.coalesce("deg", F.lit(0)).alias("deg")))
+
+
 def expand_structural(candidates: DataFrame, start: DataFrame, edges: DataFrame, scan: int = 4096, each: int = 16, most: int = 128) -> DataFrame:
     """query_id, node_id, pos: out-neighbours of the seeds outside the pool; of each seed the first `scan` by id are looked
     at and the first `each` kept; of a query's distinct nodes the first `most` by id."""

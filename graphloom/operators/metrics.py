@@ -80,6 +80,26 @@ def holm(tests: DataFrame) -> DataFrame:
     return t.withColumn("_raw", raw).withColumn("adjusted", F.least(F.lit(1.0), F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
 
 
+def t_interval(df: DataFrame, by: list[str], delta: str) -> DataFrame:
+    """by, n, mean, sd, t and the 95 % interval of each group of two values or more; the quantile of Student's t is expanded
+    in powers of 1 / degrees of freedom around the normal one."""
+    g = df.groupBy(*by).agg(F.count(delta).alias("n"), F.avg(delta).alias("m"), F.stddev_samp(delta).alias("s")).where("n > 1")
+    z, v = 1.959963984540054, F.col("n") - 1
+    q = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * F.pow(v, 3))
+    error = F.col("s") / F.sqrt("n")
+    return g.select(*by, "n", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), F.round(F.try_divide(F.col("m"), error), 5).alias("t"), F.round(F.col("m") - q * error, 5).alias("low"), F.round(F.col("m") + q * error, 5).alias("high"))
+
+
+def crossovers(gaps: DataFrame) -> DataFrame:
+    """rate: of (rate, gap), one row for each screened rate, both ends and the zeros with their neighbours, or without exact
+    zeros both sides of every change of sign."""
+    w = Window.orderBy("rate")
+    near = gaps.withColumns({"b": F.lag("gap").over(w), "a": F.lead("gap").over(w), "zeros": F.count(F.when(F.col("gap") == 0, 1)).over(Window.partitionBy())})
+    zero = (F.col("gap") == 0) | F.coalesce(F.col("a") == 0, F.lit(False)) | F.coalesce(F.col("b") == 0, F.lit(False))
+    sign = F.coalesce(F.col("gap") * F.col("a") < 0, F.lit(False)) | F.coalesce(F.col("gap") * F.col("b") < 0, F.lit(False))
+    return near.where(F.col("a").isNull() | F.col("b").isNull() | F.when(F.col("zeros") > 0, zero).otherwise(sign)).select("rate")
+
+
 def paired_deltas(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """query_id, delta of two result tables over the same queries; a query that only one has is an error when read."""
     j = a.select("query_id", F.col(value).alias("_a")).join(b.select("query_id", F.col(value).alias("_b")), "query_id", "full")

@@ -34,13 +34,13 @@ def quantiles(df: DataFrame, by: list[str], x: str, at: list[float], nearest: bo
 
     Equal values are counted first; the distinct ones are range-sorted with running counts, and only those that hold a
     wanted place are read, so a group of any size is dealt over many tasks."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"))
-    placed = running_total(counts, [*by, x], "c", "_before")
-    groups = placed.groupBy(*by).agg(F.min("_before").alias("_base"), F.sum("c").alias("n"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_c"))
+    placed = running_total(counts, [*by, x], "_c", "_before")
+    groups = placed.groupBy(*by).agg(F.min("_before").alias("_base"), F.sum("_c").alias("n"))
     place = lambda q: F.greatest(F.ceil(q * F.col("n")) - 1, F.lit(0)).cast("double") if nearest else q * (F.col("n") - 1).cast("double")
     wanted = groups.select(*by, "_base", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), place(q).alias("p")) for q in at])).alias("w")).select(*by, "_base", "w.q", "w.p")
     first = F.col("_before") - F.col("_base")
-    holds = lambda p: (first <= p) & (p < first + F.col("c"))
+    holds = lambda p: (first <= p) & (p < first + F.col("_c"))
     low, high = holds(F.floor("p")), holds(F.ceil("p"))
     ends = placed.join(wanted, by).where(low | high).groupBy(*by, "q", "p").agg(F.max(F.when(low, F.col(x))).alias("a"), F.max(F.when(high, F.col(x))).alias("b"))
     return ends.select(*by, "q", F.col("a").alias("value") if nearest else (F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") - F.floor("p"))).alias("value"))

@@ -155,12 +155,13 @@ def _restart_sql() -> str:
     return ", ".join(parts)
 
 
-def restart(w: Workload, rounds: int = 50, alpha: float = 0.5, tolerance: float = 1e-9) -> DataFrame:
-    """Random walk with restart at the seeds over both families; nodes without links keep their mass. At most `rounds`
+def restart(w: Workload, rounds: int = 50, alpha: float = 0.5, tolerance: float = 1e-9, families: tuple[str, ...] = ("structural", "ner")) -> DataFrame:
+    """Random walk with restart at the seeds over the families; nodes without links keep their mass. At most `rounds`
     rounds, until what is left of the first mass is below the tolerance; every fourth is checkpointed."""
-    e = w.edges.where("src <> dst")
+    e = w.edges.where(F.col("family").isin(*families)).where("src <> dst")
     m = e.select("src", "dst", "weight").union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("x"))
     tr = m.select("src", "dst", (F.col("x") / F.sum("x").over(Window.partitionBy("src"))).alias("p"))
+    # A walk stays at a seed without links; other nodes without links are never reached.
     alone = w.seeds.select(F.col("node_id").alias("src")).distinct().join(tr.select("src"), "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(1.0).alias("p"))
     tr = graph.cut(tr.union(alone))
     r = graph.cut(w.seeds.select("query_id", "node_id", (alpha / F.count("*").over(Window.partitionBy("query_id"))).alias("x")))

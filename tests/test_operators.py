@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,80 @@ def test_artifact_digest_sees_every_line(spark, tmp_path):
         spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
         seen += [r["digest"] for r in QUERIES["artifact_digest"](spark, f"{tmp_path}/{i}").collect()]
     assert len(set(seen)) == 2
+
+
+def test_quantiles_by_running_counts(spark):
+    """Both kinds of quantile of groups of one, of ties and of nulls against numpy."""
+    import numpy as np
+
+    from graphloom.operators.order import numbered, quantiles
+
+    rng = random.Random(6)
+    rows = [(g, float(rng.randint(0, 30)) if rng.random() > 0.1 else None) for g in "aabbbbbbbbc" for _ in range(20 if g != "c" else 1)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    at = [0.0, 0.05, 0.5, 0.9, 1.0]
+    for nearest, method in ((False, "linear"), (True, "inverted_cdf")):
+        got = {(r["g"], r["q"]): r["value"] for r in quantiles(df, ["g"], "x", at, nearest).collect()}
+        want = {(g, q): float(np.quantile([x for k, x in rows if k == g and x is not None], q, method=method)) for g in {k for k, x in rows if x is not None} for q in at}
+        assert got == pytest.approx(want)
+    ids = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "id long").repartition(6)
+    assert all(r["id"] == r["place"] for r in numbered(ids, ["id"]).collect())
+
+
+def test_duplicates_are_errors(spark):
+    from graphloom.operators import fusion
+
+    rows = [(1, "dense", 5, 1), (1, "dense", 5, 2), (1, "sparse", 5, 1)]
+    with pytest.raises(Exception, match="twice"):
+        fusion.rrf(spark.createDataFrame(rows, "query_id long, source string, node_id long, rank int"), {"dense": 0.5, "sparse": 0.5}).collect()
+
+
+def test_push_against_walk(spark):
+    """Push estimates are short of the exact restart walk by no more than the residues that may remain."""
+    import numpy as np
+
+    from graphloom.operators import graph
+
+    rng = random.Random(2)
+    links = {(rng.randrange(30), rng.randrange(30)) for _ in range(90)}
+    out = {i: [b for a, b in links if a == i] for i in range(30)}
+    moves = spark.createDataFrame([(a, b, 1 / len(out[a])) for a, b in links], "src long, dst long, p double")
+    got = {r["node_id"]: r["x"] for r in graph.ppr_push(spark.createDataFrame([(0, 3, 0.5), (0, 4, 0.5)], "query_id long, node_id long, x double"), moves, 0.3, 1e-4).collect()}
+    step = np.array([[out[i].count(j) / len(out[i]) if out[i] else float(i == j) for j in range(30)] for i in range(30)])
+    start = np.zeros(30)
+    start[[3, 4]] = 0.5
+    exact = 0.3 * np.linalg.solve((np.eye(30) - 0.7 * step).T, start)
+    short = exact - np.array([got.get(i, 0.0) for i in range(30)])
+    assert short.min() > -1e-9 and short.sum() <= 1e-4 * sum(max(len(v), 1) for v in out.values())
+
+
+def test_spectrum(spark):
+    import numpy as np
+
+    from graphloom.operators.spectrum import gram, ranks_of_spectrum
+
+    x = np.random.default_rng(4).normal(size=(200, 5)) * [5, 3, 1, 0.1, 0]
+    r = ranks_of_spectrum(gram(spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(4), "vec")).first()
+    s = np.linalg.svd(x, compute_uv=False)
+    p = s / s.sum()
+    assert r["rows"] == 200 and r["stable_rank"] == pytest.approx((s**2).sum() / s[0] ** 2)
+    assert r["effective_rank"] == pytest.approx(np.exp(-(p[p > 1e-12] * np.log(p[p > 1e-12])).sum()), rel=1e-4)
+
+
+def test_sources(spark, tmp_path):
+    """Edges with malformed lines, JSON lines, and sinks that refuse to overwrite."""
+    from graphloom.sources import tables
+
+    (tmp_path / "e.tsv").write_text("a\tb\tx\nb\tc\ty\nbroken line\n")
+    good, bad = tables.edges_tsv(spark, str(tmp_path / "e.tsv"))
+    assert {tuple(r) for r in good.collect()} == {("a", "b", "x"), ("b", "c", "y")} and bad.count() == 1
+    edges, names = tables.interned(good)
+    assert edges.count() == 2 and names.count() == 3 and tables.unique_ids(names, "node_id").count() == 3
+    (tmp_path / "j.jsonl").write_text('{"id": 1, "t": "x"}\n{"id": 2}\n')
+    rows = tables.jsonl(spark, str(tmp_path / "j.jsonl"), "id long, t string")
+    assert [(r["id"], r["t"]) for r in rows.orderBy("id").collect()] == [(1, "x"), (2, None)]
+    tables.write_once(rows, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="exists"):
+        tables.write_once(rows, str(tmp_path / "out"))
+    tables.append(rows, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
