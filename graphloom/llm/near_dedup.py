@@ -116,12 +116,15 @@ def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) of every node in links (a, b). In each round a node takes the smallest of its
     label, its label's label and those of its neighbours, and so does the node that was its label: whole trees are hooked, which
-    settles a chain in about log rounds. Labels only fall, so it ends when none changes; every round is checkpointed."""
+    settles a chain in about log rounds. Labels only fall, so it ends when none changes; every round is checkpointed. Hubs
+    and labels of many nodes are dealt over several tasks."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b")
     while True:
-        jump = label.join(label.select(F.col("node").alias("root"), F.col("root").alias("over")), "root")
-        near = both.join(jump.select(F.col("node").alias("b"), "over"), "b").groupBy(F.col("a").alias("node")).agg(F.min("over").alias("m"))
+        large = hot_keys(label.groupBy("root").agg(F.count("*").alias("n")), "root")
+        jump = spread_join(label, label.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", large, "node")
+        near = spread_join(both, jump.select(F.col("node").alias("b"), "over"), "b", hubs, "a").groupBy(F.col("a").alias("node")).agg(F.min("over").alias("m"))
         mine = cut(jump.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "over", "m").alias("low")))
         lift = mine.groupBy(F.col("old").alias("node")).agg(F.min("low").alias("up"))
         new = cut(mine.join(lift, "node", "left").select("node", "old", F.least("low", "up").alias("root")))
