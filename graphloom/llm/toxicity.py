@@ -20,8 +20,8 @@ TOKEN = re.compile(r"\w+")
 
 @dataclass
 class ToxicModel:
-    """odds: token -> shrunk log-odds of the toxic against the clean class, plus rest; rest: the (negative) score of a token
-    that the sample doesn't hold; scale, k: of the extreme-value law; bias, slope: of the calibration."""
+    """odds: token -> shrunk log-odds of the toxic against the clean class, plus rest, where they are not shrunk to 0; rest:
+    the (negative) score of all other tokens; scale, k: of the extreme-value law; bias, slope: of the calibration."""
 
     odds: dict[str, float]
     rest: float
@@ -76,16 +76,16 @@ def document(text: str | None, m: ToxicModel, most_expected: float = 0.05) -> tu
     return min(max(x, -20.0), 60.0), n, sig
 
 
-def fit(train: DataFrame, most_tokens: int = 500_000, prior: float = 500.0, z: float = 2.5) -> ToxicModel:
+def fit(train: DataFrame, most_tokens: int = 100_000, prior: float = 500.0, z: float = 2.5) -> ToxicModel:
     """Fits on (text, toxic) rows, a bounded sample, which is written once. Tokens are counted on the executors; the driver
     gets their counts and two numbers for each row of the sample. Rows without a label don't count.
 
-    Every token of the sample has its own log-odds under a Dirichlet prior of `prior` tokens in proportion to the whole
+    Every token has its own log-odds under a Dirichlet prior of `prior` tokens in proportion to the whole
     sample and half a token each, shrunk as by James and Stein: by the factor 1 - (z * standard error / log-odds) ** 2, to 0
     where that is negative. Added to each is the log-odds of all tokens that are not toxic, which is below 0, so
-    that clean text scores below 0 on average. Beyond most_tokens tokens, those of the
-    smallest log-odds over their errors score as unseen ones do. Without words of both classes nothing can be learned, and
-    the model predicts clean for every text."""
+    that clean text scores below 0 on average. Tokens shrunk to 0 score as unseen ones do and are not sent to the
+    driver; of the others at most most_tokens are, those of the largest log-odds. Without words of both classes nothing
+    can be learned, and the model predicts clean for every text."""
     train = stash(train.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxicity-training")
 
     def count(c: dict) -> dict:
@@ -107,7 +107,7 @@ def fit(train: DataFrame, most_tokens: int = 500_000, prior: float = 500.0, z: f
     odds = F.nullif(F.log(b / (n1 + all_own - b)) - F.log(c / (n0 + all_own - c)), F.lit(0.0))
     error = F.sqrt(1 / b + 1 / c)
     shrunk = odds * F.greatest(1 - F.pow(z * error / odds, 2), F.lit(0.0))
-    top = words.select("word", "clean", "bad", F.coalesce(shrunk, F.lit(0.0)).alias("odds")).orderBy((F.abs(odds) / error).desc_nulls_last(), "word").limit(most_tokens).collect()
+    top = words.select("word", "clean", "bad", shrunk.alias("odds")).where("odds <> 0").orderBy(F.abs("odds").desc(), "word").limit(most_tokens).collect()
     # What toxic text gives to its own words it takes from all others; their common log-odds is the drift of clean text.
     p0, p1 = ((sum(r[k] for r in top if r["odds"] > 0) + 0.5) / (n + 1) for k, n in (("clean", n0), ("bad", n1)))
     rest = min(math.log(max(1 - p1, 1e-9) / (1 - p0)), -1e-3)

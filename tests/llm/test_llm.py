@@ -486,7 +486,7 @@ def test_toxicity_scores(spark):
         odds[w] = x * max(1 - (2.5 * math.sqrt(1 / b + 1 / c) / x) ** 2, 0) if x else 0.0
     p0, p1 = ((sum(count[y][w] for w in vocabulary if odds[w] > 0) + 0.5) / (n + 1) for y, n in ((0, n0), (1, n1)))
     rest = min(math.log((1 - p1) / (1 - p0)), -1e-3)
-    assert m.rest == pytest.approx(rest) and m.odds == pytest.approx({w: x + rest for w, x in odds.items()})
+    assert m.rest == pytest.approx(rest) and m.odds == pytest.approx({w: x + rest for w, x in odds.items() if x})
     expected = sum((count[0][w] + 0.5) / (n0 + 0.5 * len(vocabulary)) * math.exp(m.scale * (odds[w] + rest)) for w in vocabulary)
     assert expected == pytest.approx(1, abs=1e-6) or m.scale > 9.99
     pieces = [s for t, y in rows if not y for *_, s in toxicity.segments(toxicity.scores(t, m))]
