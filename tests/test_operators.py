@@ -227,3 +227,42 @@ def test_sources(spark, tmp_path):
         tables.write_once(rows, str(tmp_path / "out"))
     tables.append(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_typed_chains_and_walks(spark):
+    """Chains and best walks against loops over a small pool; loops, pairs outside the pool and repeats don't count."""
+    from itertools import product
+
+    from graphloom.operators import relations
+
+    nodes, start = [1, 2, 3, 4, 5], [1, 2]
+    stored = [(1, 3, 0), (3, 4, 1), (3, 4, 1), (4, 5, 2), (2, 4, 1), (5, 3, 0), (3, 3, 2), (4, 9, 0), (1, 2, 1)]
+    rc = {0: 0.25, 1: -0.5, 2: 0.75}
+    pool = spark.createDataFrame([(7, n) for n in nodes], "query_id long, node_id long")
+    s = pool.where("node_id <= 2")
+    e = relations.typed_entries(pool, spark.createDataFrame(stored, "src long, dst long, rel int")).join(spark.createDataFrame(list(rc.items()), "rel int, rc double"), "rel")
+    want = {(u, v, r, 1) for u, v, r in stored if u != v and v != 9} | {(v, u, r, -1) for u, v, r in stored if u != v and v != 9}
+    assert {(x.u, x.v, x.rel, x.sign) for x in e.collect()} == want and e.count() == len(want)
+    c1 = {v: max(rc[r] for u, w, r, _ in want if w == v and u in start) for v in nodes if any(w == v and u in start for u, w, _, _ in want)}
+    each = {}
+    for u, v, r, _ in want:
+        if u in c1 and u not in start and v not in start:
+            each.setdefault(v, []).append((c1[u] + rc[r]) / 2)
+    assert {x.node_id: (x.best, round(x["mean"], 9)) for x in relations.chains(e, s).collect()} == {v: (max(x), round(sum(x) / len(x), 9)) for v, x in each.items()}
+    best = {}
+    for hop in (1, 2, 3):
+        for walk in product(want, repeat=hop):
+            if walk[0][0] in start and all(a[1] == b[0] for a, b in zip(walk, walk[1:])):
+                k = (walk[-1][1], hop)
+                best[k] = max(best.get(k, -9.0), sum(rc[x[2]] for x in walk))
+    got = relations.best_walks(e, s, 3).collect()
+    assert {(x.node_id, x.hop): round(sum(p.rc for p in x.path), 6) for x in got} == {k: round(v, 6) for k, v in best.items()}
+    assert all(len(x.path) == x.hop and x.path[0].u in start and all((a.u, b.u, a.rel, a.sign) in want for a, b in zip(x.path, x.path[1:])) for x in got)
+
+
+def test_typed_relations_of_nothing(spark):
+    from graphloom.operators import relations
+
+    pool = spark.createDataFrame([], "query_id long, node_id long")
+    e = relations.typed_entries(pool, spark.createDataFrame([], "src long, dst long, rel int")).withColumn("rc", F.lit(0.0))
+    assert not relations.chains(e, pool).count() and not relations.best_walks(e, pool, 2).count() and not relations.typed_features(e, pool).count()

@@ -8,7 +8,7 @@ import os
 import pytest
 
 import __spark_entry__
-from graphloom.plans import feature_queries, more_queries, queries as plans, wide_queries  # noqa: F401
+from graphloom.plans import feature_queries, link_queries, more_queries, queries as plans, wide_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
