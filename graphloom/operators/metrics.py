@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import discounted_gain
+from graphloom.sources.shared import cut
 
 KS = (1, 5, 10, 20, 50, 100)
 
@@ -120,3 +123,61 @@ def bootstrap(deltas: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
     means = d.withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(F.avg("m").alias("mean"), F.get(p, F.lit(0)).alias("low"), F.get(p, F.lit(1)).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("positive"))
+
+
+def poisson_weight(*parts: Column | str) -> Column:
+    """A Poisson(1) count (at most nine) from the first 32 bits of the MD5 of the parts, joined by colons."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+    u = (h + 0.5) / float(1 << 32)
+    weight = F.lit(0)
+    for t in POISSON:
+        weight = weight + (u > t).cast("int")
+    return weight
+
+
+def _poisson_steps() -> list[float]:
+    term, total, out = math.exp(-1), math.exp(-1), []
+    for k in range(1, 10):
+        out.append(total)
+        term /= k
+        total += term
+    return out
+
+
+POISSON = _poisson_steps()
+
+
+def two_level_bootstrap(deltas: DataFrame, draws: int = 1000) -> DataFrame:
+    """runs, mean, low, high of (run, query_id, delta): each draw takes as many runs as there are with replacement, then
+    weighs each query with a Poisson(1) count that all runs share. Every run must hold the same queries.
+
+    Queries are added up by (draw, run) before the shuffle; the runs' draws are a table of draws x runs rows."""
+    each = deltas.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson_weight("draw", "query_id"))
+    sums = cut(each.groupBy("draw", "run").agg(F.sum(F.col("w") * F.col("delta")).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n")))
+    placed = sums.withColumns({"place": F.row_number().over(Window.partitionBy("draw").orderBy("run")) - 1, "runs": F.count("*").over(Window.partitionBy("draw"))})
+    slot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("run"), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
+    taken = placed.select("draw", "runs").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).select("draw", (slot % F.col("runs")).alias("place"))
+    same = F.when(F.min("n") == F.max("n"), F.sum("s") / F.count("*")).otherwise(F.raise_error(F.lit("runs hold different queries")).cast("double"))
+    checked = placed.groupBy("draw").agg(same.alias("_same"), F.max("w").alias("all"))
+    means = placed.join(taken, ["draw", "place"]).groupBy("draw").agg(F.sum("s").alias("s"), F.count("*").alias("k")).join(checked.where("_same is not null"), "draw").select(F.round(F.try_divide("s", F.col("k") * F.col("all")), 9).alias("m"))
+    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
+    ends = means.agg(F.get(p, F.lit(0)).alias("low"), F.get(p, F.lit(1)).alias("high"))
+    return deltas.agg(F.count_distinct("run").alias("runs"), (F.round(F.avg("delta"), 6) + 0.0).alias("mean")).crossJoin(F.broadcast(ends)).select("runs", "mean", (F.round("low", 6) + 0.0).alias("low"), (F.round("high", 6) + 0.0).alias("high"))
+
+
+def share_interval(values: DataFrame, draws: int = 1000) -> DataFrame:
+    """measure, stat, point, low, high of (query_id, measure, base, middle, top): what middle and top gain over base, the
+    share of top's gain that middle reaches, and the gap between them, with ends by nearest rank over Poisson draws. A share
+    is null where top gains nothing; in the draws that counts as less than any number."""
+    gains = {"top_gain": F.col("top") - F.col("base"), "middle_gain": F.col("middle") - F.col("base"), "gap": F.col("top") - F.col("middle")}
+    least = F.lit(float("-inf"))
+    share = F.when(F.col("top_gain") > 0, F.col("middle_gain") / F.col("top_gain")).otherwise(least)
+    point = values.groupBy("measure").agg(*[F.round(F.avg(c), 9).alias(n) for n, c in gains.items()]).withColumn("share", share)
+    each = values.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson_weight("draw", "query_id"))
+    drawn = each.groupBy("measure", "draw").agg(*[F.round(F.try_divide(F.sum(F.col("w") * c), F.sum("w")), 9).alias(n) for n, c in gains.items()]).withColumn("share", share)
+    names = [*gains, "share"]
+    long = lambda df, *key: df.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("x")) for n in names])).alias("s")).select(*key, "s.*")
+    at = lambda q: F.get("xs", (F.greatest(F.ceil(q * F.size("xs")), F.lit(1)) - 1).cast("int"))
+    ends = long(drawn, "measure", "draw").groupBy("measure", "stat").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    shown = lambda c, name: (F.round(F.when(c > least, c), 6) + 0.0).alias(name)
+    return long(point, "measure").join(ends, ["measure", "stat"]).select("measure", "stat", shown(F.col("x"), "point"), shown(at(0.025), "low"), shown(at(0.975), "high"))
