@@ -181,3 +181,21 @@ def share_interval(values: DataFrame, draws: int = 1000) -> DataFrame:
     ends = long(drawn, "measure", "draw").groupBy("measure", "stat").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     shown = lambda c, name: (F.round(F.when(c > least, c), 6) + 0.0).alias(name)
     return long(point, "measure").join(ends, ["measure", "stat"]).select("measure", "stat", shown(F.col("x"), "point"), shown(at(0.025), "low"), shown(at(0.975), "high"))
+
+
+def interval_labels(deltas: DataFrame, by: list[str], draws: int = 1000) -> DataFrame:
+    """by, mean, low, high, label of (by, query_id, delta): SAME where every delta is 0, else ABOVE or BELOW where the 95 %
+    interval of Poisson draws lies on one side of 0, else AT."""
+    whole = deltas.groupBy(*by).agg((F.round(F.avg("delta"), 6) + 0.0).alias("mean"), (F.max(F.abs("delta")) == 0).alias("same"))
+    each = deltas.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson_weight("draw", "query_id"))
+    means = each.groupBy(*by, "draw").agg(F.round(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")), 9).alias("m"))
+    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
+    ends = means.groupBy(*by).agg((F.round(F.get(p, F.lit(0)), 6) + 0.0).alias("low"), (F.round(F.get(p, F.lit(1)), 6) + 0.0).alias("high"))
+    label = F.when(F.col("same"), "SAME").when(F.col("low") > 0, "ABOVE").when(F.col("high") < 0, "BELOW").otherwise("AT")
+    return whole.join(ends, by).select(*by, "mean", "low", "high", label.alias("label"))
+
+
+def adoption(labels: DataFrame, by: list[str]) -> DataFrame:
+    """by, verdict: NOT_ADOPTED where any label is BELOW, else ADOPT where any is ABOVE, else NO_EFFECT."""
+    some = lambda x: F.bool_or(F.col("label") == x)
+    return labels.groupBy(*by).agg(F.when(some("BELOW"), "NOT_ADOPTED").when(some("ABOVE"), "ADOPT").otherwise("NO_EFFECT").alias("verdict"))

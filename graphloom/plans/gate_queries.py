@@ -27,15 +27,32 @@ ht AS (SELECT draw, ('0x' || substr(md5('run:' || draw || ':' || slot), 1, 8))::
 hm AS (SELECT draw, round(sum(s) / nullif(count(*) * max(w), 0), 9) AS m FROM hp JOIN ht USING (draw, place) GROUP BY draw)"""
 
 
-@query("hierarchical_ci", "SELECT (SELECT count(DISTINCT run) FROM rh) AS runs, (SELECT round(avg(delta), 6) + 0.0 FROM rh) AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM hm", RUNS)
-def _(w: Workload) -> DataFrame:
-    """Recall at 10 of five fused runs against the dense list, resampled by runs and then by queries."""
+LABELS = RUNS + f""", ds AS (SELECT run, split, query_id, delta FROM rh JOIN queries USING (query_id)),
+dm AS (SELECT run, split, draw, round(sum(x * delta) / nullif(sum(x), 0), 9) AS m FROM (SELECT *, {poisson_sql("draw", "query_id")} AS x FROM ds, range(1, 1001) t(draw)) GROUP BY ALL),
+il AS MATERIALIZED (SELECT run, split, mean, low, high, CASE WHEN same THEN 'SAME' WHEN low > 0 THEN 'ABOVE' WHEN high < 0 THEN 'BELOW' ELSE 'AT' END AS label FROM (SELECT run, split, round(avg(delta), 6) + 0.0 AS mean, max(abs(delta)) = 0 AS same FROM ds GROUP BY ALL) JOIN (SELECT run, split, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM dm GROUP BY ALL) USING (run, split))"""
+
+
+def run_deltas(w: Workload) -> DataFrame:
+    """run, query_id, delta: recall at 10 of five fused runs less that of the dense list."""
     runs = fusion.rrf_weights(w.ranked, DENSE_WEIGHTS)
     g = w.golds.withColumn("w", F.explode(F.array(*[F.lit(x) for x in DENSE_WEIGHTS])))
     dense = w.ranked.where("source = 'dense'").select("query_id", "node_id", "rank")
     j = g.join(runs.select("query_id", "w", "node_id", "rn"), ["query_id", "w", "node_id"], "left").join(dense, ["query_id", "node_id"], "left")
     share = lambda c: F.count(F.when(F.col(c) <= 10, 1)) / F.count("*")
-    return metrics.two_level_bootstrap(j.groupBy(F.col("w").alias("run"), "query_id").agg(F.round(share("rn") - share("rank"), 6).alias("delta")))
+    return j.groupBy(F.col("w").alias("run"), "query_id").agg(F.round(share("rn") - share("rank"), 6).alias("delta"))
+
+
+@query("hierarchical_ci", "SELECT (SELECT count(DISTINCT run) FROM rh) AS runs, (SELECT round(avg(delta), 6) + 0.0 FROM rh) AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM hm", RUNS)
+def _(w: Workload) -> DataFrame:
+    """Recall at 10 of five fused runs against the dense list, resampled by runs and then by queries."""
+    return metrics.two_level_bootstrap(run_deltas(w))
+
+
+@query("ci_verdicts", "SELECT il.*, CASE WHEN bool_or(label = 'BELOW') OVER (PARTITION BY run) THEN 'NOT_ADOPTED' WHEN bool_or(label = 'ABOVE') OVER (PARTITION BY run) THEN 'ADOPT' ELSE 'NO_EFFECT' END AS verdict FROM il", LABELS)
+def _(w: Workload) -> DataFrame:
+    """Each run against the dense list by split: label of the interval, and the run's verdict over all splits."""
+    labels = graph.cut(metrics.interval_labels(run_deltas(w).join(w.queries.select("query_id", "split"), "query_id"), ["run", "split"]))
+    return labels.join(metrics.adoption(labels, ["run"]), "run")
 
 
 SYSTEMS = f"""sy AS (SELECT 'top' AS system, query_id, node_id, rn FROM rrf UNION ALL SELECT CASE source WHEN 'dense' THEN 'middle' ELSE 'base' END, query_id, node_id, rank FROM ranked),

@@ -106,3 +106,11 @@ def test_smooth_never_lowers(spark):
     for _ in range(2):
         p = 0.5 * s + 0.5 * w @ p
     assert all(math.isclose(got[i + 1], max(s[i], p[i])) for i in range(3))
+
+
+def test_labels_and_adoption(spark):
+    rows = [("a", "x", q, 0.0) for q in range(30)] + [("a", "y", q, 0.2 + 0.01 * q) for q in range(30)] + [("b", "x", q, -0.2 - 0.01 * q) for q in range(30)] + [("b", "y", q, 0.5) for q in range(30)] + [("c", "x", q, 0.0) for q in range(3)] + [("d", "x", q, (-1.0) ** q) for q in range(30)]
+    labels = metrics.interval_labels(spark.createDataFrame(rows, "run string, split string, query_id long, delta double"), ["run", "split"], 200)
+    got = {(r["run"], r["split"]): r["label"] for r in labels.collect()}
+    assert got == {("a", "x"): "SAME", ("a", "y"): "ABOVE", ("b", "x"): "BELOW", ("b", "y"): "ABOVE", ("c", "x"): "SAME", ("d", "x"): "AT"}
+    assert {r["run"]: r["verdict"] for r in metrics.adoption(labels, ["run"]).collect()} == {"a": "ADOPT", "b": "NOT_ADOPTED", "c": "NO_EFFECT", "d": "NO_EFFECT"}
