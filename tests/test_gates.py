@@ -11,6 +11,39 @@ from pyspark.sql import functions as F
 from graphloom.operators import gate, metrics, pool
 
 
+def numpy_fit(x, m, w, penalty, rounds, tolerance):
+    """The same rounds over arrays: the model and the likelihoods seen."""
+    kept = m.sum(axis=1) > 0
+    X, M, u = np.hstack([x, np.ones((len(x), 1))])[kept], m[kept], w[kept]
+    now, seen = np.zeros((m.shape[1], X.shape[1])), []
+    step = np.linalg.inv(0.5 * (X * u[:, None]).T @ X + 2 * penalty * np.eye(X.shape[1]))
+    while True:
+        e = np.exp(X @ now.T)
+        g = e / e.sum(axis=1, keepdims=True)
+        seen.append(float((u * np.log((g * M).sum(axis=1))).sum() - penalty * (now**2).sum()))
+        if len(seen) > rounds or (len(seen) > 1 and seen[-1] - seen[-2] < tolerance * abs(seen[-2])):
+            return now, seen
+        r = g * M / (g * M).sum(axis=1, keepdims=True)
+        now = now + (((r - g) * u[:, None]).T @ X - 2 * penalty * now) @ step
+
+
+def test_em_gate_query(spark):
+    from graphloom.plans import gate_queries
+    from graphloom.plans.queries import QUERIES
+    from graphloom.plans.workload import Workload
+
+    folder = "/root/testdata/sf0.001"
+    scaled, golds = gate_queries.gate_rows(Workload(spark, folder))
+    rows = golds.collect()
+    model, _ = numpy_fit(np.array([r["x"] for r in rows]), np.array([r["m"] for r in rows]), np.array([r["w"] for r in rows]), 1e-3, 60, 1e-7)
+    got = {r["query_id"]: r for r in QUERIES["em_gate"](spark, folder).collect()}
+    want = scaled.collect()
+    assert len(got) == len(want) > 0
+    for r in want:
+        e = np.exp(model @ np.array([*r["x"], 1.0]))
+        assert np.allclose([got[r["query_id"]][f"w_{s}"] for s in gate_queries.SOURCES], e / e.sum(), atol=1e-4)
+
+
 def test_gate_fit_follows_numpy(spark):
     rng = np.random.default_rng(3)
     x, m = rng.normal(size=(60, 2)), rng.random((60, 3)) * (rng.random((60, 3)) > 0.3)
@@ -19,17 +52,7 @@ def test_gate_fit_follows_numpy(spark):
     rows = [(x[i].tolist(), m[i].tolist(), float(w[i])) for i in range(60)]
     df = spark.createDataFrame(rows, "x array<double>, m array<double>, w double")
     model, trace = gate.fit_gate(df, 3, 2, penalty=1e-3, rounds=25, tolerance=0)
-    kept = m.sum(axis=1) > 0
-    X, M, u = np.hstack([x, np.ones((60, 1))])[kept], m[kept], w[kept]
-    want, B = np.zeros((3, 3)), np.linalg.inv(0.5 * (X * u[:, None]).T @ X + 2e-3 * np.eye(3))
-    seen = []
-    for _ in range(26):
-        e = np.exp(X @ want.T)
-        g = e / e.sum(axis=1, keepdims=True)
-        seen.append(float((u * np.log((g * M).sum(axis=1))).sum() - 1e-3 * (want**2).sum()))
-        last = want
-        r = g * M / (g * M).sum(axis=1, keepdims=True)
-        want = want + (((r - g) * u[:, None]).T @ X - 2e-3 * want) @ B
+    last, seen = numpy_fit(x, m, w, 1e-3, 25, 0)
     assert np.allclose(model, last, atol=1e-9) and np.allclose(trace, seen, atol=1e-9)
     assert all(b >= a - 1e-12 for a, b in zip(trace, trace[1:]))
     assert model[0, 0] > 0  # the first source carries golds where the first feature is large
