@@ -39,29 +39,30 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class Rolling:
-    """Hashes of any stretch of a byte array, alike wherever the stretch lies: prefix sums of byte * BASE^place modulo
-    2^64, with the power of the place divided out."""
+    """Hashes of any stretch of an array (bytes, or 64-bit values), alike wherever the stretch lies: prefix sums of
+    value * BASE^place modulo 2^64, with the power of the place divided out."""
 
-    def __init__(self, raw: np.ndarray) -> None:
-        table = mix(np.arange(1, 257, dtype=np.uint64))
+    def __init__(self, values: np.ndarray) -> None:
         with np.errstate(over="ignore"):
-            power, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), b, np.uint64))), dtype=np.uint64) for b in (BASE, INVERSE))
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * power[:-1], dtype=np.uint64)))
+            if values.dtype == np.uint8:
+                values = mix(np.arange(1, 257, dtype=np.uint64))[values]
+            power, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(values), b, np.uint64))), dtype=np.uint64) for b in (BASE, INVERSE))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power[:-1], dtype=np.uint64)))
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.sums[stop] - self.sums[start]) * self.back[start])
 
 
-def anchors(rolling: Rolling, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(rolling: Rolling, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of documents raw[begin:end]: each run's anchor, first window and last window (places in raw)."""
-    n = len(raw) - GRAM + 1
+    n = len(raw) - gram + 1
     if n < 1 or len(raw) < span:
         return (np.empty(0, np.int64),) * 3
     at = np.arange(n)
-    h = rolling.of(at, at + GRAM)
+    h = rolling.of(at, at + gram)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    width = span - GRAM + 1
+    width = span - gram + 1
     size, reach = 1, low
     while size * 2 <= width:
         reach = np.minimum(reach[:-size], reach[size:])
