@@ -44,10 +44,11 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 class Encoder:
     """Token ids of the given tokenizer file plus the end id. The ranks file of the same vocabulary, where given, yields
-    the same ids several times faster; texts then keep the tokenizer's own treatment of its special token."""
+    the same ids several times faster; texts then keep the tokenizer's own treatment of its special token. A text that the
+    fast encoder refuses (its pattern's stack overflows on very long runs of white space) is given to the tokenizer."""
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None, end: int) -> None:
-        self.end = end
+        self.end, self.fast, self.slow, self.tokenizer = end, None, None, tokenizer
         if ranks:
             import base64
 
@@ -56,14 +57,24 @@ class Encoder:
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={"<|endoftext|>": len(table)})
-        else:
+
+    def slowly(self, text: str) -> list[int]:
+        if self.slow is None:
             from tokenizers import Tokenizer
 
-            self.fast, self.slow = None, Tokenizer.from_file(tokenizer)
+            self.slow = Tokenizer.from_file(self.tokenizer)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None:
+            return self.slowly(text)
+        try:
+            return self.fast.encode(text, allowed_special="all")
+        except ValueError:
+            return self.slowly(text)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        ids = [] if not text else self.fast.encode(text, allowed_special="all") if self.fast else self.slow.encode(text, add_special_tokens=False).ids
-        return np.array([*ids, self.end], np.uint32)
+        return np.array([*(self.ids(text) if text else ()), self.end], np.uint32)
 
 
 def public_encoder(end: int = 1):

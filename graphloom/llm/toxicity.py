@@ -38,26 +38,30 @@ def scores(text: str | None, m: ToxicModel) -> list[float]:
 
 def segments(found: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score), by one pass over the tokens with a stack of the
-    positive ones: each entry keeps the running sum before and after it, and merges with the nearest earlier one that
-    starts lower."""
-    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    positive ones: each entry keeps the running sum before and after it, and the place of the nearest earlier entry that
+    starts lower, by which searches jump. Where nothing starts lower, what lies on the stack is final and leaves it."""
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, nearest that starts lower
     total = 0.0
     for i, score in enumerate(found):
         if score <= 0:
             total += score
             continue
-        piece = (i, i, total, total + score)
-        total += score
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= piece[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= piece[3]:
+        first, before, total = i, total, total + score
+        lower = len(stack) - 1
+        while True:
+            while lower >= 0 and stack[lower][2] >= before:
+                lower = stack[lower][4]
+            if lower < 0 or stack[lower][3] >= total:
                 break
-            piece = (stack[j][0], i, stack[j][2], piece[3])
-            del stack[j:]
-        stack.append(piece)
-    return [(a, b, after - before) for a, b, before, after in stack]
+            first, _, before, _, next_lower = stack[lower]
+            del stack[lower:]
+            lower = next_lower
+        if lower < 0:
+            done += [(a, b, y - x) for a, b, x, y, _ in stack]
+            stack.clear()
+        stack.append((first, i, before, total, lower))
+    return done + [(a, b, y - x) for a, b, x, y, _ in stack]
 
 
 def evidence(score: float, n: int, m: ToxicModel) -> float:

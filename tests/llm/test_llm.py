@@ -6,10 +6,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +215,16 @@ def test_suffix_zero_bytes(spark):
     assert {i: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for i, r in got.items()} == brute_repeats(texts, 100)
 
 
+def test_suffix_periodic(spark):
+    """Texts of one letter and of a short period, of 3 MB and several stretches: settled runs are joined, not one a byte."""
+    texts = {1: "a" * 3_000_000, 2: "ab" * 100_000, 3: "b" + "a" * 150}
+    want = {1: (3_000_000, 2_999_999, 1), 2: (200_000, 199_998, 1), 3: (151, 150, 1)}
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), buckets=3))
+    assert {i: (r["n_bytes"], r["n_removed"], len(r["spans"])) for i, r in got.items()} == want
+    first = suffix_dedup.first_pass(100, 3)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [texts[1][:1_000_000]], "base": [0]})]))
+    assert sum(len(suffix_dedup.expand(b)) for part in first for b in part.column(3).to_pylist()) < 10
+
+
 def test_levels_any_order():
     rng = np.random.default_rng(1)
     index, all_ = suffix_dedup.Levels(), []
@@ -262,6 +274,13 @@ def test_encoder_special_token():
         assert packing.public_encoder()()(t).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_encoder_long_runs():
+    """What the fast encoder's pattern cannot take goes to the tokenizer, with the same ids."""
+    encode = packing.public_encoder()()
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000):
+        assert encode(text).tolist() == [*encode.slowly(text), 1]
+
+
 def test_packing_order(spark, docs):
     """Along the curve sequences follow the key, ties the identifier, whatever the partitions."""
     pytest.importorskip("public_tokenizers")
@@ -437,6 +456,38 @@ def test_segments():
         assert max((s for *_, s in got), default=0) == max((s for *_, s in brute(0, n)), default=0)
 
 
+def test_segments_equal_plain():
+    """The same segments as a scan that looks at every earlier entry."""
+
+    def plain(found):
+        stack, total = [], 0.0
+        for i, score in enumerate(found):
+            total += score
+            if score <= 0:
+                continue
+            piece = (i, i, total - score, total)
+            while True:
+                lower = [j for j in range(len(stack)) if stack[j][2] < piece[2]]
+                if not lower or stack[lower[-1]][3] >= piece[3]:
+                    break
+                piece = (stack[lower[-1]][0], i, stack[lower[-1]][2], piece[3])
+                del stack[lower[-1] :]
+            stack.append(piece)
+        return [(a, b, y - x) for a, b, x, y in stack]
+
+    rng = random.Random(8)
+    for _ in range(500):
+        found = [rng.choice([1.0, 2.0, 0.5, -1.0, -2.0, -3.0]) for _ in range(rng.randint(0, 50))]
+        assert toxicity.segments(found) == plain(found)
+
+
+@pytest.mark.parametrize("unit", [[1.0, -2.0], [2.0, -1.0], [1.0, -1.0]])
+def test_segments_linear(unit):
+    began = time.process_time()
+    toxicity.segments(unit * 200_000)
+    assert time.process_time() - began < 5
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     rows, labels = [], []
