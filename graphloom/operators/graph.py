@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import cut
+from graphloom.sources.shared import cut, stash  # noqa: F401
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
