@@ -83,12 +83,12 @@ def walk_counts(start: DataFrame, local: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def components(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """query_id, node_id, component (smallest node reachable without regard to direction), by label propagation with
     pointer jumping; every round is checkpointed, and it ends when no label changes."""
     pairs = cut(links.select("query_id", "src", "dst").union(links.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = cut(nodes.select("query_id", "node_id", F.col("node_id").alias("component")))
-    for _ in range(most):
+    while True:
         near = label.withColumnRenamed("node_id", "src").join(pairs, ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.min("component").alias("near"))
         one = label.join(near, ["query_id", "node_id"], "left").select("query_id", "node_id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("up"))
         jump = label.select("query_id", F.col("node_id").alias("up"), F.col("component").alias("over"))
@@ -96,7 +96,6 @@ def components(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame
         label = new.drop("old")
         if new.where("old <> component").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def ppr_local(nodes: DataFrame, start: DataFrame, local: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
@@ -204,12 +203,13 @@ def expand_structural(candidates: DataFrame, start: DataFrame, edges: DataFrame,
     return one.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))).where(F.col("pos") <= most)
 
 
-def coreness(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
+def coreness(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node_id, core of every node: values start at the degree and are replaced by the h-index of the neighbours' values
-    until none changes. links holds both directions of simple edges. Every round is checkpointed."""
+    until none changes; they only fall, so that ends, however long a path is. links holds both directions of simple edges. Every
+    round is checkpointed."""
     links = cut(links)
     now = cut(links.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("core")))
-    for _ in range(most):
+    while True:
         seen = links.join(now.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id"), "core").agg(F.count("*").alias("c"))
         above = F.sum("c").over(Window.partitionBy("node_id").orderBy(F.desc("core")))
         h = seen.withColumn("_h", F.least(F.col("core"), above)).groupBy("node_id").agg(F.max("_h").alias("h"))
@@ -217,4 +217,3 @@ def coreness(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
         now = new.drop("old")
         if new.where("old <> core").isEmpty():
             return nodes.select("node_id").join(now, "node_id", "left").select("node_id", F.coalesce("core", F.lit(0)).alias("core"))
-    raise RuntimeError("core numbers did not settle")

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.functions.vectors import discounted_gain
 from graphloom.sources.shared import cut
@@ -83,12 +84,21 @@ def holm(tests: DataFrame) -> DataFrame:
     return t.withColumn("_raw", raw).withColumn("adjusted", F.least(F.lit(1.0), F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
 
 
+#: 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom (fixed values).
+T975 = [
+    12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852,
+    2.200985160, 2.178812830, 2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.100922040, 2.093024054, 2.085963447,
+    2.079613845, 2.073873068, 2.068657610, 2.063898562, 2.059538553, 2.055529439, 2.051830516, 2.048407142, 2.045229642, 2.042272456,
+]
+
+
 def t_interval(df: DataFrame, by: list[str], delta: str) -> DataFrame:
-    """by, n, mean, sd, t and the 95 % interval of each group of two values or more; the quantile of Student's t is expanded
-    in powers of 1 / degrees of freedom around the normal one."""
+    """by, n, mean, sd, t and the 95 % interval of each group of two values or more. The quantile of Student's t comes from
+    T975, beyond its 30 degrees of freedom from the expansion in powers of 1 / degrees around the normal one."""
     g = df.groupBy(*by).agg(F.count(delta).alias("n"), F.avg(delta).alias("m"), F.stddev_samp(delta).alias("s")).where("n > 1")
     z, v = 1.959963984540054, F.col("n") - 1
-    q = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * F.pow(v, 3))
+    far = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * F.pow(v, 3))
+    q = F.coalesce(F.get(F.array(*map(F.lit, T975)), (v - 1).cast("int")), far)
     error = F.col("s") / F.sqrt("n")
     return g.select(*by, "n", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), F.round(F.try_divide(F.col("m"), error), 5).alias("t"), F.round(F.col("m") - q * error, 5).alias("low"), F.round(F.col("m") + q * error, 5).alias("high"))
 
@@ -110,21 +120,60 @@ def paired_deltas(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return j.select("query_id", F.when(both, F.col("_a") - F.col("_b")).otherwise(F.raise_error(F.lit("queries differ")).cast("double")).alias("delta"))
 
 
-def bootstrap(deltas: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean delta and its 95 % interval: each draw reweights every query by a Poisson(1) count from its seeded hash, so
-    the draws are sums that executors add up."""
-    d = deltas.select("query_id", "delta", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = (F.xxhash64("query_id", "draw", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    weight, term, total = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
-        weight = weight + (u > total).cast("int")
-        term /= k
-        total += term
-    means = d.withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("m"))
+def bootstrap(deltas: DataFrame, draws: int = 1000) -> DataFrame:
+    """mean, low, high, positive of (query_id, delta): the mean of the draws' means (each weighs every query by a Poisson(1) count, the
+    same on any partitions), their 95 % interval, and the share of draws above 0."""
+    means = draw_sums(deltas, [], {"s": F.col("delta")}, draws).select(F.round(F.try_divide("s", "w"), 9).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(F.avg("m").alias("mean"), F.get(p, F.lit(0)).alias("low"), F.get(p, F.lit(1)).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("positive"))
 
 
+def draw_sums(df: DataFrame, by: list[str], values: dict[str, Column], draws: int) -> DataFrame:
+    """by, draw (1 to draws), w, n and each value's sum over the rows of a group, weighted by poisson_weight(draw, query_id); w is
+    the sum of weights, n the number of rows. A task keeps one vector of sums for each group and value, so what is shuffled is a
+    row for each draw, group and task, not for each draw and query."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    names, steps, zero = list(values), np.array(POISSON), ("w", "n")
+    rows = df.select(*by, "query_id", *[c.cast("double").alias(n) for n, c in values.items()])
+    shape = StructType([*[f for f in rows.schema.fields if f.name in by], *StructType.fromDDL("draw int, w double, n long, " + ", ".join(f"{n} double" for n in names)).fields])
+
+    def weights(query) -> np.ndarray:
+        h = [int.from_bytes(hashlib.md5(f"{d}:{query}".encode()).digest()[:4], "big") for d in range(1, draws + 1)]
+        return np.searchsorted(steps, (np.array(h) + 0.5) / (1 << 32)).astype(float)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(shape)
+        state: dict = {}
+
+        def flush():
+            for key, (sums, n) in state.items():
+                yield pa.RecordBatch.from_arrays([*[pa.array([k] * draws, arrow.field(i).type) for i, k in enumerate(key)], pa.array(np.arange(1, draws + 1), pa.int32()), pa.array(sums[0]), pa.array([n] * draws, pa.int64()), *[pa.array(s) for s in sums[1:]]], schema=arrow)
+            state.clear()
+
+        last, w = None, None
+        for batch in batches:
+            col = batch.to_pydict()
+            for key, query, xs in zip(zip(*(col[b] for b in by), strict=True) if by else [()] * batch.num_rows, col["query_id"], zip(*(col[n] for n in names), strict=True), strict=True):
+                if w is None or query != last:
+                    last, w = query, weights(query)
+                sums, n = state.get(key) or (np.zeros((1 + len(names), draws)), 0)
+                sums[0] += w
+                for i, x in enumerate(xs, 1):
+                    sums[i] += w * x
+                state[key] = (sums, n + 1)
+                if len(state) > 1000:
+                    yield from flush()
+        yield from flush()
+
+    return rows.mapInArrow(run, shape).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in (*zero, *names)])
+
+
 def poisson_weight(*parts: Column | str) -> Column:
     """A Poisson(1) count (at most nine) from the first 32 bits of the MD5 of the parts, joined by colons."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
@@ -151,9 +200,8 @@ def two_level_bootstrap(deltas: DataFrame, draws: int = 1000) -> DataFrame:
     """runs, mean, low, high of (run, query_id, delta): each draw takes as many runs as there are with replacement, then
     weighs each query with a Poisson(1) count that all runs share. Every run must hold the same queries.
 
-    Queries are added up by (draw, run) before the shuffle; the runs' draws are a table of draws x runs rows."""
-    each = deltas.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson_weight("draw", "query_id"))
-    sums = cut(each.groupBy("draw", "run").agg(F.sum(F.col("w") * F.col("delta")).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n")))
+    Queries are added up by (draw, run) in each task; the runs' draws are a table of draws x runs rows."""
+    sums = cut(draw_sums(deltas, ["run"], {"s": F.col("delta")}, draws))
     placed = sums.withColumns({"place": F.row_number().over(Window.partitionBy("draw").orderBy("run")) - 1, "runs": F.count("*").over(Window.partitionBy("draw"))})
     slot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("run"), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
     taken = placed.select("draw", "runs").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).select("draw", (slot % F.col("runs")).alias("place"))
@@ -173,8 +221,7 @@ def share_interval(values: DataFrame, draws: int = 1000) -> DataFrame:
     least = F.lit(float("-inf"))
     share = F.when(F.col("top_gain") > 0, F.col("middle_gain") / F.col("top_gain")).otherwise(least)
     point = values.groupBy("measure").agg(*[F.round(F.avg(c), 9).alias(n) for n, c in gains.items()]).withColumn("share", share)
-    each = values.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson_weight("draw", "query_id"))
-    drawn = each.groupBy("measure", "draw").agg(*[F.round(F.try_divide(F.sum(F.col("w") * c), F.sum("w")), 9).alias(n) for n, c in gains.items()]).withColumn("share", share)
+    drawn = draw_sums(values, ["measure"], gains, draws).select("measure", "draw", *[F.round(F.try_divide(n, "w"), 9).alias(n) for n in gains]).withColumn("share", share)
     names = [*gains, "share"]
     long = lambda df, *key: df.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("x")) for n in names])).alias("s")).select(*key, "s.*")
     at = lambda q: F.get("xs", (F.greatest(F.ceil(q * F.size("xs")), F.lit(1)) - 1).cast("int"))
@@ -187,8 +234,7 @@ def interval_labels(deltas: DataFrame, by: list[str], draws: int = 1000) -> Data
     """by, mean, low, high, label of (by, query_id, delta): SAME where every delta is 0, else ABOVE or BELOW where the 95 %
     interval of Poisson draws lies on one side of 0, else AT."""
     whole = deltas.groupBy(*by).agg((F.round(F.avg("delta"), 6) + 0.0).alias("mean"), (F.max(F.abs("delta")) == 0).alias("same"))
-    each = deltas.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson_weight("draw", "query_id"))
-    means = each.groupBy(*by, "draw").agg(F.round(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")), 9).alias("m"))
+    means = draw_sums(deltas, by, {"s": F.col("delta")}, draws).select(*by, "draw", F.round(F.try_divide("s", "w"), 9).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     ends = means.groupBy(*by).agg((F.round(F.get(p, F.lit(0)), 6) + 0.0).alias("low"), (F.round(F.get(p, F.lit(1)), 6) + 0.0).alias("high"))
     label = F.when(F.col("same"), "SAME").when(F.col("low") > 0, "ABOVE").when(F.col("high") < 0, "BELOW").otherwise("AT")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.order import numbered
+from graphloom.sources.shared import cut
 
 
 def chance(key: Column, seed: str) -> Column:
@@ -49,16 +50,29 @@ def corrupt_types(edges: DataFrame, rate: float, seed: str, stretch: int = 1000)
 
 
 def add_random_edges(edges: DataFrame, nodes: DataFrame, rate: float, seed: str) -> DataFrame:
-    """src, dst of round(rate * edges) edges at least that are new, distinct and no loops: edge number i of twice as many joins
-    the nodes at two hashed places; of those that stand the test, the first by number are taken."""
-    wanted = edges.agg(F.rint(F.count("*") * rate).cast("long").alias("want")).crossJoin(nodes.agg(F.count("*").alias("n")))
-    tries = wanted.select("want", "n", F.explode(F.sequence(F.lit(1), F.greatest(2 * F.col("want"), F.lit(1)))).alias("i"))
-    place = lambda s: F.floor(chance(F.col("i"), seed + s) * F.col("n")).cast("long")
-    ids = numbered(nodes.select("node_id"), ["node_id"], "at")
-    pairs = tries.select("want", "i", place("a").alias("p"), place("b").alias("q"))
-    pairs = pairs.join(ids.select(F.col("at").alias("p"), F.col("node_id").alias("src")), "p").join(ids.select(F.col("at").alias("q"), F.col("node_id").alias("dst")), "q").where("src <> dst")
-    new = pairs.groupBy("src", "dst").agg(F.min("i").alias("i"), F.first("want").alias("want")).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    return numbered(new, ["i"], "p").where("p < want").select("src", "dst")
+    """src, dst of round(rate * edges) edges that are new, distinct and no loops: try number i joins the nodes at two hashed
+    places; of the tries that stand the test, the first by number are taken. Tries are numbered from the edges' own places, twice as
+    many as are wanted at a time, until there are enough; with fewer possible edges than wanted all of them are returned."""
+    want, possible = int(edges.agg(F.rint(F.count("*") * rate).cast("long")).first()[0]), nodes.count()
+    known = cut(edges.select("src", "dst").distinct())
+    total, free = edges.count(), possible * (possible - 1) - known.where("src <> dst").count()
+    if not want or not total or free <= 0:
+        return edges.sparkSession.createDataFrame([], "src long, dst long")
+    ids = cut(numbered(nodes.select("node_id"), ["node_id"], "at"))
+    places = cut(numbered(edges.select("edge_pos"), ["edge_pos"], "at"))
+    place = lambda s: F.floor(chance(F.col("i"), seed + s) * possible).cast("long")
+    found, low = None, 0
+    while True:
+        high = low + 2 * want
+        # Tries low + 1 to high, dealt over the edges: place p gives p + 1, p + 1 + total and so on.
+        tries = places.select(F.explode(F.sequence(F.lit(low // total), F.lit(high // total))).alias("turn"), "at").select((F.col("turn") * total + F.col("at") + 1).alias("i")).where(F.col("i").between(low + 1, high))
+        pairs = tries.select("i", place("a").alias("p"), place("b").alias("q"))
+        pairs = pairs.join(ids.select(F.col("at").alias("p"), F.col("node_id").alias("src")), "p").join(ids.select(F.col("at").alias("q"), F.col("node_id").alias("dst")), "q").where("src <> dst").select("src", "dst", "i")
+        new = pairs.join(known, ["src", "dst"], "left_anti")
+        found = cut((new if found is None else new.unionByName(found)).groupBy("src", "dst").agg(F.min("i").alias("i")))
+        low = high
+        if found.count() >= min(want, free):
+            return numbered(found, ["i"], "p").where(F.col("p") < want).select("src", "dst")
 
 
 def mask_features(vectors: DataFrame, rate: float, seed: str) -> DataFrame:

@@ -327,7 +327,7 @@ def _(w: Workload) -> DataFrame:
 
 @query("unranked_last", "SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rd, 1000000), node_id) AS place FROM dsr", DS)
 def _(w: Workload) -> DataFrame:
-    return dense_sparse(w).select(*KEY, F.row_number().over(fusion.by_query(F.coalesce("rd", F.lit(1_000_000)), "node_id")).alias("place"))
+    return dense_sparse(w).select(*KEY, F.row_number().over(fusion.by_query(F.asc_nulls_last("rd"), "node_id")).alias("place"))
 
 
 @query("top_lists", "SELECT query_id, node_id FROM rrf WHERE rn <= 10")

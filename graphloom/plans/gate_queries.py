@@ -27,6 +27,19 @@ ht AS (SELECT draw, ('0x' || substr(md5('run:' || draw || ':' || slot), 1, 8))::
 hm AS (SELECT draw, round(sum(s) / nullif(count(*) * max(w), 0), 9) AS m FROM hp JOIN ht USING (draw, place) GROUP BY draw)"""
 
 
+PAIRED = f"""pd AS (SELECT g.query_id, round(count(f.rn) FILTER (f.rn <= 5) / count(*), 6) - round(count(d.rank) FILTER (d.rank <= 5) / count(*), 6) AS delta FROM golds g LEFT JOIN rrf f USING (query_id, node_id) LEFT JOIN ranked d ON d.query_id = g.query_id AND d.node_id = g.node_id AND d.source = 'dense' GROUP BY g.query_id),
+pm AS (SELECT draw, round(sum(x * delta) / nullif(sum(x), 0), 9) AS m FROM (SELECT draw, delta, {poisson_sql("draw", "query_id")} AS x FROM pd, range(1, 1001) t(draw)) GROUP BY draw)"""
+
+
+@query("paired_bootstrap", "SELECT round(avg(m), 6) + 0.0 AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high, round(avg((m > 0)::INT), 6) AS positive FROM pm", PAIRED)
+def _(w: Workload) -> DataFrame:
+    """Fused against dense recall at 5."""
+    r5 = lambda r: metrics.basic(metrics.hits(r, w.golds)).select("query_id", "recall_5")
+    dense = w.ranked.where("source = 'dense'").select("query_id", "node_id", F.col("rank").alias("rn"))
+    out = metrics.bootstrap(metrics.paired_deltas(r5(w.rrf), r5(dense), "recall_5"))
+    return out.select(*[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "low", "high")], F.round("positive", 6).alias("positive"))
+
+
 LABELS = RUNS + f""", ds AS (SELECT run, split, query_id, delta FROM rh JOIN queries USING (query_id)),
 dm AS (SELECT run, split, draw, round(sum(x * delta) / nullif(sum(x), 0), 9) AS m FROM (SELECT *, {poisson_sql("draw", "query_id")} AS x FROM ds, range(1, 1001) t(draw)) GROUP BY ALL),
 il AS MATERIALIZED (SELECT run, split, mean, low, high, CASE WHEN same THEN 'SAME' WHEN low > 0 THEN 'ABOVE' WHEN high < 0 THEN 'BELOW' ELSE 'AT' END AS label FROM (SELECT run, split, round(avg(delta), 6) + 0.0 AS mean, max(abs(delta)) = 0 AS same FROM ds GROUP BY ALL) JOIN (SELECT run, split, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM dm GROUP BY ALL) USING (run, split))"""

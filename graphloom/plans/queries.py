@@ -647,14 +647,6 @@ def _(w: Workload) -> DataFrame:
     return metrics.holm(t)
 
 
-@query("paired_bootstrap")
-def _(w: Workload) -> DataFrame:
-    """Fused against dense recall at 5; resampling has no SQL form, so tests compare it with its known mean."""
-    r5 = lambda r: metrics.basic(metrics.hits(r, w.golds)).select("query_id", "recall_5")
-    dense = w.ranked.where("source = 'dense'").select("query_id", "node_id", F.col("rank").alias("rn"))
-    return metrics.bootstrap(metrics.paired_deltas(r5(w.rrf), r5(dense), "recall_5"))
-
-
 # Filters, text and identity
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,7 +211,7 @@ def test_spectrum(spark):
     assert r["effective_rank"] == pytest.approx(np.exp(-(p[p > 1e-12] * np.log(p[p > 1e-12])).sum()), rel=1e-4)
 
 
-def test_sources(spark, tmp_path):
+def test_sinks_and_lines(spark, tmp_path):
     """Edges with malformed lines, JSON lines, and sinks that refuse to overwrite."""
     from graphloom.sources import tables
 
@@ -266,3 +267,48 @@ def test_typed_relations_of_nothing(spark):
     pool = spark.createDataFrame([], "query_id long, node_id long")
     e = relations.typed_entries(pool, spark.createDataFrame([], "src long, dst long, rel int")).withColumn("rc", F.lit(0.0))
     assert not relations.chains(e, pool).count() and not relations.best_walks(e, pool, 2).count() and not relations.typed_features(e, pool).count()
+
+
+def test_t_interval_of_few(spark):
+    """The quantiles of few degrees of freedom, each checked against the integral of its density."""
+    import math
+
+    for v, q in enumerate(metrics.T975, 1):
+        x = (np.arange(200_000) + 0.5) * q / 200_000
+        density = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi) * (1 + x * x / v) ** (-(v + 1) / 2)
+        assert density.sum() * q / 200_000 == pytest.approx(0.475, abs=1e-8)
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("b", 2.0), ("b", 6.0), ("c", 5.0)], "g string, d double")
+    got = {r["g"]: r for r in metrics.t_interval(df, ["g"], "d").collect()}
+    assert set(got) == {"a", "b"} and got["a"]["high"] == pytest.approx(2 + 12.7062047, abs=1e-4)
+    assert got["b"]["high"] == pytest.approx(3 + 4.30265273 * math.sqrt(7) / math.sqrt(3), abs=1e-4)
+
+
+def test_draw_sums(spark):
+    """Task-wise sums equal a sum over the explosion of rows and draws, on any partitions."""
+    rows = [(i, "ab"[i % 2], 0.1 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "query_id long, g string, x double")
+    each = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("w", metrics.poisson_weight("draw", "query_id"))
+    want = {(r["g"], r["draw"]): r for r in each.groupBy("g", "draw").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("s"), F.count("*").alias("n")).collect()}
+    for parts in (1, 7):
+        got = {(r["g"], r["draw"]): r for r in metrics.draw_sums(df.repartition(parts), ["g"], {"s": F.col("x")}, 20).collect()}
+        assert set(got) == set(want)
+        for k, r in got.items():
+            assert r["w"] == want[k]["w"] and r["n"] == want[k]["n"] and r["s"] == pytest.approx(want[k]["s"])
+
+
+def test_add_random_edges_whole(spark):
+    """As many edges as wanted even where most tries fail, and all that are possible where more are wanted."""
+    from graphloom.operators import perturb
+
+    nodes = spark.range(6).withColumnRenamed("id", "node_id")
+    old = [(a, b) for a in range(6) for b in range(6) if a != b and (a + b) % 3]
+    for rate, want in ((0.3, round(0.3 * len(old))), (5.0, 30 - len(old))):
+        edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(old)], "src long, dst long, edge_pos long")
+        got = [tuple(r) for r in perturb.add_random_edges(edges, nodes, rate, "s").collect()]
+        assert len(got) == len(set(got)) == want and not set(got) & set(old) and all(a != b for a, b in got)
+
+
+def test_core_of_a_path(spark):
+    """A path needs as many rounds as it is long by half; no bound stops it."""
+    links = graph.both_ways(spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long"))
+    assert {r["core"] for r in graph.coreness(spark.range(13).withColumnRenamed("id", "node_id"), links).collect()} == {1}
