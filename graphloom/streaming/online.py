@@ -1,6 +1,7 @@
 """Online requests: a stream of ranked lists is fused, cut to a pool and joined with the static graph, batch by batch.
 
-A request is complete in one micro-batch, so nothing is kept between batches and no watermark is needed."""
+Where a request is complete in one micro-batch, nothing is kept between batches (serve). Where its rows can come more than once, by
+retries of the sender, once() keeps what it has seen for as long as the watermark says, and links joins them with the graph."""
 
 from __future__ import annotations
 
@@ -33,6 +34,26 @@ def serve(requests: DataFrame, edges: DataFrame, out: str, checkpoint: str, budg
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each (query_id, source, node_id) of a stream with a time ts once: a row that was seen within `late` before goes, in whatever
+    batch it comes. State is kept by key and dropped behind the watermark, so it doesn't grow with the stream."""
+    return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["query_id", "source", "node_id"])
+
+
+def links(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, source, node_id, rank, ts, links: the rows of a stream with the number of edges that leave or enter the node
+    (0: none), by a join of the stream with the static table, which is aggregated once a batch."""
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
+    degree = ends.groupBy("node_id").agg(F.count("*").alias("links"))
+    return requests.join(degree, "node_id", "left").select("query_id", "source", "node_id", "rank", "ts", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def serve_once(requests: DataFrame, edges: DataFrame, out: str, checkpoint: str, late: str = "10 minutes") -> StreamingQuery:
+    """Appends the answers of once() and links() to a Parquet table; the sink's log makes a repeated batch count once."""
+    stream = links(once(requests, late), edges).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return stream.outputMode("append").trigger(availableNow=True).start()
+
+
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type and tumbling window, with a watermark: works on a stream and on a table alike."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")

@@ -20,6 +20,29 @@ def test_serve(spark, tmp_path):
     assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
 
 
+def test_replayed_requests(spark, tmp_path):
+    """Rows sent again in the same and in later batches are answered once; the same key long after is new."""
+    shape = "query_id long, source string, node_id long, rank int, ts timestamp"
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1, 12)
+    at = lambda m: start + timedelta(minutes=m)
+    batches = [
+        [(1, "dense", 5, 1, at(0)), (1, "dense", 5, 1, at(0)), (1, "sparse", 5, 1, at(1))],
+        [(1, "dense", 5, 1, at(3)), (2, "dense", 7, 1, at(4))],
+        [(1, "sparse", 5, 1, at(9)), (3, "dense", 9, 2, at(60))],
+        [(4, "dense", 9, 2, at(61)), (3, "dense", 9, 2, at(62))],
+        [(1, "dense", 5, 1, at(90))],
+    ]
+    edges = spark.createDataFrame([(5, 7), (7, 5), (5, 5)], "src long, dst long")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in" / "*"))
+        online.serve_once(stream, edges, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = sorted((r["query_id"], r["source"], r["node_id"], (r["ts"] - start).seconds // 60, r["links"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "dense", 5, 0, 4), (1, "dense", 5, 90, 4), (1, "sparse", 5, 1, 4), (2, "dense", 7, 4, 2), (3, "dense", 9, 60, 0), (4, "dense", 9, 61, 0)]
+
+
 def test_event_counts(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet*")
