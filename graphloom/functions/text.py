@@ -23,3 +23,15 @@ def ngrams(words: Column, most: int) -> Column:
 def id_digest(ids: Column) -> Column:
     """SHA-256 of sorted ids joined by commas."""
     return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(ids)), lambda x: x.cast("string")), ","), 256)
+
+
+def hop_of(c: Column | str) -> Column:
+    """The number of steps that an identifier `<digit>hop<digits>__<components>` names; another form is an error when read."""
+    c = F.col(c) if isinstance(c, str) else c
+    digit = F.regexp_extract(c, r"^(\d)hop\d*__", 1)
+    return F.when(digit != "", digit.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no hop count in "), F.coalesce(c, F.lit("null")))).cast("int"))
+
+
+def id_parts(c: Column | str) -> Column:
+    """The components of such an identifier."""
+    return F.split(F.regexp_extract(c, r"^\dhop\d*__(.*)$", 1), "_")
