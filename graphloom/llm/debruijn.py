@@ -156,29 +156,30 @@ def find_edges(k: int, most_words: int = 200_000):
     return run
 
 
-def chains(segments: DataFrame) -> DataFrame:
+def chains(segments: DataFrame, small: int = 200_000) -> DataFrame:
     """id, path, offset of segments (id, size, prev: the id before or null): the id at the head of each chain, and the sizes
     between. Each round doubles the distance to the known predecessor, so rounds are logarithmic in the longest chain. What
-    has no head lies on a cycle, which then is cut before its smallest id."""
-    state = cut(segments.select("id", F.coalesce("prev", "id").alias("path"), F.when(F.col("prev").isNull(), 0).otherwise(F.lit(None)).cast("long").alias("offset"), F.col("prev").isNull().alias("done"), F.col("id").alias("low")))
-    size = segments.select(F.col("id").alias("path"), F.col("size").alias("offset"))
-    state = cut(state.drop("offset").join(size, "path", "left").withColumn("offset", F.when(F.col("done"), F.lit(0)).otherwise(F.col("offset")).cast("long")))
-    rounds = max(segments.count(), 2).bit_length() + 1
-    for _ in range(rounds):
+    has no head lies on a cycle, which then is cut before its smallest id. Of up to `small` segments one side is broadcast and
+    the state lies in few files; more are joined by a shuffle."""
+    n = segments.count()
+    parts = 1 + n // 100_000
+    few = (lambda df: F.broadcast(df)) if n <= small else (lambda df: df)
+    keep = lambda df: cut(df.coalesce(parts))
+    size = keep(segments.select(F.col("id").alias("path"), F.col("size").alias("more")))
+    state = segments.select("id", F.coalesce("prev", "id").alias("path"), F.col("prev").isNull().alias("done"), F.col("id").alias("low"))
+    state = keep(state.join(few(size), "path", "left").select("id", "path", F.when(F.col("done"), F.lit(0)).otherwise(F.col("more")).cast("long").alias("offset"), "done", "low"))
+    for _ in range(max(n, 2).bit_length() + 1):
         if state.where("not done").isEmpty():
             return state.select("id", "path", "offset")
         ahead = state.select(F.col("id").alias("path"), F.col("path").alias("to"), F.col("offset").alias("more"), F.col("done").alias("ends"), F.col("low").alias("lower"))
-        state = cut(
-            state.where("done").unionByName(
-                state.where("not done").join(ahead, "path").select("id", F.col("to").alias("path"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ends").alias("done"), F.least("low", "lower").alias("low"))
-            )
-        )
+        moved = state.where("not done").join(few(ahead), "path").select("id", F.col("to").alias("path"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ends").alias("done"), F.least("low", "lower").alias("low"))
+        state = keep(state.where("done").unionByName(moved))
     settled = state.where("done").select("id", "path", "offset")
     rest = state.where("not done").select("id", "low")
     if rest.isEmpty():
         return settled
-    rest = cut(segments.join(rest, "id").withColumn("prev", F.when(F.col("id") != F.col("low"), F.col("prev"))).drop("low"))
-    return settled.unionByName(chains(rest))
+    rest = keep(segments.join(few(rest), "id").withColumn("prev", F.when(F.col("id") != F.col("low"), F.col("prev"))).drop("low"))
+    return settled.unionByName(chains(rest, small))
 
 
 def compact(edges: DataFrame) -> DataFrame:

@@ -219,8 +219,9 @@ def test_window_stretches_and_repeats(spark, passages, monkeypatch):
     assert debruijn.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_chains(spark):
-    """Long chains, single segments and cycles."""
+@pytest.mark.parametrize("small", [0, 1000])
+def test_chains(spark, small):
+    """Long chains, single segments and cycles, by shuffle and by broadcast."""
     rng = random.Random(6)
     order = list(range(300))
     rng.shuffle(order)
@@ -233,7 +234,7 @@ def test_chains(spark):
             prev[x], path[x], offset[x] = ring[i - 1], ring[0], sum(size[y] for y in ring[:i])
     prev[339], path[339], offset[339] = None, 339, 0
     df = spark.createDataFrame([(i, size[i], p) for i, p in prev.items()], "id long, size long, prev long")
-    assert {r["id"]: (r["path"], r["offset"]) for r in debruijn.chains(df).collect()} == {i: (path[i], offset[i]) for i in prev}
+    assert {r["id"]: (r["path"], r["offset"]) for r in debruijn.chains(df, small).collect()} == {i: (path[i], offset[i]) for i in prev}
 
 
 def test_compact(spark):
