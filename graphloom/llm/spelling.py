@@ -268,7 +268,9 @@ def near_words(vocabulary: DataFrame, cell: int = 40_000, most: int = 200_000) -
         "side", F.when(hot, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bins)).cast("string")).alias("bin"), hot.alias("hot"), "g.block", "g.slice",
         "word", "n", (~hot | (own == F.col("g.block"))).alias("indexed"), (~hot | (own == F.col("g.slice"))).alias("asked"),
     )
-    found = cells.groupBy("side", "hot", "bin", "block", "slice").applyInArrow(lambda t: search_cell(t), "word string, n_near long, best_n long, best string")
+    # As many partitions as cells, else small ones are put together by their bytes, which say little about their searches.
+    by = ["side", "hot", "bin", "block", "slice"]
+    found = cells.repartition(2 * bins, *by).groupBy(*by).applyInArrow(lambda t: search_cell(t), "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("form")))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.less")).alias("best_n"), F.col("b.form").alias("best"))
 
