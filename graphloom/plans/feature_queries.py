@@ -182,9 +182,9 @@ def _(w: Workload) -> DataFrame:
 @query("two_path_preservation", """SELECT query_id, count(*) AS bridges, count(c.node_id) AS kept FROM tp LEFT JOIN candidates c USING (query_id, node_id) GROUP BY query_id""",
   "tp AS (SELECT DISTINCT a.query_id, e.dst AS node_id FROM candidates a JOIN structural e ON e.src = a.node_id JOIN structural f ON f.src = e.dst JOIN candidates c ON c.query_id = a.query_id AND c.node_id = f.dst WHERE a.node_id <> c.node_id)")
 def _(w: Workload) -> DataFrame:
-    from graphloom.plans.queries import QUERIES
+    from graphloom.plans.queries import BODIES
 
-    bridges = QUERIES["distinct_two_path"](w.spark, w.dir)
+    bridges = BODIES["distinct_two_path"](w)
     return bridges.join(w.candidates.select(*KEY, F.lit(1).alias("k")), KEY, "left").groupBy("query_id").agg(F.count("*").alias("bridges"), F.count("k").alias("kept"))
 
 

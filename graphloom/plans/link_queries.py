@@ -131,13 +131,13 @@ walk AS (SELECT item_id, 1::BIGINT AS place FROM qt UNION ALL SELECT w.item_id,
 def _(w: Workload) -> DataFrame:
     """Names in items: from the left the longest run of at most eight words that is a name, then on behind it. Names are the
     first sentences of documents, if of eight words or fewer; a name stands for all of its owners, so that frequent names
-    make no pairs. The names are dealt over eight copies, since a frequent run would otherwise be one key."""
+    make no pairs and a name is one row; a frequent run is one key of the runs' side only, which adaptive execution splits."""
     title = T.norm_text(F.get(F.split("text", "\\. "), F.lit(0)))
     names = w.table("documents").select("doc_id", title.alias("name")).where((F.col("name") != "") & (F.size(F.split("name", " ")) <= 8)).groupBy("name").agg(F.count("*").alias("owners"), F.min("doc_id").alias("first_doc"))
     t = w.table("benchmark").where("text is not null").select("item_id", F.split(T.norm_text("text"), " ").alias("t")).select("item_id", "t", F.posexplode("t").alias("p", "_w"))
     runs = t.select("item_id", (F.col("p") + 1).cast("long").alias("place"), F.size("t").alias("all"), "t", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("words")).where("place + words - 1 <= all")
-    runs = runs.select("item_id", "place", "words", F.array_join(F.slice("t", F.col("place").cast("int"), F.col("words")), " ").alias("name"), F.pmod(F.xxhash64("item_id", "place"), F.lit(8)).cast("int").alias("_s"))
-    hits = runs.join(names.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(7)))), ["name", "_s"])
+    runs = runs.select("item_id", "place", "words", F.array_join(F.slice("t", F.col("place").cast("int"), F.col("words")), " ").alias("name"))
+    hits = runs.join(names, "name")
     longest = hits.groupBy("item_id", "place").agg(F.max(F.struct("words", "name", "owners", "first_doc")).alias("h"))
     # The hits of one item, in order; each is taken if it starts behind the last one taken.
     ordered = longest.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("hits"))

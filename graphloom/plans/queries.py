@@ -15,12 +15,15 @@ from graphloom.plans.workload import SQL, Workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The queries as functions of a workload: one that builds on another shares its lists and pools.
+BODIES: dict[str, Callable[[Workload], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None, more: str = ""):
     """Registers f(workload) as `name`; sql is the final SELECT after the workload's common tables (and `more`)."""
 
     def put(f: Callable[[Workload], DataFrame]):
+        BODIES[name] = f
         QUERIES[name] = lambda spark, sf_dir: f(Workload(spark, sf_dir))
         if sql:
             ORACLES[name] = f"WITH RECURSIVE {SQL}{', ' + more if more else ''} {sql}"

@@ -11,7 +11,7 @@ from graphloom.operators.order import quantiles
 from graphloom.operators.spectrum import gram, ranks_of_spectrum
 from graphloom.plans.feature_queries import KEY, DS, dense_sparse
 from graphloom.plans.more_queries import LOCAL_BFS, chance_sql, local_reach, restart
-from graphloom.plans.queries import BFS, EXPAND, FOUND, QUERIES, _pagerank_sql, _ppr_sql, expansion, found, query, reach
+from graphloom.plans.queries import BFS, BODIES, EXPAND, FOUND, _pagerank_sql, _ppr_sql, expansion, found, query, reach
 from graphloom.plans.workload import Workload
 
 # Feature tables
@@ -35,7 +35,7 @@ def local_features(w: Workload) -> DataFrame:
     to three steps and common neighbours as ln(1 + n) over the query's largest, and the walk's mass."""
     out = w.candidates.select(*KEY).join(local_reach(w), KEY, "left").withColumn("hop", F.coalesce("hop", F.lit(3)))
     walks = graph.walk_counts(w.seeds, w.local_edges, 3).groupBy(*KEY).pivot("length", [1, 2, 3]).agg(F.first("walks")).toDF(*KEY, "paths_1", "paths_2", "paths_3")
-    counts = QUERIES["seed_connections"](w.spark, w.dir).withColumnRenamed("conn", "seed_connections"), walks, QUERIES["common_neighbours"](w.spark, w.dir).withColumnRenamed("common", "common_neighbours")
+    counts = BODIES["seed_connections"](w).withColumnRenamed("conn", "seed_connections"), walks, BODIES["common_neighbours"](w).withColumnRenamed("common", "common_neighbours")
     for part in counts:
         out = out.join(part, KEY, "left")
     out = out.join(graph.ppr_local(w.candidates, w.seeds, w.local_edges).withColumnRenamed("mass", "ppr"), KEY)
@@ -76,8 +76,8 @@ def static_features(w: Workload) -> DataFrame:
     """Six features of each node (the core number is its own query): degrees, PageRank, hub percentile and clustering,
     standardised over all nodes, clipped at five deviations and divided by five."""
     d = stats.degree_table(w.structural, w.vectors)
-    hub = QUERIES["hub_percentile"](w.spark, w.dir)
-    closed = QUERIES["clustering"](w.spark, w.dir).select("node_id", F.coalesce(F.try_divide("closed", "wedges"), F.lit(0.0)).alias("cl"))
+    hub = BODIES["hub_percentile"](w)
+    closed = BODIES["clustering"](w).select("node_id", F.coalesce(F.try_divide("closed", "wedges"), F.lit(0.0)).alias("cl"))
     n = w.vectors.agg(F.count("*").alias("n"))
     j = d.join(graph.pagerank(w.vectors, w.structural), "node_id").join(hub, "node_id").join(closed, "node_id").crossJoin(F.broadcast(n))  # n: one row
     raw = graph.cut(j.select("node_id", F.log1p("out_deg").alias("out_z"), F.log1p("in_deg").alias("in_z"), F.log1p("deg").alias("degree_z"), F.log1p(F.col("n") * F.col("rank")).alias("rank_z"), F.col("pct").alias("hub_z"), F.col("cl").alias("closed_z")))
@@ -177,7 +177,7 @@ def _(w: Workload) -> DataFrame:
 @query("ppr_push_weighted")
 def _(w: Workload) -> DataFrame:
     """The same with half of the restart on the seeds and half on fused scores."""
-    return _push(w, QUERIES["restart_a1"](w.spark, w.dir).withColumnRenamed("mass", "x")).select(*KEY, F.round("x", 7).alias("mass"))
+    return _push(w, BODIES["restart_a1"](w).withColumnRenamed("mass", "x")).select(*KEY, F.round("x", 7).alias("mass"))
 
 
 @query("restart_a0", "SELECT query_id, node_id, round(1.0 / count(*) OVER (PARTITION BY query_id), 9) AS mass FROM seeds")
