@@ -123,9 +123,15 @@ def find_runs(k: int, most_bytes: int = 2 << 20, most_words: int = 200_000):
 EDGE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("many", pa.int32()), ("n", pa.int64()), ("whole", pa.bool_()), ("tail", pa.int64()), ("head", pa.int64()), ("digest", pa.int64())])
 
 
+def plain(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words joined by one space, with their begins and ends."""
+    raw = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+    return raw, *word_bounds(np.frombuffer(raw, np.uint8))
+
+
 def digest(raw: bytes) -> int:
-    """64 bits of the words of a stretch, as a signed number."""
-    return xxhash.xxh3_64_intdigest(b" ".join(raw.split())) - (1 << 63)
+    """64 bits of a stretch of words, as a signed number."""
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
 def find_edges(k: int, most_words: int = 200_000):
@@ -136,9 +142,8 @@ def find_edges(k: int, most_words: int = 200_000):
             for at in range(0, batch.num_rows, 512):
                 col = batch.slice(at, 512).to_pydict()
                 for doc, text, base, runs in zip(col["doc_id"], col["text"], col["base"], col["runs"], strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
+                    raw, begin, end = plain(text)
                     data = np.frombuffer(raw, np.uint8)
-                    begin, end = word_bounds(data)
                     runs = sorted((r["start"] - base, r["many"], r["n"], r["whole"]) for r in runs)
                     while runs:
                         low = runs[0][0]
@@ -147,11 +152,13 @@ def find_edges(k: int, most_words: int = 200_000):
                         high = part[-1][0] + part[-1][1] + k - 1
                         cut_at = begin[low]
                         nodes = Rolling(Rolling(data[cut_at : end[high - 1]]).of(begin[low:high] - cut_at, end[low:high] - cut_at))
-                        rows = [(s, m, n, True) for s, m, n, w in part if w] + [(s + j, 1, n, False) for s, m, n, w in part if not w for j in range(m)]
-                        s, m = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+                        start, many, times, whole = (np.array(c) for c in zip(*part, strict=True))
+                        each = np.where(whole, 1, many)
+                        s = np.repeat(start, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                        m = np.repeat(np.where(whole, many, 1), each)
                         left, right = nodes.of(s - low, s - low + k - 1), nodes.of(s - low + m, s - low + m + k - 1)
-                        digests = [digest(raw[begin[x] : end[x + y + k - 2]]) for x, y in zip(s.tolist(), m.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), pa.array(s + base), pa.array(m.astype(np.int32)), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows]), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(digests, pa.int64())], schema=EDGE)
+                        digests = [digest(raw[x:y]) for x, y in zip(begin[s].tolist(), end[s + m + k - 2].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(s + base), pa.array(m.astype(np.int32)), pa.array(np.repeat(times, each)), pa.array(np.repeat(whole, each)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(digests, pa.int64())], schema=EDGE)
 
     return run
 
@@ -280,6 +287,8 @@ def finish(k: int):
     """(doc_id, text, base, copies, gone) to results: each part of a span is compared with its digest, then its words go."""
 
     def row(doc, raw: bytes, begin: np.ndarray, end: np.ndarray, spans: list[dict]) -> tuple:
+        if not spans:
+            return doc, len(begin), 0, [], raw.decode("utf-8", "surrogatepass"), hashlib.sha256(raw).hexdigest()
         cover = np.zeros(len(begin) + 1, np.int64)
         sure = []
         for s in spans:
@@ -289,7 +298,8 @@ def finish(k: int):
                 cover[s["start"] + s["many"] + k - 1] -= 1
                 sure.append(s)
         gone = np.cumsum(cover[:-1]) > 0
-        kept = b" ".join(raw[a:b] for a, b in zip(begin[~gone].tolist(), end[~gone].tolist(), strict=True))
+        # Each word with the space behind it; the last kept one's goes.
+        kept = np.frombuffer(raw + b" ", np.uint8)[np.repeat(~gone, end - begin + 1)].tobytes()[:-1]
         return doc, len(begin), int(gone.sum()), sorted(sure, key=lambda s: (s["start"], s["many"])), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -301,8 +311,7 @@ def finish(k: int):
                 col = batch.slice(at, 512).to_pydict()
                 rows = []
                 for doc, text, base, copies, gone in zip(*(col[c] for c in ("doc_id", "text", "base", "copies", "gone")), strict=True):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    begin, end = word_bounds(np.frombuffer(raw, np.uint8))
+                    raw, begin, end = plain(text)
                     spans = [g | {"start": g["start"] - base, "parts": [p | {"start": p["start"] - base} for p in g["parts"] or []]} for g in gone or []]
                     rows.append(row(doc, raw, begin, end, spans))
                     # Of a further copy every window starts earlier.
