@@ -9,12 +9,20 @@ from graphloom.operators import graph
 from graphloom.sources.shared import cut
 
 
-def view_links(candidates: DataFrame, edges: DataFrame, views: dict[str, tuple[str, ...]]) -> DataFrame:
+def view_links(candidates: DataFrame, edges: DataFrame, views: dict[str, tuple[str, ...]], most: int | None = None) -> DataFrame:
     """query_id (struct of query_id and view), src, dst: distinct links between two nodes of the pool in both directions,
-    without loops, in every view that holds the edge's family."""
+    without loops, in every view that holds the edge's family. With `most`, a link counts where it is among the first `most`
+    of its family at either end, by weight (largest first), then by the other node."""
     of = F.array(*[F.when(F.col("family").isin(*families), F.lit(v)) for v, families in views.items()])
     at = lambda name: candidates.select("query_id", F.col("node_id").alias(name))
-    inside = edges.where("src <> dst").select("family", "src", "dst").distinct().join(at("src"), "src").join(at("dst"), ["query_id", "dst"])
+    simple = edges.where("src <> dst").select("family", "src", "dst").distinct()
+    if most is not None:
+        stored = edges.where("src <> dst").select("family", "src", "dst", F.col("weight").cast("double").alias("weight"))
+        simple = stored.union(stored.select("family", "dst", "src", "weight")).groupBy("family", "src", "dst").agg(F.max("weight").alias("weight"))
+    inside = simple.join(at("src"), "src").join(at("dst"), ["query_id", "dst"])
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("query_id", "family", "src").orderBy(F.desc("weight"), "dst"))
+        inside = inside.withColumn("place", place).where(F.col("place") <= most)
     seen = inside.withColumn("view", F.explode(F.array_compact(of))).select(F.struct("query_id", "view").alias("query_id"), "src", "dst")
     return seen.union(seen.select("query_id", "dst", "src")).distinct()
 

@@ -21,6 +21,11 @@ def rounded(c: Column | str, name: str, places: int = 6) -> Column:
     return (F.round(c, places) + 0.0).alias(name)
 
 
+def linked(w: Workload, views: dict[str, tuple[str, ...]], links: DataFrame | None) -> DataFrame:
+    """The links of these views, taken from links where that is given."""
+    return pool.view_links(w.candidates, w.edges, views) if links is None else links.where(F.col("query_id.view").isin(*views))
+
+
 # Topology
 
 TOPOLOGY = """fl AS (SELECT DISTINCT a.query_id, family, e.src, e.dst FROM both_ways e JOIN candidates a ON a.node_id = e.src JOIN candidates b ON b.query_id = a.query_id AND b.node_id = e.dst),
@@ -48,12 +53,11 @@ topo AS MATERIALIZED (SELECT query_id, view, node_id, (hop IS NOT DISTINCT FROM
 TOPOLOGY_COLUMNS = ("dist_0", "dist_1", "dist_2", "dist_3", "unreached", "reach", "seeds_1hop", "seeds_2hop_frac", "deg_pool", "deg_global", "walks2", "avail", "branch_div", "seed_component", "component_size")
 
 
-def topology(w: Workload) -> DataFrame:
+def topology(w: Workload, views: dict[str, tuple[str, ...]] = VIEWS, links: DataFrame | None = None) -> DataFrame:
     """query_id, view, node_id and the fifteen topology columns; all views are walked in the same jobs."""
-    links = pool.view_links(w.candidates, w.edges, VIEWS)
-    t = pool.topology(pool.in_views(w.candidates.select(*KEY), VIEWS), pool.in_views(w.seeds.select(*KEY), VIEWS), links)
+    t = pool.topology(pool.in_views(w.candidates.select(*KEY), views), pool.in_views(w.seeds.select(*KEY), views), linked(w, views, links))
     t = t.select("query_id.query_id", "query_id.view", *[c for c in t.columns if c != "query_id"])
-    of = F.array(*[F.when(F.col("family").isin(*families), F.lit(v)) for v, families in VIEWS.items()])
+    of = F.array(*[F.when(F.col("family").isin(*families), F.lit(v)) for v, families in views.items()])
     both = w.edges.where("src <> dst").select("family", "src", "dst").union(w.edges.where("src <> dst").select("family", "dst", "src")).distinct()
     degree = both.groupBy("family", F.col("src").alias("node_id")).agg(F.count("*").alias("n")).withColumn("view", F.explode(F.array_compact(of))).groupBy("view", "node_id").agg(F.sum("n").alias("n"))
     t = t.join(degree, ["view", "node_id"], "left").join(w.seeds.groupBy("query_id").agg(F.count("*").alias("seeds")), "query_id")
@@ -102,9 +106,9 @@ WEIGHTS = """ew AS (SELECT a AS src, b AS dst, x FROM (SELECT least(src, dst) AS
 ws AS (SELECT c.query_id, c.node_id, round(coalesce(max(x), 0), 6) AS wmax_seed, round(ln(1 + coalesce(sum(x), 0)), 6) AS wsum_seed FROM candidates c LEFT JOIN (SELECT s.query_id, dst AS node_id, x FROM seeds s JOIN ew ON src = s.node_id) USING (query_id, node_id) GROUP BY ALL)"""
 
 
-def seed_weights(w: Workload) -> DataFrame:
+def seed_weights(w: Workload, family: str = "ner") -> DataFrame:
     """The largest weight of the weighted family between a candidate and a seed, and ln(1 + sum); a pair has its largest."""
-    pair = w.edges.where("family = 'ner' and src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("x"))
+    pair = w.edges.where((F.col("family") == family) & (F.col("src") != F.col("dst"))).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("x"))
     both = pair.select(F.col("a").alias("seed"), F.col("b").alias("node_id"), "x").union(pair.select("b", "a", "x"))
     hit = w.seeds.select("query_id", F.col("node_id").alias("seed")).join(both, "seed").groupBy(*KEY).agg(F.max("x").alias("m"), F.sum("x").alias("s"))
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -124,10 +128,10 @@ nc AS (SELECT n.query_id, n.view, n.node_id, round(coalesce(list_cosine_similari
 NEIGHBOUR_COLUMNS = ("cos_q_proto", "max_q_nbr", "cohesion", "has_nbr")
 
 
-def neighbours(w: Workload) -> DataFrame:
+def neighbours(w: Workload, views: dict[str, tuple[str, ...]] = VIEWS, links: DataFrame | None = None) -> DataFrame:
     """query_id, view, node_id: how the neighbours of a family in the pool agree with the query and with the node."""
-    views = {v: f for v, f in VIEWS.items() if v != "full"}
-    links = pool.view_links(w.candidates, w.edges, views).select("query_id.query_id", "query_id.view", F.col("src").alias("node_id"), F.col("dst").alias("nbr"))
+    views = {v: f for v, f in views.items() if v != "full"}
+    links = linked(w, views, links).select("query_id.query_id", "query_id.view", F.col("src").alias("node_id"), F.col("dst").alias("nbr"))
     by = ["query_id", "view", "node_id"]
     q = w.queries.select("query_id", F.col("vec").alias("q"))
     cos = w.candidates.select(*KEY).join(w.vectors.select("node_id", "vec"), "node_id").join(q, "query_id").select("query_id", F.col("node_id").alias("nbr"), V.cosine("q", "vec").alias("c"))
@@ -149,10 +153,10 @@ g1 AS MATERIALIZED (SELECT g0.query_id, g0.view, g0.node_id, any_value(g0.s) AS
 g2 AS (SELECT g1.query_id, g1.view, g1.node_id, round(greatest(any_value(g1.s), 0.5 * any_value(g1.s) + 0.5 * coalesce(sum(o.p / deg), 0)), 6) AS p FROM g1 LEFT JOIN vl l ON l.query_id = g1.query_id AND l.view = g1.view AND l.src = g1.node_id LEFT JOIN g1 o ON o.query_id = l.query_id AND o.view = l.view AND o.node_id = l.dst LEFT JOIN dp d ON d.query_id = g1.query_id AND d.view = g1.view AND d.node_id = g1.node_id GROUP BY ALL)"""
 
 
-def smoothed(w: Workload, kept: DataFrame) -> DataFrame:
+def smoothed(w: Workload, kept: DataFrame, views: dict[str, tuple[str, ...]] = VIEWS, links: DataFrame | None = None) -> DataFrame:
     """query_id, view, node_id, p: fused scores smoothed over the pool's links, of all families and of the typed one."""
-    views = {v: VIEWS[v] for v in ("full", "struct")}
-    p = pool.smooth(pool.in_views(kept.select(*KEY, F.col("rrf").alias("s")), views), pool.view_links(w.candidates, w.edges, views))
+    views = {v: views[v] for v in ("full", "struct")}
+    p = pool.smooth(pool.in_views(kept.select(*KEY, F.col("rrf").alias("s")), views), linked(w, views, links))
     return p.select("query_id.query_id", "query_id.view", "node_id", rounded("p", "p"))
 
 
@@ -167,7 +171,7 @@ sz AS MATERIALIZED (SELECT c.query_id, c.node_id, round(list_cosine_similarity(a
 SEED_COLUMNS = ("cos_v_seedproto", "max_cos_v_seed", "cos_v_reach", "has_reach", "cos_v_h1", "has_h1", "cos_v_h2", "has_h2")
 
 
-def seeded(w: Workload) -> DataFrame:
+def seeded(w: Workload, views: dict[str, tuple[str, ...]] = VIEWS, links: DataFrame | None = None) -> DataFrame:
     """Cosines of a candidate with the mean of its query's seeds, with the nearest seed, and with the mean of the seeds that
     one link or a walk of two joins (weighted 1 and a half), that one link joins, and that only a walk of two joins."""
     vec = lambda key, name: w.vectors.select(F.col("node_id").alias(key), F.col("vec").alias(name))
@@ -175,7 +179,7 @@ def seeded(w: Workload) -> DataFrame:
     c = w.candidates.select(*KEY)
     # A query has at most ten seeds.
     best = c.join(s, "query_id").join(vec("node_id", "v"), "node_id").groupBy(*KEY).agg(F.max(V.cosine("u", "v")).alias("best"))
-    links = pool.view_links(w.candidates, w.edges, {"full": VIEWS["full"]}).select("query_id.query_id", "src", "dst")
+    links = linked(w, {"full": views["full"]}, links).select("query_id.query_id", "src", "dst")
     d = pool.seed_walks(w.seeds.select(*KEY), links).groupBy(*KEY, "seed").agg(F.when(F.max(F.col("mid").isNull()), 1).otherwise(2).alias("d"))
     kinds = F.array(F.struct(F.lit("reach").alias("kind"), (1.0 / F.col("d")).alias("x")), F.struct(F.concat(F.lit("h"), F.col("d").cast("string")).alias("kind"), F.lit(1.0).alias("x")))
     k = d.withColumn("k", F.explode(kinds)).select(*KEY, "seed", "k.*").join(vec("seed", "u"), "seed")
@@ -219,12 +223,18 @@ def typed(w: Workload) -> DataFrame:
   + " JOIN ws USING (query_id, node_id) JOIN (SELECT query_id, node_id, max(p) FILTER (view = 'full') AS gcs_full, max(p) FILTER (view = 'struct') AS gcs_struct FROM g2 GROUP BY ALL) USING (query_id, node_id) JOIN sz USING (query_id, node_id) LEFT JOIN tf USING (query_id, node_id) LEFT JOIN ch USING (query_id, node_id)",
   ", ".join((RETRIEVAL, TOPOLOGY, WEIGHTS, NEIGHBOURS, SMOOTHED, SEEDED, TYPED, TYPED_WIDE_SQL)))
 def _(w: Workload) -> DataFrame:
+    return whole(w)
+
+
+def whole(w: Workload, views: dict[str, tuple[str, ...]] = VIEWS, links: DataFrame | None = None) -> DataFrame:
     """All groups side by side, one row a candidate. Each group is checkpointed, so that the last join reads tables only."""
     first = graph.cut(retrieval(w))
-    wide = lambda df, columns, by: df.groupBy(*KEY).agg(*[F.max(F.when(F.col("view") == v, F.col(c))).alias(f"{c}_{v}") for c, v in by])
-    gcs = smoothed(w, first).groupBy(*KEY).agg(*[F.max(F.when(F.col("view") == v, F.col("p"))).alias(f"gcs_{v}") for v in ("full", "struct")])
+    families = [v for v in views if v != "full"]
+    wide = lambda df, columns, vs: df.groupBy(*KEY).agg(*[F.max(F.when(F.col("view") == v, F.col(c))).alias(f"{c}_{v}") for v in vs for c in columns])
+    gcs = smoothed(w, first, views, links).groupBy(*KEY).agg(*[F.max(F.when(F.col("view") == v, F.col("p"))).alias(f"gcs_{v}") for v in ("full", "struct")])
+    weights = [seed_weights(w)] + [seed_weights(w, f).withColumnsRenamed({c: f"{c}_{f}" for c in ("wmax_seed", "wsum_seed")}) for f in families if f not in ("struct", "ner")]
     out = first
-    for part in (wide(topology(w), TOPOLOGY_COLUMNS, BY_VIEW), wide(neighbours(w), NEIGHBOUR_COLUMNS, BY_FAMILY), seed_weights(w), gcs, seeded(w)):
+    for part in (wide(topology(w, views, links), TOPOLOGY_COLUMNS, views), wide(neighbours(w, views, links), NEIGHBOUR_COLUMNS, families), *weights, gcs, seeded(w, views, links)):
         out = out.join(graph.cut(part), KEY)
     out = out.join(graph.cut(typed(w)), KEY, "left")
     there = w.structural.agg((F.count("*") > 0).cast("int").alias("typed_available"))
