@@ -35,13 +35,13 @@ def map_batches(df: DataFrame, each: Callable[..., dict], schema: str, rows: int
     return df.mapInArrow(run, shape)
 
 
-def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most `most` rows, those of smallest hash of their identifier. A first pass counts rows, so that the hash bound
+def bounded_sample(df: DataFrame, id_col: str, most: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """At most `most` rows, those of smallest hash of their identifier; rows that repeat it are ordered by the columns `ties`. A first pass counts rows, so that the hash bound
     leaves about a fifth more than are wanted; only those reach the driver's final ordering, however many tasks there are."""
     n = df.select(id_col).where(F.col(id_col).isNotNull()).count()
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
     near = df.where(F.col(id_col).isNotNull() & (place < F.lit(int((1 << 40) * min(1.0, 1.2 * (most + 50) / max(n, 1))))))
-    return near.orderBy(place, id_col).limit(most)
+    return near.orderBy(place, id_col, *ties).limit(most)
 
 
 def hot_keys(counts: DataFrame, key: str | list[str], parts: int | None = None) -> DataFrame:

@@ -173,11 +173,12 @@ def cut_up(size: int) -> list[tuple[int, int, int, int]]:
 
 def training_windows(docs: DataFrame, most: int = 6000) -> list[tuple[str, bytes]]:
     """(lang, bytes) windows of at most `most` documents with a language outside fold 2, chosen by hash of doc_id: three
-    windows of WINDOW characters from each, at its start, a third and two thirds in. The bound is this parameter."""
+    windows of WINDOW characters from each, at its start, a third and two thirds in. The bound is this parameter. Rows that repeat
+    a doc_id are ordered by language and windows, so that the sample doesn't depend on partitions."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold != 2) & (F.length("text") > 0))
     at = [F.substring("text", (F.length("text") * i / 3).cast("int") + 1, F.lit(WINDOW)) for i in range(3)]
-    rows = bounded_sample(usable.select("doc_id", "lang", F.array(*at).alias("w")), "doc_id", most).select("lang", "w").collect()
+    rows = bounded_sample(usable.select("doc_id", "lang", F.array(*at).alias("w")), "doc_id", most, ("lang", "w")).select("lang", "w").collect()
     return [(r["lang"], w.encode("utf-8", "surrogatepass")[:WINDOW]) for r in rows for w in r["w"] if w]
 
 

@@ -168,11 +168,13 @@ def _calibrate(m: ToxicModel, seen: list[tuple[float, int]]) -> None:
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
     """(text, toxic) of at most `most` labelled documents outside fold 0, chosen by hash of doc_id, whole texts. The chosen
-    labels are bounded by `most`, so they are broadcast. Of several labels of a document the largest counts."""
+    labels are bounded by `most`, so they are broadcast. Of several labels of a document the largest counts, and of rows that
+    repeat a doc_id the one whose text has the smallest digest, so that the rows are bounded by `most`, too."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(one, "doc_id", most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text")).select("text", "toxic")
 
 
 def score_toxicity(docs: DataFrame, m: ToxicModel) -> DataFrame:

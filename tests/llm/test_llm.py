@@ -728,3 +728,16 @@ def test_pipeline(spark):
     for r in got:
         total[r["doc_id"]] += r["length"]
     assert all(total[r["doc_id"]] == r["doc_tokens"] for r in got)
+
+
+def test_samples_of_repeated_rows(spark):
+    """Rows that repeat a doc_id: one labelled row a document for op9, and samples that no partitioning changes."""
+    from graphloom.llm import language, toxicity
+
+    rows = [(i, f"text {j} of {i} " * 3, "abcd"[j % 4]) for i in range(1, 30) for j in range(12)] + [(None, "x", "a"), (31, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    got = [sorted(map(tuple, toxicity.training_rows(df.repartition(n), labels).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and len({t.rsplit("of ", 1)[1] for t, _ in got[0] if t}) == len([t for t, _ in got[0] if t])
+    assert len(toxicity.training_rows(df, labels, most=5).collect()) <= 5
+    assert language.training_windows(df.repartition(1), 40) == language.training_windows(df.repartition(9).orderBy("text"), 40)
