@@ -258,3 +258,16 @@ def test_queries(spark):
 def test_cell_is_empty_without_either_side():
     t = pa.table({"side": [0], "word": ["abcde"], "n": [3], "indexed": [True], "asked": [False]})
     assert spelling.search_cell(t).num_rows == 0
+
+
+def test_chains_broadcast_what_moves(spark, monkeypatch):
+    """Settled segments are in no broadcast but the first, which has sizes only."""
+    from pyspark.sql import functions as F
+
+    prev = {i: (i - 1 if 0 < i < 64 else None) for i in range(400)}
+    df = spark.createDataFrame([(i, 1, p) for i, p in prev.items()], "id long, size long, prev long")
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(debruijn.F, "broadcast", lambda d: sent.append(d.count()) or real(d))
+    got = {r["id"]: (r["path"], r["offset"]) for r in debruijn.chains(df).collect()}
+    assert got == {i: (0, i) if i < 64 else (i, 0) for i in prev}
+    assert len(sent) > 3 and sent[0] == 400 and max(sent[1:]) <= 63 and sorted(sent[1:], reverse=True) == sent[1:]
