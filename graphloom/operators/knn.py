@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
-from graphloom.operators.order import numbered
 from graphloom.sources.shared import cut, stash
 
 LIST = "node_id long, nbr long, score double"
@@ -19,52 +21,121 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
 
 
-def descend(vectors: DataFrame, k: int, width: int | None = None, rounds: int = 12, settle: float = 0.002) -> DataFrame:
+def unit_rows(table: pa.Table) -> np.ndarray:
+    """The vectors of a table (node_id, vec) as rows of length one (zero stays zero)."""
+    x = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > V.TINY, size, np.inf)
+
+
+def strongest(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k largest scores above -inf (ties: the smaller id)."""
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    order = np.lexsort((ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
+def leaves(vectors: DataFrame, trees: int, size: int, sample: int = 4096) -> DataFrame:
+    """node_id, tree, leaf, chunk of every node (node_id, vec): the leaf that splits at random directions lead to, of about `size`
+    nodes, and a hashed chunk of it where it has more than twice as many (copies can't be split). Split points are medians of
+    at most `sample` vectors, those of smallest hash; all nodes are dealt."""
+    n = vectors.count()
+    deep = max(0, int(np.ceil(np.log2(max(n, 1) / size))))
+    trees = trees if deep else 1  # trees that don't split are all the same
+    known = unit_rows(vectors.orderBy(F.xxhash64("node_id"), "node_id").limit(sample).select("node_id", "vec").toArrow())  # bounded by sample
+    rng = np.random.default_rng(7)
+    ways = rng.normal(size=(trees, max(deep, 1), known.shape[1] if len(known) else 1))
+    splits = np.zeros((trees, max(deep, 1), 2 ** max(deep - 1, 0)))
+    for t in range(trees if len(known) else 0):
+        at, along = np.zeros(len(known), int), np.round(known @ ways[t].T, 6)
+        for d in range(deep):
+            for leaf in np.unique(at):
+                splits[t, d, leaf] = np.median(along[at == leaf, d])
+            at = 2 * at + (along[:, d] > splits[t, d, at])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if table.num_rows:
+                x = unit_rows(table)
+                for t in range(trees):
+                    at, along = np.zeros(len(x), int), np.round(x @ ways[t].T, 6)
+                    for d in range(deep):
+                        at = 2 * at + (along[:, d] > splits[t, d, at])
+                    yield pa.RecordBatch.from_arrays([batch.column("node_id"), pa.array(np.full(len(x), t, np.int32)), pa.array(at.astype(np.int64))], names=["node_id", "tree", "leaf"])
+
+    dealt = cut(vectors.select("node_id", "vec").mapInArrow(deal, "node_id long, tree int, leaf long"))
+    chunks = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * size)).alias("_n"))
+    return dealt.join(chunks, ["tree", "leaf"]).select("node_id", "tree", "leaf", F.pmod(F.xxhash64("node_id", "tree"), F.col("_n")).cast("int").alias("chunk"))
+
+
+def descend(vectors: DataFrame, k: int, width: int | None = None, rounds: int = 12, settle: float = 0.002, trees: int = 16, leaf: int = 4096) -> DataFrame:
     """node_id, nbr, score (cosine, six places), rank of the k nearest nodes of every node (node_id, vec), approximately.
 
-    Lists of `width` start with the nodes that follow in two hashed orders. In each round a node is host to the nodes of its list and to
-    at most `width` nodes whose lists hold it (those of smallest hash, another hash each round); all are compared with each
-    other, and each takes the best of what it meets. A host keeps no more than its bounded group, so a node that stands in
-    very many lists doesn't gather them. Rounds end when fewer than `settle` of all entries change."""
-    import pyarrow as pa
-
+    Lists of `width` start with the best of the nodes in the same leaf of one of several trees (`leaves`). In each round a node is host to the
+    nodes of its list and to at most `width` nodes whose lists hold it (new entries first, then those of smallest hash, another
+    hash each round). Two of them are compared if one entered in the round before, and sent on if that betters the list of either. A host keeps
+    no more than its bounded group, so a node that stands in very many lists doesn't gather them; hosts of one leaf meet in
+    one task, which gets each vector once. Rounds end when fewer than `settle` of all entries change."""
     width = width or max(24, 2 * k)
-    unit = stash(vectors.select("node_id", V.unit("vec").alias("vec")), "unit-vectors")
+    vectors = stash(vectors.select("node_id", "vec"), "vectors")
     shape = pa.schema([("node_id", pa.int64()), ("nbr", pa.int64()), ("score", pa.float64())])
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("node_id").to_numpy()
-        x = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        score = np.round(x @ x.T, 6) + 0.0
-        np.fill_diagonal(score, -np.inf)
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, : min(width, len(ids) - 1)]
-        who = np.repeat(np.arange(len(ids)), order.shape[1])
-        return pa.Table.from_arrays([pa.array(ids[who]), pa.array(ids[order.ravel()]), pa.array(score[who, order.ravel()])], schema=shape)
-
-    n = unit.count()
-    near = None
-    for seed in ("a", "b"):
-        place = numbered(unit.select("node_id", F.xxhash64("node_id", F.lit(seed)).alias("h")), ["h", "node_id"], "at").select("node_id", "at")
-        ahead = place.select(F.col("node_id").alias("host"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(width // 2)), lambda i: F.pmod(F.col("at") + i, F.lit(max(n, 1))))).alias("at")).join(place, "at").select("host", "node_id")
-        near = ahead if near is None else near.union(ahead)
-    groups = near
-    lists = None
+    def inside(table: pa.Table) -> pa.Table:
+        ids, x, out = table.column("node_id").to_numpy(), unit_rows(table), []
+        for at in range(0, len(ids), 256):
+            score = np.round(x[at : at + 256] @ x.T, 6) + 0.0
+            score[ids[at : at + 256, None] == ids] = -np.inf
+            row, col = strongest(score, ids, width)
+            out.append(pa.Table.from_arrays([pa.array(ids[at + row]), pa.array(ids[col]), pa.array(score[row, col])], schema=shape))
+        return pa.concat_tables(out)
+
+    def compare(members: pa.Table, known: pa.Table) -> pa.Table:
+        ids, x, worst = known.column("known").to_numpy(), unit_rows(known), known.column("worst").to_numpy()
+        order = np.argsort(ids)
+        ids, x, worst = ids[order], x[order], worst[order]
+        host, fresh = members.column("host").to_numpy(), members.column("fresh").to_numpy(zero_copy_only=False)
+        place = np.searchsorted(ids, members.column("node_id").to_numpy())
+        order = np.argsort(host, kind="stable")
+        host, fresh, place = host[order], fresh[order], place[order]
+        out = [shape.empty_table()]
+        for at in np.split(np.arange(len(host)), np.flatnonzero(np.diff(host)) + 1):
+            p, new = place[at], fresh[at]
+            score = np.round(x[p] @ x[p].T, 6) + 0.0
+            score[(p[:, None] == p) | ~(new[:, None] | new) | (score < worst[p][:, None])] = -np.inf
+            row, col = strongest(score, ids[p], width)
+            out.append(pa.Table.from_arrays([pa.array(ids[p[row]]), pa.array(ids[p[col]]), pa.array(score[row, col])], schema=shape))
+        # A pair that several hosts have is sent once.
+        return pa.concat_tables(out).group_by(["node_id", "nbr"]).aggregate([("score", "max")]).select(["node_id", "nbr", "score_max"]).rename_columns(shape.names)
+
+    def taken(met: DataFrame, had: DataFrame | None) -> DataFrame:
+        met = met.withColumn("fresh", F.lit(True))
+        both = met if had is None else met.unionByName(had.withColumn("fresh", F.lit(False)))
+        # Dealt by node once: repeats fall away and the best are taken where they lie.
+        once = both.repartition("node_id").groupBy("node_id", "nbr").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+        return cut(best(once, width))
+
+    places = cut(leaves(vectors, trees, leaf))
+    lists = taken(places.join(vectors, "node_id").groupBy("tree", "leaf", "chunk").applyInArrow(inside, LIST), None)
+    home = places.where("tree = 0").select(F.col("node_id").alias("host"), F.concat_ws(":", "leaf", "chunk").alias("at"))
+    n = vectors.count()
     for turn in range(rounds):
-        met = groups.distinct().join(unit, "node_id").groupBy("host").applyInArrow(compare, LIST)
-        new = best((met if lists is None else met.unionByName(lists)).distinct(), width)
-        new = cut(new)
-        if lists is not None:
-            changed = new.join(lists.select("node_id", "nbr"), ["node_id", "nbr"], "left_anti").count()
-            if changed <= settle * width * n:
-                lists = new
-                break
-        lists = new
-        back = lists.select(F.col("nbr").alias("host"), "node_id", F.xxhash64("node_id", "nbr", F.lit(turn)).alias("h"))
-        back = back.withColumn("_p", F.row_number().over(Window.partitionBy("host").orderBy("h", "node_id"))).where(F.col("_p") <= width).select("host", "node_id")
-        own = lists.select(F.col("node_id").alias("host"), F.col("node_id")).distinct()
-        groups = lists.select(F.col("node_id").alias("host"), F.col("nbr").alias("node_id")).union(back).union(own)
+        back = lists.select(F.col("nbr").alias("host"), "node_id", "fresh", F.xxhash64("node_id", "nbr", F.lit(turn)).alias("h"))
+        back = back.withColumn("_p", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("fresh"), "h", "node_id"))).where(F.col("_p") <= width).select("host", "node_id", "fresh")
+        members = lists.select(F.col("node_id").alias("host"), F.col("nbr").alias("node_id"), "fresh").union(back).repartition("host").groupBy("host", "node_id").agg(F.max("fresh").alias("fresh"))
+        members = members.withColumn("_any", F.max("fresh").over(Window.partitionBy("host"))).where("_any").drop("_any")
+        members = cut(members.join(home, "host").select("at", "host", "node_id", "fresh"))
+        worst = lists.groupBy("node_id").agg(F.when(F.count("*") == width, F.min("score")).otherwise(float("-inf")).alias("worst"))
+        known = members.select("at", "node_id").distinct().join(vectors.join(worst, "node_id"), "node_id").select(F.col("at").alias("there"), F.col("node_id").alias("known"), "vec", "worst")  # other names, as both sides come from one table
+        lists = taken(members.groupBy("at").cogroup(known.groupBy("there")).applyInArrow(compare, LIST), lists.drop("fresh"))
+        if lists.where("fresh").count() <= settle * width * n:
+            break
     place = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("score"), "nbr"))
-    return lists.withColumn("rank", place).where(F.col("rank") <= k)
+    return lists.drop("fresh").withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def undirected(lists: DataFrame) -> DataFrame:

@@ -39,6 +39,22 @@ def test_descent_recall(spark):
     assert {(r["node_id"], r["nbr"]) for r in knn.descend(df.repartition(7), 5).collect()} == same
 
 
+def test_descent_sends_little(spark):
+    """From leaves far smaller than the table: right, and what the rounds send is bounded. Formerly each host's group was
+    shuffled with all vectors and all of its pairs in every round."""
+    x = np.random.default_rng(3).normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node_id long, vec array<double>")
+    got = knn.descend(df, 5, trees=4, leaf=100)
+    best = np.argsort(-cosines(x), axis=1, kind="stable")[:, :5]
+    assert knn.recall(got, spark.createDataFrame([(i, int(j)) for i, r in enumerate(best) for j in r], "node_id long, nbr long")) >= 0.95
+    dealt = knn.leaves(df, 4, 100).cache()
+    assert dealt.count() == 4 * 1500 and dealt.groupBy("tree", "leaf", "chunk").count().where("count > 250").isEmpty()
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(900)], "node_id long, vec array<double>")
+    assert knn.leaves(copies, 2, 100).groupBy("tree", "leaf", "chunk").count().where("count > 250").isEmpty()
+    many = {r["node_id"]: r["n"] for r in knn.descend(copies, 3, trees=2, leaf=100).groupBy("node_id").count().withColumnRenamed("count", "n").collect()}
+    assert len(many) == 900 and set(many.values()) == {3}
+
+
 def test_families_and_manifest(spark):
     pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
     # low * 3 + high: structural 1, neighbours 5, names 2
