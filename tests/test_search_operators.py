@@ -96,6 +96,23 @@ def test_postings(spark, size):
     assert got == want
 
 
+def test_text_blocks(spark):
+    """Straight from texts: the same blocks as by way of counts and weights, rows of one id added up; words are never shuffled."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(90), " ".join(rng.choice(["a", "bb", "the", "the", f"w{rng.randrange(40)}"]) for _ in range(rng.randint(0, 40)))) for _ in range(120)] + [(3, None), (95, "")]
+    texts = spark.createDataFrame(rows, "node_id long, text string")
+    words = F.split("text", " ")
+    counts = postings.term_counts(texts, "node_id", words)
+    want = {(r["term"], r["block"]): (r["most"], [tuple(p) for p in r["postings"]]) for r in postings.blocks(postings.weights(counts, len(rows)), 16).collect()}
+    asked = spark.createDataFrame([(1, t) for t in ("a", "the", "w3", "none")], "query_id long, term string")
+    got = {(r["term"], r["block"]): (r["most"], [tuple(p) for p in r["postings"]]) for r in postings.text_blocks(texts, words, len(rows), asked, 16).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] in ("a", "the", "w3")} and got
+    sums = {(r["term"], r["block"]): (r["most"], r["nodes"], r["total"]) for r in postings.block_sums(texts, words, len(rows), 16).collect()}
+    assert sums == {k: (m, len(p), sum(x for _, x in p)) for k, (m, p) in want.items()}
+    plan = postings.block_counts(texts, words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
+
+
 def test_chain_entries(spark):
     rng = random.Random(4)
     steps = sorted({(q, rng.randrange(12), rng.randrange(12), rng.randrange(4)) for q in (1, 2) for _ in range(40)})
