@@ -252,6 +252,29 @@ def test_links(spark):
     }
 
 
+def test_runs_are_counted_before_they_meet_names(spark):
+    """Counts of names as by way of their occurrences; only counted runs are shuffled, not places with their words."""
+    rng = random.Random(6)
+    some = ["Anna", "anna", "Berg,", "berg", "(Rome", "rome.", "and", "--", "x"]
+    texts = spark.createDataFrame([(i, " ".join(rng.choice(some) for _ in range(30))) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    names = linking.surfaces(spark.createDataFrame([("Anna Berg",), ("Rome",), ("berg",)], "title string")).cache()
+    found = {tuple(r) for r in linking.common_names(linking.occurrences(texts, names, 2)).collect()}
+    got = linking.capitals(texts, names, 2)
+    assert {tuple(r) for r in got.collect()} == found and len(found) == 3
+    plan = linking.runs(texts, names, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_title_mentions_of_repeated_rows(spark, tmp_path):
+    """Each row of documents counts once, also where an id repeats; formerly rows of one id multiplied."""
+    from graphloom.plans.search_queries import QUERIES
+
+    spark.createDataFrame([(1, "Anna Berg. More"), (2, "Anna"), (3, "...")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "anna berg, Anna Berg"), (1, "So ANNA-berg"), (2, "Annas Berg"), (3, None), (4, "anna")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["title_mention_join"](spark, str(tmp_path)).collect()} == {(1, 2), (2, 3)}
+
+
 def test_queries_return_rows(spark):
     """The queries without SQL over the smallest tables, and the descent's recall there."""
     from graphloom.plans.search_queries import QUERIES
