@@ -265,6 +265,13 @@ def test_runs_are_counted_before_they_meet_names(spark):
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_first_words(spark):
+    """The first words are those of the whole text; what follows is not taken apart."""
+    texts = spark.createDataFrame([(t,) for t in ("a", " a", "a b", "\t a  b c d ", "a b c", "", "  ", "a\nb\nc d")], "text string")
+    rows = texts.select(F.slice(linking.words("text"), 1, 2).alias("whole"), linking.words("text", 2).alias("first")).collect()
+    assert all(r["whole"] == r["first"] for r in rows) and rows[3]["first"] == ["a", "b"]
+
+
 def test_title_mentions_of_repeated_rows(spark, tmp_path):
     """Each row of documents counts once, also where an id repeats; formerly rows of one id multiplied."""
     from graphloom.plans.search_queries import QUERIES
