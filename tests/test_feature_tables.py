@@ -134,3 +134,14 @@ def test_contract(spark, tmp_path):
         tables.described(spark, table.drop("is_seed"), tables.CONTRACT)
     one = {r["column"]: r for r in tables.described(spark, table, tables.CONTRACT).collect()}
     assert one["is_seed"]["other_than_0"] == w.seeds.count() and one["is_seed"]["column_group"] == "retrieval"
+
+
+def test_pool_edges_and_seeds_are_made_once(spark):
+    """The local features read them a dozen times; each time they were joined anew from all stored edges and ranked lists."""
+    from graphloom.plans.wide_queries import local_features
+    from graphloom.plans.workload import Workload
+
+    w = Workload(spark, "/root/testdata/sf0.001")
+    for part in (w.local_edges, w.seeds):
+        assert part._jdf.queryExecution().withCachedData().toString().startswith("InMemoryRelation")
+    assert local_features(w).count() == w.candidates.count()
