@@ -232,14 +232,19 @@ def write_table(w: Linked, path: str) -> DataFrame:
 
 
 def described(spark: SparkSession, table: DataFrame, contract: dict) -> DataFrame:
-    """One row a column of a contract: place, name, group, mask, rows, rows that differ from 0, least and largest value. One
-    aggregate over the table; a column that the table lacks raises ContractError."""
-    names = [c["name"] for c in contract["columns"]]
-    lacks = [c for c in names if c not in table.columns]
+    """One row a column of a contract: place, name, group, mask, rows, rows that differ from 0, least and largest value. The table
+    is read once, value by value under the column's place, as one aggregate of four sums a column is too wide to be compiled; a
+    column that the table lacks raises ContractError."""
+    columns = contract["columns"]
+    lacks = [c["name"] for c in columns if c["name"] not in table.columns]
     if lacks:
         raise contracts.ContractError(f"the table lacks {', '.join(lacks)}")
-    entry = lambda i, c: F.struct(F.lit(i).alias("place"), F.lit(c["name"]).alias("column"), F.lit(c["group"]).alias("column_group"), F.lit(c["mask"]).alias("mask"), F.count(c["name"]).alias("filled"), F.count(F.when(F.col(c["name"]) != 0, 1)).alias("other_than_0"), F.min(c["name"]).cast("double").alias("least"), F.max(c["name"]).cast("double").alias("largest"))
-    return table.agg(F.array(*[entry(i, c) for i, c in enumerate(contract["columns"])]).alias("all")).select(F.inline("all"))
+    values = table.select(F.posexplode(F.array(*[F.col(c["name"]).cast("double") for c in columns])).alias("place", "x"))
+    found = values.groupBy("place").agg(F.count("x").alias("filled"), F.count(F.when(F.col("x") != 0, 1)).alias("other_than_0"), F.min("x").alias("least"), F.max("x").alias("largest"))
+    entry = lambda i, c: F.struct(F.lit(i).alias("place"), F.lit(c["name"]).alias("column"), F.lit(c["group"]).alias("column_group"), F.lit(c["mask"]).alias("mask"))
+    named = spark.range(1).select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return named.join(F.broadcast(found), "place", "left").select("place", "column", "column_group", "mask", number("filled"), number("other_than_0"), "least", "largest")  # found: a row a column
 
 
 @query("feature_table_contract", "SELECT place, column_name AS \"column\", column_group, mask, count(value) AS filled, count(*) FILTER (value <> 0) AS other_than_0, min(value) AS least, max(value) AS largest FROM (UNPIVOT (SELECT " + ", ".join(f"{c}::DOUBLE AS {c}" for c in GROUP_OF) + " FROM features JOIN deep USING (query_id, node_id) JOIN opath USING (query_id, node_id)) ON COLUMNS(*) INTO NAME column_name VALUE value) JOIN (VALUES "

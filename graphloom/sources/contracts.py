@@ -20,8 +20,9 @@ def contract_hash(contract: dict) -> str:
 
 def row_digest(df: DataFrame) -> Column:
     """32 bits of the MD5 of a row's columns as text in the order of their names, nulls apart from empty text."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in sorted(df.columns)]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    # One array, as an expression for each of many columns is too long to be compiled.
+    parts = F.transform(F.array(*[F.col(c).cast("string") for c in sorted(df.columns)]), lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-")))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", parts)), 1, 8), 16, 10).cast("long")
 
 
 def summed(df: DataFrame) -> list[Column]:

@@ -145,3 +145,17 @@ def test_pool_edges_and_seeds_are_made_once(spark):
     for part in (w.local_edges, w.seeds):
         assert part._jdf.queryExecution().withCachedData().toString().startswith("InMemoryRelation")
     assert local_features(w).count() == w.candidates.count()
+
+
+def test_wide_tables_are_described_and_digested_value_by_value(spark):
+    """Nulls, whole numbers and a table without rows; the digest is that of all columns side by side, as before."""
+    contract = {"columns": [{"name": n, "group": "g", "mask": ""} for n in ("a", "b", "c")]}
+    table = spark.createDataFrame([(1, 0.5, None), (0, -2.0, None), (3, None, None)], "a int, b double, c double")
+    got = tables.described(spark, table, contract)
+    assert "Generate posexplode" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.orderBy("place").collect()] == [(0, "a", "g", "", 3, 2, 0.0, 3.0), (1, "b", "g", "", 2, 2, -2.0, 0.5), (2, "c", "g", "", 0, 0, None, None)]
+    assert [tuple(r)[4:] for r in tables.described(spark, table.where("a > 9"), contract).collect()] == [(0, 0, None, None)] * 3
+    side = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("a", "b", "c")])
+    old = F.conv(F.substring(F.md5(side), 1, 8), 16, 10).cast("long")
+    assert table.select((contracts.row_digest(table) == old).alias("same")).where("same").count() == 3
+    assert "transform" in table.select(contracts.row_digest(table))._jdf.queryExecution().optimizedPlan().toString()
