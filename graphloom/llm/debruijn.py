@@ -166,28 +166,31 @@ def find_edges(k: int, most_words: int = 200_000):
 def chains(segments: DataFrame, small: int = 50_000) -> DataFrame:
     """id, path, offset of segments (id, size, prev: the id before or null): the id at the head of each chain, and the sizes
     between. Each round doubles the distance to the known predecessor, so rounds are logarithmic in the longest chain. What
-    has no head lies on a cycle, which then is cut before its smallest id. Up to `small` rows that
+    has no head lies on a cycle, which then is cut before its smallest id: as soon as a round neither settles a row nor finds
+    a smaller id, each row knows the smallest of its cycle. Up to `small` rows that
     still move are broadcast to the state, which lies in few files; more are joined by a shuffle. The driver keeps a
-    broadcast for some rounds, so the settled rows, soon the most, are never part of one."""
+    broadcast for some rounds, so the settled rows, soon the most, are never part of one. Each round's state is written and read
+    again: a checkpoint keeps the estimated size, which such a join squares, so that its digits double each round."""
     n = segments.count()
     parts = 1 + n // 100_000
-    few = lambda df, n: F.broadcast(df) if n <= small else df
-    keep = lambda df: cut(df.coalesce(parts))
+    few = lambda df, n: F.broadcast(df) if n <= small else df.hint("merge")
+    keep = lambda df: stash(df.coalesce(parts), "chains")
     size = keep(segments.select(F.col("id").alias("path"), F.col("size").alias("more")))
     state = segments.select("id", F.coalesce("prev", "id").alias("path"), F.col("prev").isNull().alias("done"), F.col("id").alias("low"))
-    state = keep(state.join(few(size, n), "path", "left").select("id", "path", F.when(F.col("done"), F.lit(0)).otherwise(F.col("more")).cast("long").alias("offset"), "done", "low"))
-    for _ in range(max(n, 2).bit_length() + 1):
-        left = state.where("not done").count()
+    state = keep(state.join(few(size, n), "path", "left").select("id", "path", F.when(F.col("done"), F.lit(0)).otherwise(F.col("more")).cast("long").alias("offset"), "done", "low", F.lit(True).alias("lowered")))
+    before = None
+    while True:
+        left, lowered = state.agg(F.count(F.when(~F.col("done"), 1)), F.count(F.when(~F.col("done") & F.col("lowered"), 1))).first()
         if not left:
             return state.select("id", "path", "offset")
+        if left == before and not lowered:
+            break
+        before = left
         ahead = state.select(F.col("id").alias("path"), F.col("path").alias("to"), F.col("offset").alias("more"), F.col("done").alias("ends"), F.col("low").alias("lower"))
-        moved = few(state.where("not done"), left).join(ahead, "path").select("id", F.col("to").alias("path"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ends").alias("done"), F.least("low", "lower").alias("low"))
+        moved = few(state.where("not done"), left).join(ahead, "path").select("id", F.col("to").alias("path"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ends").alias("done"), F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("lowered"))
         state = keep(state.where("done").unionByName(moved))
     settled = state.where("done").select("id", "path", "offset")
     rest = state.where("not done").select("id", "low")
-    left = rest.count()
-    if not left:
-        return settled
     rest = keep(segments.join(few(rest, left), "id").withColumn("prev", F.when(F.col("id") != F.col("low"), F.col("prev"))).drop("low"))
     return settled.unionByName(chains(rest, small))
 

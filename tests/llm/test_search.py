@@ -271,3 +271,13 @@ def test_chains_broadcast_what_moves(spark, monkeypatch):
     got = {r["id"]: (r["path"], r["offset"]) for r in debruijn.chains(df).collect()}
     assert got == {i: (0, i) if i < 64 else (i, 0) for i in prev}
     assert len(sent) > 3 and sent[0] == 400 and max(sent[1:]) <= 63 and sorted(sent[1:], reverse=True) == sent[1:]
+
+
+def test_chains_estimate_stays_small(spark):
+    """The planned size of the state must not square each round: its digits doubled, until the driver held numbers of megabytes."""
+    n = 1_500
+    ring = [(i, 1, n + (i - n - 1) % 40) for i in range(n, n + 40)]
+    df = spark.createDataFrame([(i, 1, i - 1 if i else None) for i in range(n)] + ring, "id long, size long, prev long")
+    out = debruijn.chains(df, small=100)
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+    assert {r["id"]: (r["path"], r["offset"]) for r in out.collect()} == {i: (0, i) if i < n else (n, i - n) for i in range(n + 40)}
