@@ -292,3 +292,29 @@ def test_queries_return_rows(spark):
     x = np.array([r["embedding"] for r in spark.read.parquet(f"{at}/embeddings.parquet").orderBy("vec_id").collect()])
     best = np.argsort(-cosines(x), axis=1, kind="stable")[:, :5]
     assert knn.recall(found, spark.createDataFrame([(i, int(j)) for i, r in enumerate(best) for j in r], "node_id long, nbr long")) >= 0.9
+
+
+def test_words_are_stripped_by_text(spark):
+    """Odd ends of words, as before, but no pattern is looked for at each word that may begin a name."""
+    import re
+
+    text = '"Alpha" (beta)gamma -- x- Über. delta: été, ... end\u0085 a-b- 中。 beta?'
+    names = ["alpha", "beta)gamma", "x", "über", "delta", "été", "end", "a-b", "中", "beta", "delta: été", "x- über", "alpha x"]
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " -- ")], "doc_id long, text string")
+    found = linking.runs(texts, spark.createDataFrame([(n, n, 0) for n in names], "surface string, title string, kind int"), 2)
+    bare = lambda s: re.sub(r"^[\W_]+|[\W_]+$", "", s)
+    words, lengths = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x], {}
+    for n in names:
+        lengths.setdefault(bare(n.split(" ")[0]), set()).add(len(n.split(" ")))
+    want = []
+    for i, word in enumerate(words):
+        lead = re.match(r"[\W_]*", word)[0]
+        before = lead[-1:] or (words[i - 1][-1] if i else "")
+        for n in lengths.get(bare(word).lower(), ()):
+            if i + n <= len(words) and bare(words[i + n - 1]):
+                written = bare(" ".join(words[i : i + n]))
+                want.append((1, written.lower(), written, before in ("", *linking.SENTENCE_END)))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 12
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = [i for i, line in enumerate(plan) if "posexplode" in line][0] - 1
+    assert "Project" in plan[above] and "regexp" not in plan[above]
